@@ -6,23 +6,40 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, simhash
-from chronoweave.llm.common import table
+from chronoweave.llm import bpe, langid, secrets, simhash, toxicity
+from chronoweave.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(langid.training_rows(docs)))
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"), words=3, radius=2)
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_bpe_round_trip, op10_simhash_components)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_secrets, op4_language_mixture, op6_bpe_round_trip, op9_toxicity, op10_simhash_components)}
 
 #: DuckDB text for what SQL can express.
 ORACLE_SQL: dict[str, str] = {}
