@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, langid, secrets, simhash, toxicity
+from chronoweave.llm import bpe, langid, secrets, simhash, toxicity, wrappers
 from chronoweave.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_page_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_secrets, op4_language_mixture, op6_bpe_round_trip, op9_toxicity, op10_simhash_components)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_page_wrappers, op2_secrets, op4_language_mixture, op6_bpe_round_trip, op9_toxicity, op10_simhash_components)}
 
 #: DuckDB text for what SQL can express.
 ORACLE_SQL: dict[str, str] = {}
