@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, langid, secrets, simhash, toxicity, wrappers
+from chronoweave.llm import bpe, langid, quantized_search, secrets, simhash, toxicity, wrappers
 from chronoweave.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "languages")
 
 
+def op5_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantized_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -43,7 +47,7 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_page_wrappers, op2_secrets, op4_language_mixture, op6_bpe_round_trip, op9_toxicity, op10_simhash_components)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_page_wrappers, op2_secrets, op4_language_mixture, op5_anisotropic_search, op6_bpe_round_trip, op9_toxicity, op10_simhash_components)}
 
 #: DuckDB text for what SQL can express.
 ORACLE_SQL: dict[str, str] = {}
