@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, langid, quantized_search, secrets, simhash, spotsigs, substrings, toxicity, wrappers
+from chronoweave.llm import bpe, langid, mixing, quantized_search, secrets, simhash, spotsigs, substrings, toxicity, wrappers
 from chronoweave.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_soft_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = table(spark, sf_dir, "labels").select("doc_id", mixing.label_domain().alias("domain"))
+    return mixing.mix(table(spark, sf_dir, "documents"), labelled)
+
+
 def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.fit(langid.training_rows(docs)))
@@ -55,7 +60,7 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_page_wrappers, op2_secrets, op4_language_mixture, op5_anisotropic_search, op6_bpe_round_trip, op7_spotsigs, op8_repeated_substrings, op9_toxicity, op10_simhash_components)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_page_wrappers, op2_secrets, op3_soft_mixture, op4_language_mixture, op5_anisotropic_search, op6_bpe_round_trip, op7_spotsigs, op8_repeated_substrings, op9_toxicity, op10_simhash_components)}
 
 #: DuckDB text for what SQL can express.
 ORACLE_SQL: dict[str, str] = {}
