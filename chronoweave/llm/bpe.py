@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
@@ -123,7 +124,7 @@ def tokenizer_at(path: str) -> ByteBpe:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, ids, text)``: the ids of each row's whole text and the text decoded from them.
+    """``(doc_id, n_tokens, ids, decoded_sha256)``: the ids of each row's whole text, and the digest of what they decode to.
 
     A null text is the empty text, which has no ids.  Repeated rows stay repeated and other columns are ignored.  ``path``
     is a place on every machine that has the vocabulary.
@@ -132,10 +133,13 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = tokenizer_at(path)
         for batch in batches:
-            ids = [bpe.encode(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "text": [bpe.decode(i) for i in ids]})
+            for start in range(0, len(batch), 500):  # ids of a few texts at a time
+                part = batch.iloc[start : start + 500]
+                ids = [bpe.encode(t) for t in part["text"]]
+                digests = [hashlib.sha256(bpe.decode(i).encode()).hexdigest() for i in ids]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_tokens": list(map(len, ids)), "ids": [np.array(i, np.int32) for i in ids], "decoded_sha256": digests})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>, text string")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def decode_ids(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:

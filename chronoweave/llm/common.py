@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def through_parquet(df: DataFrame) -> DataFrame:
+    """The same rows, written to and read from a new folder in ``spark.checkpoint.dir``."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronoweave-"))
+    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     """The session's number of shuffle partitions."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -36,12 +47,3 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 def fold_of(doc_id: int | None, parts: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % parts
-
-
-def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
-    """At most ``bound`` rows, the ones with the smallest hashed keys; all rows where there are no more.
-
-    Only for fitting a model on labelled rows.  The order is a fixed function of the key, so a rerun after a lost
-    executor takes the same rows.
-    """
-    return df.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(bound)

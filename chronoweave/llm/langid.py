@@ -183,6 +183,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
         local = LanguageModel(languages, likelihood.astype(np.float64))
         for batch in batches:
             seen = [local.predict(t) for t in batch["text"]]
-            yield batch[[lang != UNDETERMINED and mean > -np.log(BUCKETS) for lang, _, mean in seen]]
+            yield batch[np.array([lang != UNDETERMINED and mean > -np.log(BUCKETS) for lang, _, mean in seen], bool)]
 
     return docs.mapInPandas(run, docs.schema)
