@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from chronoweave.plans import graph_plans  # noqa: F401  registers its queries
+from chronoweave.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "me_label_census"
