@@ -29,6 +29,7 @@ PART = 1 << 20
 GATHERED = 1_000_000
 #: Bytes of the groups that share a suffix array.
 ARRAY_BYTES = 2 << 20
+NO_ID = -(2**63)
 SEPARATOR = 0xFF  # never a byte of UTF-8
 
 _U = np.uint64
@@ -351,11 +352,14 @@ def _cut(length: int):
 
 
 def repeated_ranges(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
-    """``docs`` as ``(key, doc_id, text)``, and ``(key, ranges)``: windows that start earlier elsewhere."""
+    """``docs`` as ``(key, text)``, and ``(key, ranges)``: windows that start earlier elsewhere.
+
+    Both joins deal out these same two columns by key, so the texts are shuffled once and the exchange is used again.
+    """
     spark = docs.sparkSession
     n = partitions(spark)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = rows.select("key", "text").mapInArrow(_read(length), _FOUND)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    found = rows.mapInArrow(_read(length), _FOUND)
     found = found.repartition(n, "h").sortWithinPartitions("h", "c", "key", "first")
     met = cut(found.mapInPandas(_meet, "key long, first long, last long, shape long, h long"))
     compare = met.where("shape >= 0").groupBy("key").agg(F.collect_list(F.struct(F.col("first").cast("int").alias("first"), F.col("shape").cast("int").alias("shape"))).alias("places"))
@@ -374,5 +378,5 @@ def remove_repeats(docs: DataFrame, length: int = 100, texts: bool = False) -> D
     each loses what any of them loses.  A cut inside a character leaves U+FFFD in ``kept``; the digest is of the bytes.
     """
     rows, ranges = repeated_ranges(docs, length)
-    out = rows.join(ranges, "key", "left").select("doc_id", "text", "ranges").mapInPandas(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    out = rows.join(ranges, "key", "left").select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "text", "ranges").mapInPandas(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return out if texts else out.drop("kept")
