@@ -24,30 +24,33 @@ SAMPLE_ROWS = 20_000
 #: Labelled documents that must hold a word before it is evidence.
 LEAST_DOCUMENTS = 5
 EVIDENCE = 25.0
-#: Words in the model up to which it is broadcast (16 bytes and a number for each domain); a larger one is joined.
-BROADCAST_WORDS = 200_000
+#: Words in the model up to which they stand in the plan, and up to which it is broadcast; a larger one is joined.
+LITERAL_WORDS, BROADCAST_WORDS = 4_000, 200_000
 PULL = 1e-3
-MARKS = 3
 CALIBRATION_ROUNDS = 8
 #: No document is taken more often; targets that would need more are met as far as this allows.
 MOST_RATE = 8.0
 MOST_ROUNDS = 60
 
 
-def words(text: Column) -> Column:
-    """Lower-case runs of letters."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: w != "")
+def with_evidence(docs: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and ``n``, the number of words, and ``e``: the distinct words and three marks of the text's surface.
 
-
-def evidence(text: Column) -> Column:
-    """The words, and after them three marks of the text's surface in coarse steps; marks start with a hash sign."""
-    text = F.coalesce(text, F.lit(""))
-    w, n = words(text), F.greatest(F.length(text), F.lit(1))
-    share = lambda pattern: F.floor(F.round((n - F.length(F.regexp_replace(text, pattern, ""))) / n * 25)).cast("string")
-    variety = F.floor(20 * F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1))).cast("string")
-    length = F.floor(F.log2(F.size(w) + 1.0)).cast("string")
-    marks = [F.concat(F.lit("#capitals "), share("[A-Z]+")), F.concat(F.lit("#symbols "), share("[!-,:-@\\[-`{-~]+")), F.concat(F.lit("#variety "), variety, F.lit(" of "), length)]
-    return F.concat(w, F.array(*marks))
+    Words are lower-case runs of letters.  Marks, which start with a hash sign, give in coarse steps the share of capitals, the
+    share of other characters than letters, and the share of different words at a length.
+    """
+    text = F.coalesce("text", F.lit(""))
+    # the words are a column of their own, so that they are cut once and not for each of their uses
+    rows = docs.select(*keep, F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), "").alias("w"), F.length(F.regexp_replace(text, "[^A-Z]+", "")).alias("capitals"), F.greatest(F.length(text), F.lit(1)).alias("length"))
+    rows = rows.select(*keep, F.size("w").alias("n"), F.array_distinct("w").alias("w"), F.length(F.array_join("w", "")).alias("letters"), "capitals", "length")
+    step = lambda share: F.floor(F.round(share * 25)).cast("string")
+    variety = F.floor(20 * F.size("w") / F.greatest(F.col("n"), F.lit(1))).cast("string")
+    marks = (
+        F.concat(F.lit("#capitals "), step(F.col("capitals") / F.col("length"))),
+        F.concat(F.lit("#other "), step(1 - F.col("letters") / F.col("length"))),
+        F.concat(F.lit("#variety "), variety, F.lit(" of "), F.floor(F.log2(F.col("n") + 1.0)).cast("string")),
+    )
+    return rows.select(*keep, "n", F.concat("w", F.array(*marks)).alias("e"))
 
 
 def label_domain() -> Column:
@@ -59,7 +62,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], bou
     """``(word, <a weight for each domain>)`` and the domains' log priors, from ``labelled(doc_id, domain)``.
 
     A word's weight for a domain is the log ratio of its document frequency there and elsewhere; zero unless the ratio is one
-    or more and its likelihood ratio statistic reaches ``EVIDENCE``, since many words are tried.  Words are hashed to 64 bits.  A document labelled twice counts once, as its first
+    or more and its likelihood ratio statistic reaches ``EVIDENCE``, since many words are tried.  A document labelled twice counts once, as its first
     domain by name.
     """
     labelled = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
@@ -68,9 +71,8 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], bou
         labelled = labelled.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < int(share * (1 << 30)))
     # the sample is bounded, so it may be broadcast and the texts stay where they are
     sample = F.broadcast(labelled.groupBy("doc_id").agg(F.min("domain").alias("domain")))
-    found = docs.select("doc_id", "text").join(sample, "doc_id")
-    found = found.select("domain", F.array_distinct(evidence(F.col("text"))).alias("words"))
-    per_word = found.select("domain", F.explode("words").alias("w")).groupBy(F.xxhash64("w").alias("word")).agg(*[F.count_if(F.col("domain") == d).alias(d) for d in domains])
+    found = cut(with_evidence(docs.select("doc_id", "text").join(sample, "doc_id"), "doc_id", "domain"))
+    per_word = found.select("domain", F.explode("e").alias("w")).groupBy(F.col("w").alias("word")).agg(*[F.count_if(F.col("domain") == d).alias(d) for d in domains])
     totals = found.groupBy("domain").count().collect()  # a row a domain
     n = {d: 0 for d in domains} | {r["domain"]: r["count"] for r in totals}
     every = sum(n.values())
@@ -90,7 +92,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], bou
     priors = {d: math.log(share[d]) for d in domains}
     if every:
         # words that are absent say nothing here, so the priors are moved until the mean posteriors of the sample are its shares
-        seen_scores = cut(scores(docs.join(sample.select("doc_id"), "doc_id", "left_semi"), model, domains))
+        seen_scores = cut(scores(found, model, domains))
         for _ in range(CALIBRATION_ROUNDS):
             mean = posteriors(seen_scores, priors).agg(*[F.avg(f"p_{d}").alias(d) for d in domains]).first()
             if mean[0] is None:
@@ -99,13 +101,17 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], bou
     return model, priors
 
 
-def scores(docs: DataFrame, model: DataFrame, domains: list[str]) -> DataFrame:
-    """``(doc_id, n_tokens, <a sum of weights for each domain>)``: one row for each doc_id; rows of one id are one document."""
-    texts = docs.select("doc_id", evidence(F.col("text")).alias("e"))
-    rows = texts.select("doc_id", F.size("e").alias("n"), F.explode(F.array_distinct("e")).alias("w"))
-    # a text has one mark of variety: it brings the number of words, without the marks
-    rows = rows.select("doc_id", F.when(F.col("w").startswith("#variety"), F.col("n") - MARKS).otherwise(0).alias("n"), F.xxhash64("w").alias("word"))
-    rows = rows.join(F.broadcast(model) if model.count() <= BROADCAST_WORDS else model, "word", "left")
+def scores(texts: DataFrame, model: DataFrame, domains: list[str]) -> DataFrame:
+    """``(doc_id, n_tokens, <a sum of weights for each domain>)`` of rows with evidence: one
+    for each doc_id; rows of one id are one document."""
+    known = model.count()
+    told = F.col("e")
+    if known <= LITERAL_WORDS:
+        # only evidence that the model knows leaves its row; a larger model is met by the join alone
+        told = F.array_intersect("e", F.lit([r["word"] for r in model.select("word").orderBy("word").collect()]).cast("array<string>"))
+    rows = texts.select("doc_id", "n", F.posexplode_outer(told).alias("at", "word"))
+    rows = rows.select("doc_id", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("n")).otherwise(0).alias("n"), "word")
+    rows = rows.join(F.broadcast(model) if known <= BROADCAST_WORDS else model, "word", "left")
     return rows.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), *[F.coalesce(F.sum(d), F.lit(0.0)).alias(d) for d in domains])
 
 
@@ -136,18 +142,26 @@ def fit_rates(members: DataFrame, targets: dict[str, float], tolerance: float =
         history = F.array(*[F.array(*map(F.lit, s)) for s in steps])
         return F.aggregate(history, F.lit(1.0), lambda w, s: F.greatest(F.lit(0.0), F.least(F.lit(MOST_RATE), w - sum(p * s[k] for k, p in enumerate(member)) - PULL * (w - 1))))
 
-    all_tokens = members.agg(F.sum("n_tokens").alias("n")).first()["n"]
+    # a rate depends on the posterior alone, so documents of equal posterior are one row of the fit
+    grouped = cut(members.groupBy(*member).agg(F.sum("n_tokens").alias("n_tokens")))
+    all_tokens = grouped.agg(F.sum("n_tokens").alias("n")).first()["n"]
     if not all_tokens:
         return members.withColumn("rate", F.lit(1.0))
-    start = None
+    start, last, pace = None, None, [0.9] * len(domains)
     for _ in range(MOST_ROUNDS):
-        weighed = members.select(rate().alias("w"), "n_tokens", *[F.col(f"p_{d}") for d in domains])
+        weighed = grouped.select(rate().alias("w"), "n_tokens", *member)
         now = [x / all_tokens for x in weighed.agg(*[F.sum(F.col("w") * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in domains]).first()]
         start = start or [max(x, 1e-9) for x in now]
-        if max(abs(a - b) for a, b in zip(now, goal)) < tolerance:
+        off = [a - b for a, b in zip(now, goal)]
+        if max(map(abs, off)) < tolerance:
             break
+        if last:
+            # how much of a residual a step left over says how much longer the next may be
+            left = [x / y if abs(y) > 1e-12 else 0.0 for x, y in zip(off, last)]
+            pace = [min(8.0, max(0.3, p / max(0.25, 1 - r))) for p, r in zip(pace, left)]
+        last = off
         # relative errors make the domains alike in scale, so that a step near one is stable
-        steps.append([0.9 * (a - b) / s for a, b, s in zip(now, goal, start)])
+        steps.append([p * x / s for p, x, s in zip(pace, off, start)])
     return members.withColumn("rate", rate())
 
 
@@ -160,7 +174,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     """
     targets = targets or TARGETS
     model, priors = fit_classifier(docs, labelled, list(targets))
-    rated = fit_rates(cut(posteriors(scores(docs, model, list(priors)), priors)), targets)
+    rated = fit_rates(cut(posteriors(scores(with_evidence(docs, "doc_id"), model, list(priors)), priors)), targets)
     chance = F.crc32(F.concat(F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")) / float(1 << 32)
     return rated.withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 
