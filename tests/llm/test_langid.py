@@ -1,0 +1,36 @@
+from pyspark.sql import functions as F
+
+from chronoweave.llm import langid as L
+from chronoweave.llm.common import table
+
+
+def test_held_out_accuracy(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = L.predict(docs, L.fit(L.training_rows(docs)))
+    rows = found.join(docs.select("doc_id", "lang"), "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) >= 0.95
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_mixture_finds_both_languages(spark, sf):
+    docs = table(spark, sf, "documents").where("n_chars > 800")
+    model = L.fit(docs)
+    texts = {r["lang"]: r["text"][:800] for r in docs.where("length(text) > 800").collect()}
+    assert set(model.mixture(texts["en"] + " " + texts["fr"])[0]) == {"en", "fr"}
+    assert list(model.mixture(texts["de"])[0]) == ["de"]
+
+
+def test_odd_rows(spark, sf, odd_docs):
+    docs = table(spark, sf, "documents")
+    model = L.fit(docs)
+    got = {r["doc_id"]: r["lang_pred"] for r in L.predict(odd_docs, model).collect()}
+    assert len(got) == odd_docs.count()
+    assert all(got[i] == "und" for i in (0, 1, 2, 6, 11)) and got[None] == "und"
+    assert L.predict(odd_docs.limit(0), model).count() == 0
+    assert {r["lang_pred"] for r in L.predict(odd_docs, L.fit(odd_docs.limit(0))).collect()} == {"und"}
+
+
+def test_keep_identified(spark, odd_docs):
+    kept = L.keep_identified(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert {0, 1, 2, 6, 11}.isdisjoint(r["doc_id"] for r in kept.collect())
