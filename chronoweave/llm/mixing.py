@@ -2,8 +2,8 @@
 
 A classifier fitted on a labelled table gives each document its posterior over domains.  Nonnegative document rates are then
 fitted so that the expected tokens of each domain, the sum of rate x tokens x posterior, come to the target shares of the
-corpus' tokens.  The fit is projected gradient descent on the relative squared error of the totals, with a small pull of each
-rate to one: a round needs the domain totals only, one aggregate over all documents that brings one number for each domain to
+corpus' tokens.  The fit is accelerated projected gradient descent on the relative squared error of the totals, with a small pull
+of each rate to one: a round needs the domain totals only, one aggregate over all documents that brings one number for each domain to
 the driver, and a document's rate is a fold over the rounds' residuals, so no round writes anything.
 """
 
@@ -30,7 +30,7 @@ PULL = 1e-3
 CALIBRATION_ROUNDS = 8
 #: No document is taken more often; targets that would need more are met as far as this allows.
 MOST_RATE = 8.0
-MOST_ROUNDS = 60
+MOST_ROUNDS, STALLED = 60, 1e-7
 
 
 def with_evidence(docs: DataFrame, *keep: str) -> DataFrame:
@@ -134,35 +134,44 @@ def fit_rates(members: DataFrame, targets: dict[str, float], tolerance: float =
     whole = sum(targets.values())
     goal = [targets[d] / whole for d in domains]
     member = [F.col(f"p_{d}") for d in domains]
-    steps: list[list[float]] = []
+    steps: list[list[float]] = []  # for each round the residuals' weights, and the momentum
 
-    def rate() -> Column:
-        if not steps:
-            return F.lit(1.0)
-        history = F.array(*[F.array(*map(F.lit, s)) for s in steps])
-        return F.aggregate(history, F.lit(1.0), lambda w, s: F.greatest(F.lit(0.0), F.least(F.lit(MOST_RATE), w - sum(p * s[k] for k, p in enumerate(member)) - PULL * (w - 1))))
+    def state() -> Column:
+        """Rate and look-ahead point of a document after the rounds so far."""
+        history = F.array(*[F.array(*map(F.lit, s)) for s in steps]) if steps else F.array().cast("array<array<double>>")
+        first = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("y"))
+
+        def step(at: Column, s: Column) -> Column:
+            y = at["y"] - sum(p * s[k] for k, p in enumerate(member)) - PULL * (at["y"] - 1)
+            w = F.greatest(F.lit(0.0), F.least(F.lit(MOST_RATE), y))
+            return F.struct(w.alias("w"), (w + s[len(domains)] * (w - at["w"])).alias("y"))
+
+        return F.aggregate(history, first, step)
 
     # a rate depends on the posterior alone, so documents of equal posterior are one row of the fit
     grouped = cut(members.groupBy(*member).agg(F.sum("n_tokens").alias("n_tokens")))
     all_tokens = grouped.agg(F.sum("n_tokens").alias("n")).first()["n"]
     if not all_tokens:
         return members.withColumn("rate", F.lit(1.0))
-    start, last, pace = None, None, [0.9] * len(domains)
+    start, least, momentum = None, None, 1.0
     for _ in range(MOST_ROUNDS):
-        weighed = grouped.select(rate().alias("w"), "n_tokens", *member)
-        now = [x / all_tokens for x in weighed.agg(*[F.sum(F.col("w") * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in domains]).first()]
+        weighed = grouped.select(state().alias("at"), "n_tokens", *member)
+        sums = weighed.agg(*[F.sum(F.col(f"at.{c}") * F.col("n_tokens") * F.col(f"p_{d}")).alias(f"{c}_{d}") for c in "wy" for d in domains]).first()
+        now, ahead = ([sums[f"{c}_{d}"] / all_tokens for d in domains] for c in "wy")
+        # relative errors: in them the steepest direction has curvature one, so steps of length one are safe
         start = start or [max(x, 1e-9) for x in now]
-        off = [a - b for a, b in zip(now, goal)]
-        if max(map(abs, off)) < tolerance:
+        error = sum((x - g) ** 2 / s for x, g, s in zip(now, goal, start))
+        if max(abs(x - g) for x, g in zip(now, goal)) < tolerance:
             break
-        if last:
-            # how much of a residual a step left over says how much longer the next may be
-            left = [x / y if abs(y) > 1e-12 else 0.0 for x, y in zip(off, last)]
-            pace = [min(8.0, max(0.3, p / max(0.25, 1 - r))) for p, r in zip(pace, left)]
-        last = off
-        # relative errors make the domains alike in scale, so that a step near one is stable
-        steps.append([p * x / s for p, x, s in zip(pace, off, start)])
-    return members.withColumn("rate", rate())
+        if least is not None and abs(least - error) <= STALLED:
+            break  # as near as the posteriors and the largest rate allow
+        if least is not None and error > least:
+            momentum = 1.0  # it overshot: gather speed anew
+        least = error
+        following = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
+        steps.append([*((x - g) / s for x, g, s in zip(ahead, goal, start)), (momentum - 1) / following])
+        momentum = following
+    return members.withColumn("rate", state()["w"])
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
