@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from chronoweave.functions import scalar as S
 from chronoweave.functions import vocabulary as V
 from chronoweave.operators import allen as AL
+from chronoweave.operators import audit as AU
 from chronoweave.operators import energy as EN
 from chronoweave.operators import metrics as ME
 from chronoweave.operators import motifs as MO
 from chronoweave.operators import noise as NZ
 from chronoweave.operators.lineage import cut
 from chronoweave.plans.base import query
-from chronoweave.plans.function_plans import sql_md5_mod
+from chronoweave.plans.function_plans import sql_md5_mod, sql_wilson
 from chronoweave.sources import testdata as T
 
 P = T.SQL_PAIRS
@@ -331,3 +332,36 @@ def nz_paired_bootstrap(spark, sf):
 def nz_seed_summary(spark, sf):
     runs = T.table(spark, sf, "events").groupBy(F.col("event_type").alias("metric"), (F.col("user_id") % 5).alias("seed")).agg(F.avg("value").alias("value"))
     return NZ.seed_summary(runs).select("metric", "runs", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+# ------------------------------------------------------------------- auditor
+
+
+def _audit_inputs(spark, sf):
+    rows = cut(injected(spark, sf))
+    return rows, cut(AU.motif_atoms(rows))
+
+
+_AUDIT = f"""{P}, {_prior('pr')}, {_INJECT}, cl as (select doc, s u, t v, rel o from ob union all select doc, t, s, {_BACK('rel')} from ob),
+  h as (select ob.doc, ob.s, ob.t, a.o o1, b.o o2, row_number() over (partition by ob.doc, ob.s, ob.t order by a.v) r from ob join cl a on a.doc = ob.doc and a.u = ob.s join cl b on b.doc = ob.doc and b.u = a.v and b.v = ob.t),
+  am as (select distinct doc, s, t, 'EQ|motif|' || o1 || '>' || o2 atom from h where r <= 4), x as (select ob.doc, ob.gold, ob.rel, atom from ob join am using (doc, s, t)),
+  n as (select rel, atom, count(*) n from x group by all), k as (select rel, atom, gold fix, count(*) k, count(distinct doc) docs from x where gold <> rel group by all having count(*) >= 10 and count(distinct doc) >= 5),
+  p as (select rel, gold fix, count(*) / any_value(c)::double p from ob join (select rel, count(*) c from ob group by rel) using (rel) where gold <> rel group by rel, gold)"""
+
+
+@query(f"with {_AUDIT} select rel, atom, fix, n, k from k join n using (rel, atom) join p using (rel, fix) where n >= 30 and k / n::double >= least(2 * p, (1 + p) / 2) and {sql_wilson('k', 'n')} > p")
+def au_rules(spark, sf):
+    """The auditor's rules from motifs."""
+    rows, atoms = _audit_inputs(spark, sf)
+    return AU.audit_rules(rows, atoms).select("rel", "atom", "fix", "n", "k")
+
+
+@query()
+def au_cross_fit(spark, sf):
+    """Scores of the observed labels, the audited ones and the audited and repaired ones."""
+    rows, atoms = _audit_inputs(spark, sf)
+    e = T.edges(spark, sf)
+    prior = cut(EN.label_prior(e))
+    done = cut(AU.cross_fit(rows, atoms, cut(EN.triangle_information(MO.triangles(e), prior)), prior))
+    steps = [done.select(F.lit(name).alias("step"), "gold", F.col("rel").alias("obs"), F.col(c).alias("fin")) for name, c in (("observed", "rel"), ("audited", "audited"), ("repaired", "repaired"))]
+    return ME.repair_score(steps[0].unionByName(steps[1]).unionByName(steps[2]), "step")

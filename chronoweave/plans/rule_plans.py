@@ -12,7 +12,7 @@ from chronoweave.operators import learn
 from chronoweave.operators import metrics as ME
 from chronoweave.operators import mining as MN
 from chronoweave.plans.base import query
-from chronoweave.plans.function_plans import sql_md5_mod, sql_split, sql_wilson
+from chronoweave.plans.function_plans import r6, sql_md5_mod, sql_split, sql_wilson
 from chronoweave.plans.mining_plans import MINED, mined_atoms
 from chronoweave.sources import testdata as T
 
@@ -275,10 +275,10 @@ def me_oracle_ceiling(spark, sf):
     return rows.groupBy("gold").agg(F.count(F.lit(1)).alias("n"), F.count(F.col("reachable")).alias("covered"), F.count_if("reachable").alias("reachable"))
 
 
-@query(f"with {FIRED} select rule_id, rel, count(*) n, count(*) filter (gold = rel) hit, round({sql_wilson('count(*) filter (gold = rel)', 'count(*)')}, 6) wlb from fd group by all")
+@query(f"with {FIRED} select rule_id, rel, count(*) n, count(*) filter (gold = rel) hit, round({sql_wilson('count(*) filter (gold = rel)', 'count(*)')}, 6) + 0 wlb from fd group by all")
 def me_rule_precision(spark, sf):
     per = fired(spark, sf).groupBy("rule_id", "rel").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gold") == F.col("rel")).alias("hit"))
-    return per.withColumn("wlb", F.round(S.wilson_lower(F.col("hit"), F.col("n")), 6))
+    return per.withColumn("wlb", r6(S.wilson_lower(F.col("hit"), F.col("n"))))
 
 
 @query(f"with {T.SQL_PAIRS} select case when {sql_md5_mod(chr(39) + 'v' + chr(39) + ' || doc', 5)} = 0 then 'valid' else {sql_split('doc')} end split, rel, count(*) n, count(distinct doc) docs from pr group by all")
