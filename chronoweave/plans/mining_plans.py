@@ -376,3 +376,35 @@ def mn_views(spark, sf):
     base = A.base_rates(f).select("view", "sig", "rel", "p0")
     s = MN.single_supports(atoms).where("n >= 25 and k >= 8 and docs >= 5 and rel <> 'BEFORE'").join(base, ["view", "sig", "rel"])
     return s.where(F.col("k") / F.col("n") >= 1.5 * F.col("p0")).select("view", "sig", "rel", F.col("atom").alias("conds"), "n", "k", "docs")
+
+
+@query(f"""with {_PAIR_COUNTS}, w1 as (select *, {sql_wilson('k', 'n')} w from s1), w2 as (select pk.rel, pk.a, pk.b, pn.n, pk.k, {sql_wilson('pk.k', 'pn.n')} w from pk join pn on pn.a = pk.a and pn.b = pk.b)
+  select w2.rel, w2.a || ' & ' || w2.b conds, w2.n, w2.k, round(w2.w, 6) wlb from w2 join w1 x on x.rel = w2.rel and x.atom = w2.a join w1 y on y.rel = w2.rel and y.atom = w2.b where w2.n >= 25 and w2.w >= 0.1 and w2.w - greatest(x.w, y.w) > 0.02""")
+def mn_bounded(spark, sf):
+    """Pairs whose bound exceeds a target and both parents' by a margin; supports below what the target needs are never formed."""
+    atoms = mined_atoms(spark, sf)
+    base = global_base(spark, sf).select("view", "sig", "rel", "p0").where(F.col("rel").isin(*_MINOR))
+    least_k = max(8, S.least_support(0.1))
+    singles = MN.single_supports(atoms).where(F.col("n") >= 25).where(F.col("k") >= least_k).join(base, ["view", "sig", "rel"])
+    pairs = MN.pair_supports(atoms, singles, least_k, 5).where("n >= 25")
+    bound = lambda c: singles.select("view", "sig", "rel", F.col("atom").alias(c), S.wilson_lower(F.col("k"), F.col("n")).alias(f"w_{c}"))
+    rows = pairs.join(bound("a"), ["view", "sig", "rel", "a"]).join(bound("b"), ["view", "sig", "rel", "b"]).withColumn("wlb", S.wilson_lower(F.col("k"), F.col("n")))
+    kept = rows.where((F.col("wlb") >= 0.1) & (F.col("wlb") - F.greatest("w_a", "w_b") > 0.02))
+    return kept.select("rel", F.concat_ws(" & ", "a", "b").alias("conds"), "n", "k", F.round("wlb", 6).alias("wlb"))
+
+
+_WEIGHTS = "w as (select atom, rel, n, k, unnest(['wilson', 'confidence', 'lift']) weight, unnest([" + sql_wilson("k", "n") + ", k / n::double, k / n::double / p0]) v from sg join bs using (rel) where n >= 25 and k >= 8)"
+
+
+@query(f"with {MINED}, {_SINGLES}, {_BASE}, {_WEIGHTS}, r as (select *, row_number() over (partition by weight, rel order by round(v, 9) desc, atom) r from w) select weight, rel, atom, round(v, 6) v from r where r <= 3")
+def me_score_ablation(spark, sf):
+    """The strongest atoms of each label under three weights."""
+    from pyspark.sql import Window as W
+
+    base = global_base(spark, sf).select("rel", "p0")
+    s = MN.single_supports(mined_atoms(spark, sf)).where("n >= 25 and k >= 8").join(F.broadcast(base), "rel")
+    k, n = F.col("k"), F.col("n")
+    weights = F.array(*[F.struct(F.lit(name).alias("weight"), v.alias("v")) for name, v in (("wilson", S.wilson_lower(k, n)), ("confidence", k / n), ("lift", k / n / F.col("p0")))])
+    rows = s.select("rel", "atom", F.explode(weights).alias("x")).select("x.weight", "rel", "atom", "x.v")
+    rank = F.row_number().over(W.partitionBy("weight", "rel").orderBy(F.desc(F.round("v", 9)), "atom"))
+    return rows.withColumn("r", rank).where("r <= 3").select("weight", "rel", "atom", F.round("v", 6).alias("v"))

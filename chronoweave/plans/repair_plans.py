@@ -365,3 +365,41 @@ def au_cross_fit(spark, sf):
     done = cut(AU.cross_fit(rows, atoms, cut(EN.triangle_information(MO.triangles(e), prior)), prior))
     steps = [done.select(F.lit(name).alias("step"), "gold", F.col("rel").alias("obs"), F.col(c).alias("fin")) for name, c in (("observed", "rel"), ("audited", "audited"), ("repaired", "repaired"))]
     return ME.repair_score(steps[0].unionByName(steps[1]).unionByName(steps[2]), "step")
+
+
+# ------------------------------------------------- variants of the same parts
+
+
+@query(f"with {P}, {_prior('pr')}, {_INJECTED} select kind, obs, rel, round(case when kind = 'EE' then log_p when obs = rel then 0 else ln(1e-9) end, 6) + 0 log_p from ch cross join (select unnest(['EE', 'TT']) kind)")
+def en_channel_exact(spark, sf):
+    """A channel that doubts event pairs only."""
+    channel = EN.channel_injected(EN.label_prior(T.edges(spark, sf)), 0.1)
+    kinds = spark.createDataFrame([("EE",), ("TT",)], "kind string")
+    rows = EN.channel_exact(channel.crossJoin(kinds), F.col("kind") == "EE")
+    return rows.select("kind", "obs", "rel", (F.round("log_p", 6) + F.lit(0.0)).alias("log_p"))
+
+
+@query(f"with {P}, {_prior('pr')}, {_INJECT} select rel obs, count(*) n, count(*) filter (rel <> gold) wrong from (select ob.doc, ob.s, ob.t, ob.gold, case when pr.type_a = '1-URGENT' then ob.rel else ob.gold end rel from ob join pr using (doc, s, t)) group by rel")
+def nz_inject_where(spark, sf):
+    """Noise on one kind of pairs only."""
+    pairs = T.event_pairs(spark, sf).select("doc", "s", "t", "rel", "type_a")
+    noisy = NZ.inject(pairs, EN.label_prior(pairs), 0.1, where=F.col("type_a") == "1-URGENT")
+    return noisy.groupBy("obs").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("obs") != F.col("rel")).alias("wrong"))
+
+
+@query(f"with {_ENERGY}, {_BEST} select gold, count(*) n, count(*) filter (best = gold) fixed, count(*) filter (best = obs) kept from be where obs <> gold group by gold")
+def me_wrong_only(spark, sf):
+    """What a sweep does to the edges that were wrong."""
+    best = EN.best_labels(_energies(spark, sf))
+    rows = injected(spark, sf).select("doc", "s", "t", "gold").join(best, ["doc", "s", "t"]).where("obs <> gold")
+    return rows.groupBy("gold").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("best") == F.col("gold")).alias("fixed"), F.count_if(F.col("best") == F.col("obs")).alias("kept"))
+
+
+@query()
+def me_false_alarms(spark, sf):
+    """What repair changes on a graph without noise."""
+    e = T.edges(spark, sf)
+    prior = cut(EN.label_prior(e))
+    information = cut(EN.triangle_information(MO.triangles(e), prior))
+    fixed = EN.icm_repair(e, prior, EN.channel_injected(prior, 0.1), information)
+    return ME.repair_score(fixed.select(F.col("obs").alias("gold"), "obs", F.col("best").alias("fin")))
