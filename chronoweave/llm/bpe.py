@@ -18,14 +18,15 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 from tokenizers import Tokenizer
 
 #: A piece of more code points is encoded as a tree.
 LONG = 512
 #: Code points of a leaf.
 LEAF = 128
-#: Pieces that a worker remembers; then it starts anew, which costs time and changes nothing.
-REMEMBERED = 800_000
+#: Pieces of each of two generations that a worker remembers; the older one is dropped, which costs time and changes nothing.
+REMEMBERED = 150_000
 
 # The vocabulary's cutting pattern for texts below U+0250, where letters, numbers and white space are these.
 _LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t\n\x0b\x0c\r \x85\xa0"
@@ -60,6 +61,7 @@ class ByteBpe:
         self.same = {i: i for i in self.bytes_of}  # one int object for each id
         self.split_special = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokenizer's pieces of a text without special tokens."""
@@ -96,10 +98,10 @@ class ByteBpe:
         if not new:
             return
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+            self.older, self.known = self.known, {}
             new = set(pieces)
-        raw, same = self._raw, self.same.__getitem__
-        self.known.update((p, tuple(map(same, raw(p.encode()) if len(p) <= LONG else self.encode_long(p)))) for p in new)
+        raw, same, older = self._raw, self.same.__getitem__, self.older
+        self.known.update((p, older[p] if p in older else tuple(map(same, raw(p.encode()) if len(p) <= LONG else self.encode_long(p)))) for p in new)
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; special tokens in it count as such.  Null is the empty text."""
@@ -151,7 +153,7 @@ def decode_ids(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             yield batch.assign(decoded=[bpe.decode([]) if i is None else bpe.decode(list(i)) for i in batch[ids]])
 
     rows = rows.drop("decoded")
-    return rows.mapInPandas(run, rows.schema.add("decoded", "string"))
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("decoded", StringType())]))
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
