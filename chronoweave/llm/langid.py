@@ -9,6 +9,7 @@ log-likelihood by more than a penalty that grows with the logarithm of the lengt
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,6 +26,8 @@ BUCKETS = 1 << BITS
 #: Labelled rows that the model is fitted on, about; the sample is a fixed function of doc_id.
 SAMPLE_ROWS = 20_000
 UNDETERMINED = "und"
+#: Standard deviation of a trigram's log-likelihood under a language, about.
+SPREAD = 3.5
 
 
 @lru_cache(maxsize=1)
@@ -99,6 +102,17 @@ class LanguageModel:
             chosen, proportions, reached = [*chosen, i], some, now
         return {self.languages[i]: float(x) for i, x in zip(chosen, proportions)}, pi, reached / n.sum()
 
+    def identified(self, text: str | None) -> bool:
+        """Whether a text has a language: a letter, and trigrams that the mixture does not explain clearly worse than even draws.
+
+        Clearly is five standard errors of a mean over the text's trigrams, so a short text with a key or a name in it stays.
+        """
+        found = self.mixture(text)
+        if found is None:
+            return False
+        _, counts = trigram_counts(text)
+        return found[2] + math.log(BUCKETS) > -5 * SPREAD / math.sqrt(counts.sum())
+
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Main language of the chosen set (ties: the first by name), its share over all languages, log-likelihood a trigram."""
         found = self.mixture(text)
@@ -172,8 +186,8 @@ def training_rows(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that have no language.
 
-    A row goes if its text is null or has no letter, or if the best mixture of languages explains its trigrams no better
-    than drawing buckets evenly would.
+    A row goes if its text is null or has no letter, or if the best mixture of languages explains its trigrams clearly worse
+    than drawing buckets evenly would (``LanguageModel.identified``).
     """
     model = fit(training_rows(docs))
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.likelihood.astype(np.float32)))
@@ -182,7 +196,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
         languages, likelihood = shared.value
         local = LanguageModel(languages, likelihood.astype(np.float64))
         for batch in batches:
-            seen = [local.predict(t) for t in batch["text"]]
-            yield batch[np.array([lang != UNDETERMINED and mean > -np.log(BUCKETS) for lang, _, mean in seen], bool)]
+            yield batch[np.array([local.identified(t) for t in batch["text"]], bool)]
 
     return docs.mapInPandas(run, docs.schema)
