@@ -81,20 +81,34 @@ def local_energy(edges: DataFrame, prior: DataFrame, channel: DataFrame, informa
 
     ``edges`` is ``(doc, s, t, rel)`` with the observed label as rel.  The information table is a closed grid and is broadcast.
     """
-    tri = MO.triangles(edges)
-    labels = F.explode(F.array(*map(F.lit, V.RELATIONS))).alias("label")
-    sides = MO.sides(tri).select("doc", "lo", "hi", "side", "o_xy", "o_yz", "o_xz", "rev_xy", "rev_yz", "rev_xz", labels)
     rev = F.when(F.col("side") == "xy", F.col("rev_xy")).when(F.col("side") == "yz", F.col("rev_yz")).otherwise(F.col("rev_xz"))
-    new = S.oriented(F.col("label"), rev)
-    sides = sides.select("doc", "lo", "hi", "label", *[F.when(F.col("side") == c, new).otherwise(F.col(f"o_{c}")).alias(f"o_{c}") for c in ("xy", "yz", "xz")])
-    scored = sides.join(F.broadcast(information), ["o_xy", "o_yz", "o_xz"]).groupBy("doc", "lo", "hi", "label").agg(F.sum(-F.col("pmi")).alias("sum"), F.count(F.lit(1)).alias("triangles"))
-    own = edges.select("doc", "s", "t", F.col("rel").alias("obs"), labels, F.least("s", "t").alias("lo"), F.greatest("s", "t").alias("hi"))
-    own = own.join(F.broadcast(prior.select(F.col("rel").alias("label"), "q")), "label").join(F.broadcast(channel.select("obs", F.col("rel").alias("label"), "log_p")), ["obs", "label"])
-    rows = own.join(scored, ["doc", "lo", "hi", "label"], "left")
-    motif = F.coalesce(F.col("sum") / F.col("triangles") if mean else F.col("sum"), F.lit(0.0))
+    p, q = F.when(F.col("side") == "xy", F.col("o_yz")).otherwise(F.col("o_xy")), F.when(F.col("side") == "xz", F.col("o_yz")).otherwise(F.col("o_xz"))
+    sides = MO.sides(MO.triangles(edges)).select("doc", "lo", "hi", "side", rev.alias("rev"), p.alias("p"), q.alias("q"))
+    scored = sides.join(F.broadcast(side_information(information)), ["side", "rev", "p", "q"]).groupBy("doc", "lo", "hi")
+    scored = scored.agg(F.array(*[F.sum(-F.col(f"e{i}")) for i in range(len(V.RELATIONS))]).alias("sums"), F.count(F.lit(1)).alias("triangles"))
+    own = edges.select("doc", "s", "t", F.col("rel").alias("obs"), F.least("s", "t").alias("lo"), F.greatest("s", "t").alias("hi")).join(scored, ["doc", "lo", "hi"], "left")
+    own = own.select("doc", "s", "t", "obs", "sums", "triangles", F.posexplode(F.array(*map(F.lit, V.RELATIONS))).alias("i", "label"))
+    rows = own.join(F.broadcast(prior.select(F.col("rel").alias("label"), "q")), "label").join(F.broadcast(channel.select("obs", F.col("rel").alias("label"), "log_p")), ["obs", "label"])
+    total = F.get("sums", F.col("i"))
+    motif = F.coalesce(total / F.col("triangles") if mean else total, F.lit(0.0))
     return rows.select("doc", "s", "t", "obs", "label", (-(1 - damping) * F.log("q") - F.col("log_p") + weight * motif).alias("energy"), F.coalesce("triangles", F.lit(0)).alias("triangles"), "q")
 
 
+def side_information(information: DataFrame) -> DataFrame:
+    """``(side, rev, p, q, e0..e5)``: for one side of a triangle and the other two labels, the information of each label there.
+
+    ``rev`` says that the side's edge is stored backwards.  A closed grid of a few hundred rows.
+    """
+    out = None
+    for side, first, second in (("xy", "yz", "xz"), ("yz", "xy", "xz"), ("xz", "xy", "yz")):
+        by_label = information.groupBy(F.col(f"o_{first}").alias("p"), F.col(f"o_{second}").alias("q")).agg(F.map_from_entries(F.collect_list(F.struct(f"o_{side}", "pmi"))).alias("m"))
+        for rev in (False, True):
+            name = lambda r: f"i{r}" if rev and r not in V.SYMMETRIC else r
+            part = by_label.select(F.lit(side).alias("side"), F.lit(rev).alias("rev"), "p", "q", *[F.try_element_at("m", F.lit(name(r))).alias(f"e{i}") for i, r in enumerate(V.RELATIONS)])
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def best_labels(energies: DataFrame) -> DataFrame:
     """``(doc, s, t, obs, best)``: each edge's label of least energy, the observed one unless another is lower by 1e-9.
 

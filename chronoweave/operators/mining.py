@@ -26,21 +26,26 @@ def single_supports(atoms: DataFrame) -> DataFrame:
     return per.withColumn("n", F.sum("k").over(W.partitionBy(*CLASS, "atom")))
 
 
+def _pairs(rows: DataFrame, *by: str) -> DataFrame:
+    """``(view, sig, doc, by..., a, b)``: the pairs a < b of each instance's atoms, formed inside its row."""
+    sets = rows.groupBy(*CLASS, *INSTANCE, *by).agg(F.array_sort(F.collect_set("atom")).alias("have"))
+    later = lambda x, i: F.transform(F.slice("have", i + 2, F.size("have")), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    return sets.select(*CLASS, "doc", *by, F.explode(F.flatten(F.transform("have", later))).alias("p")).select(*CLASS, "doc", *by, "p.a", "p.b")
+
+
 def pair_supports(atoms: DataFrame, singles: DataFrame, least_k: int, least_docs: int) -> DataFrame:
     """``(view, sig, rel, a, b, n, k, docs)`` of pairs of surviving atoms, a < b.
 
-    Pairs are formed among the positives of the labels in ``singles`` only; all instances are then counted for the pairs that
-    pass, and only through atoms that still occur in one.
+    Pairs are formed among the positives of the labels in ``singles`` first; all instances are then counted, only through
+    atoms that still occur in a pair.  Pairs are made inside an instance's row and summed where they are made, so neither
+    step shuffles them one by one.
     """
     kept = atoms.join(singles.select(*CLASS, "rel", "atom"), [*CLASS, "rel", "atom"], "left_semi")
-    left = kept.withColumnRenamed("atom", "a")
-    positives = left.join(kept.withColumnRenamed("atom", "b"), [*CLASS, *INSTANCE, "rel"]).where("a < b")
-    found = positives.groupBy(*CLASS, "rel", "a", "b").agg(F.count(F.lit(1)).alias("k"), F.count_distinct("doc").alias("docs")).where((F.col("k") >= least_k) & (F.col("docs") >= least_docs))
-    pairs = found.select(*CLASS, "a", "b").distinct()
-    used = pairs.select(*CLASS, F.explode(F.array("a", "b")).alias("atom")).distinct()
+    found = _pairs(kept, "rel").groupBy(*CLASS, "rel", "a", "b").agg(F.count(F.lit(1)).alias("k"), F.count_distinct("doc").alias("docs"))
+    found = cut(found.where((F.col("k") >= least_k) & (F.col("docs") >= least_docs)))
+    used = found.select(*CLASS, F.explode(F.array("a", "b")).alias("atom")).distinct()
     every = atoms.select(*CLASS, *INSTANCE, "atom").join(used, [*CLASS, "atom"], "left_semi")
-    with_a = every.withColumnRenamed("atom", "a").join(pairs, [*CLASS, "a"])
-    n = with_a.join(every.withColumnRenamed("atom", "b"), [*CLASS, *INSTANCE, "b"]).groupBy(*CLASS, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    n = _pairs(every).groupBy(*CLASS, "a", "b").agg(F.count(F.lit(1)).alias("n"))
     return found.join(n, [*CLASS, "a", "b"])
 
 
