@@ -21,20 +21,19 @@ SMOOTHING = 10.0
 LEAST_PRIOR = 1e-4
 
 
-def _label_rows(spark, *names: str) -> DataFrame:
-    """The closed grid of labels, one column for each name."""
-    out = None
-    for name in names:
-        one = spark.createDataFrame([(r,) for r in V.RELATIONS], f"{name} string")
-        out = one if out is None else out.crossJoin(one)
-    return out
+def closed_grid(spark, **columns: list[str]) -> DataFrame:
+    """All combinations of fixed values, in one partition."""
+    out = spark.range(0, 1, 1, 1)
+    for name, values in columns.items():
+        out = out.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
+    return out.drop("id")
 
 
 def label_prior(edges: DataFrame) -> DataFrame:
     """``(rel, q)`` with one added to each of the six labels."""
     counts = edges.groupBy("rel").agg(F.count(F.lit(1)).alias("c"))
     total = edges.count()
-    return _label_rows(edges.sparkSession, "rel").join(counts, "rel", "left").select("rel", ((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + len(V.RELATIONS)))).alias("q"))
+    return closed_grid(edges.sparkSession, rel=list(V.RELATIONS)).join(F.broadcast(counts), "rel", "left").select("rel", ((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + len(V.RELATIONS)))).alias("q"))
 
 
 def base_label(oriented: Column) -> Column:
@@ -43,16 +42,15 @@ def base_label(oriented: Column) -> Column:
 
 def triangle_information(tri: DataFrame, prior: DataFrame, beta: float = SMOOTHING) -> DataFrame:
     """``(o_xy, o_yz, o_xz, n, pmi)`` over the whole grid of oriented labels, seen or not."""
-    spark = tri.sparkSession
-    grid = None
+    names = oriented_labels()
+    grid = closed_grid(tri.sparkSession, o_xy=names, o_yz=names, o_xz=names)
     for name in ("o_xy", "o_yz", "o_xz"):
-        one = spark.createDataFrame([(o,) for o in oriented_labels()], f"{name} string")
-        one = one.join(prior.select(F.col("rel").alias("_r"), F.log("q").alias(f"l{name}")), base_label(F.col(name)) == F.col("_r")).drop("_r")
-        grid = one if grid is None else grid.crossJoin(one)  # a closed grid of oriented labels
+        known = prior.select(F.col("rel").alias("_r"), F.log("q").alias(f"l{name}"))
+        grid = grid.join(F.broadcast(known), base_label(F.col(name)) == F.col("_r")).drop("_r")
     seen = MO.configurations(tri)
     total = float(tri.count())
     log_q = F.col("lo_xy") + F.col("lo_yz") + F.col("lo_xz")
-    rows = grid.join(seen, ["o_xy", "o_yz", "o_xz"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = grid.join(F.broadcast(seen), ["o_xy", "o_yz", "o_xz"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return rows.select("o_xy", "o_yz", "o_xz", "n", (F.log((F.col("n") + beta * F.exp(log_q)) / (total + beta)) - log_q).alias("pmi"))
 
 
@@ -67,7 +65,7 @@ def channel_confusion(labelled: DataFrame) -> DataFrame:
     """``(obs, rel, log_p)`` from pairs of observed and true labels ``(obs, rel)``, half a count added to each cell."""
     cells = labelled.groupBy("obs", "rel").agg(F.count(F.lit(1)).alias("c"))
     totals = labelled.groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
-    grid = _label_rows(labelled.sparkSession, "obs", "rel").join(cells, ["obs", "rel"], "left").join(totals, "rel", "left")
+    grid = closed_grid(labelled.sparkSession, obs=list(V.RELATIONS), rel=list(V.RELATIONS)).join(F.broadcast(cells), ["obs", "rel"], "left").join(F.broadcast(totals), "rel", "left")
     return grid.select("obs", "rel", F.log((F.coalesce("c", F.lit(0)) + 0.5) / (F.coalesce("n", F.lit(0)) + 3.0)).alias("log_p"))
 
 

@@ -16,11 +16,13 @@ def inject(edges: DataFrame, prior: DataFrame, rate: float, seed: str = "37", wh
     Both draws are hashes of the edge, so they are the same wherever and however often they run.  ``where`` limits the noise.
     """
     q = {r["rel"]: r["q"] for r in prior.collect()}  # six rows
-    hit = S.hash_uniform(F.col("doc"), F.col("s"), F.col("t"), seed=seed) < rate
+    # the draws are columns of their own, so that they are hashed once and not for each label that they are compared with
+    draw = lambda salt: S.hash_uniform(F.col("doc"), F.col("s"), F.col("t"), seed=salt)
+    drawing = edges.withColumns({"_hit": draw(seed), "_pick": draw(f"{seed}b")})
+    hit = F.col("_hit") < rate
     if where is not None:
         hit = hit & where
-    u = S.hash_uniform(F.col("doc"), F.col("s"), F.col("t"), seed=f"{seed}b")
-    drawn = None
+    u, drawn = F.col("_pick"), None
     for gold in V.RELATIONS:
         others = [r for r in V.RELATIONS if r != gold]
         total, upto, pick = sum(q[r] for r in others), 0.0, None
@@ -29,7 +31,7 @@ def inject(edges: DataFrame, prior: DataFrame, rate: float, seed: str = "37", wh
             pick = F.when(u < upto, r) if pick is None else pick.when(u < upto, r)
         pick = pick.otherwise(others[-1])
         drawn = F.when(F.col("rel") == gold, pick) if drawn is None else drawn.when(F.col("rel") == gold, pick)
-    return edges.withColumn("obs", F.when(hit, drawn).otherwise(F.col("rel")))
+    return drawing.select(*edges.columns, F.when(hit, drawn).otherwise(F.col("rel")).alias("obs"))
 
 
 def document_confusions(rows: DataFrame) -> DataFrame:
