@@ -11,6 +11,7 @@ pairs, and the survivors are verified by their true distance.  Nothing is capped
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -18,6 +19,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoweave.llm.common import cut, partitions
@@ -175,3 +177,100 @@ def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     kept = simhash_components(docs.where("doc_id is not null"), words, radius).where("doc_id = component_id").select("doc_id").distinct()
     one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
     return one.unionByName(docs.where("doc_id is null"))
+
+
+# ----------------------------------------------------------------------------------------------- true likeness of shingles
+
+#: MinHash bands of a text and values in each: a pair of likeness 0.8 shares no band with a chance of 1.3e-7.
+BANDS, ROWS = 40, 5
+#: Rounds that compare each band's texts with one of them, before all pairs that are still apart are compared.
+HUB_ROUNDS = 2
+
+
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles."""
+    return np.unique(np.fromiter(shingle_hashes(text, words), np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of ``shingle_set``; two empty sets are equal."""
+    if not a.size and not b.size:
+        return 1.0
+    common = np.intersect1d(a, b, assume_unique=True).size
+    return common / (a.size + b.size - common)
+
+
+def band_keys(shingles: np.ndarray, seed: int = 11) -> list[int]:
+    """One signed key for each band of a set that is not empty; sets of similarity j share a given one with chance j ** ROWS."""
+    draws = np.random.default_rng(seed).integers(0, 2**32, (2, BANDS * ROWS, 1), dtype=np.uint32)
+    times, plus = draws[0] | np.uint32(1), draws[1]
+    least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    high = (shingles >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, high.size, 4_096):
+        least = np.minimum(least, ((high[at : at + 4_096] ^ plus) * times).min(axis=1))
+    return [_signed(xxhash.xxh64_intdigest(band.tobytes(), i)) for i, band in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """``(doc_id, digest, n, keys)`` of each row: digest and size of its shingle set, and the keys of its bands."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in batch["text"]]
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": digests, "n": [s.size for s in sets], "keys": [band_keys(s) if s.size else [] for s in sets]})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, digest binary, n int, keys array<long>")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """The rows of ``pairs(a, b)`` whose texts have a true similarity of ``least`` or more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            near = [jaccard(shingle_set(x, words), shingle_set(y, words)) >= least for x, y in zip(batch["x"], batch["y"])]
+            yield batch.loc[near, ["a", "b"]]
+
+    text = lambda i, t: docs.select(F.col("doc_id").alias(i), F.col("text").alias(t))
+    return pairs.join(text("a", "x"), "a").join(text("b", "y"), "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+
+
+def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """``(doc_id, component_id)`` of every row with an id: the smallest doc_id reachable over pairs of similarity ``least``.
+
+    Equal sets are one row.  Others meet in the bands that they share.  A band's texts are first compared with one of them,
+    so that a large group of near copies is joined by as many comparisons as it has texts; then every pair of a band that
+    is not in one component yet is compared.  A link counts only if the whole texts' Jaccard similarity says so.
+    """
+    docs = docs.where("doc_id is not null")
+    rows = cut(_sets(docs, words))
+    distinct = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    bands = distinct.select(F.explode("keys").alias("key"), "rep", "n")
+    bands = cut(bands.withColumn("met", F.count(F.lit(1)).over(W.partitionBy("key"))).where("met > 1").drop("met"))
+    links, found = None, None
+    for turn in range(HUB_ROUNDS + 1):
+        now = bands.withColumn("c", F.col("rep")) if found is None else bands.join(found, bands["rep"] == found["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+        of_key = W.partitionBy("key")
+        now = now.withColumn("apart", F.min("c").over(of_key) < F.max("c").over(of_key)).where("apart")
+        if turn < HUB_ROUNDS:
+            order = F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "n", "c")
+            pairs = now.withColumn("hub", F.min(order).over(of_key)).select(F.col("rep").alias("i"), F.col("n").alias("ni"), F.col("c").alias("ci"), F.col("hub.rep").alias("j"), F.col("hub.n").alias("nj"), F.col("hub.c").alias("cj"))
+        else:
+            side = lambda x: now.select("key", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"))
+            pairs = side("i").join(side("j"), "key").where("i < j")
+        pairs = pairs.where((F.col("ci") != F.col("cj")) & (F.least("ni", "nj") >= F.lit(least) * F.greatest("ni", "nj") - 1e-6))
+        pairs = pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).where("a < b").distinct()
+        more = cut(_verified(pairs, docs, words, least))
+        links = more if links is None else links.unionByName(more)
+        found = components(links)
+    # repeated ids tie their texts together, so the links run over ids: equal sets point to their smallest one
+    same = rows.join(distinct.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    whole = components(links.unionByName(same))
+    return docs.select("doc_id").join(whole, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one_similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of each component of ``similar_components``, as ``keep_one`` does of fingerprints."""
+    gone = similar_components(docs, words, least).where("doc_id <> component_id").select("doc_id").distinct()
+    one = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return one.unionByName(docs.where("doc_id is null"))
