@@ -10,6 +10,7 @@ the driver, and a document's rate is a fold over the rounds' residuals, so no ro
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,11 +27,14 @@ LEAST_DOCUMENTS = 5
 EVIDENCE = 25.0
 #: Words in the model up to which they stand in the plan, and up to which it is broadcast; a larger one is joined.
 LITERAL_WORDS, BROADCAST_WORDS = 4_000, 200_000
-PULL = 1e-3
+#: So small that a rate of 20 moves its domain's total by 0.02 %.
+PULL = 1e-5
 CALIBRATION_ROUNDS = 8
-#: No document is taken more often; targets that would need more are met as far as this allows.
-MOST_RATE = 8.0
+#: Rates have no upper bound.
+MOST_RATE = math.inf
 MOST_ROUNDS, STALLED = 60, 1e-7
+#: Difference of a total from its target, relative to the target, from which a warning says that the fit ended short of it.
+UNMET = 0.01
 
 
 def with_evidence(docs: DataFrame, *keep: str) -> DataFrame:
@@ -126,9 +130,10 @@ def posteriors(scored: DataFrame, priors: dict[str, float]) -> DataFrame:
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float], tolerance: float = 1e-4) -> DataFrame:
-    """``members`` with a column ``rate``: in [0, MOST_RATE], so that the domains' expected tokens meet the targets.
+    """``members`` with a column ``rate``: zero or more, so that the domains' expected tokens meet the targets.
 
     ``targets`` are shares of all tokens; they are scaled to sum to one.  A corpus without tokens keeps the rate one.
+    Targets that the posteriors do not allow, such as one for a domain without tokens, are told in a warning.
     """
     domains = list(targets)
     whole = sum(targets.values())
@@ -143,7 +148,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], tolerance: float =
 
         def step(at: Column, s: Column) -> Column:
             y = at["y"] - sum(p * s[k] for k, p in enumerate(member)) - PULL * (at["y"] - 1)
-            w = F.greatest(F.lit(0.0), F.least(F.lit(MOST_RATE), y))
+            w = F.greatest(F.lit(0.0), y)
             return F.struct(w.alias("w"), (w + s[len(domains)] * (w - at["w"])).alias("y"))
 
         return F.aggregate(history, first, step)
@@ -161,16 +166,19 @@ def fit_rates(members: DataFrame, targets: dict[str, float], tolerance: float =
         # relative errors: in them the steepest direction has curvature one, so steps of length one are safe
         start = start or [max(x, 1e-9) for x in now]
         error = sum((x - g) ** 2 / s for x, g, s in zip(now, goal, start))
-        if max(abs(x - g) for x, g in zip(now, goal)) < tolerance:
+        if all(abs(x - g) < tolerance and abs(x - g) <= UNMET / 2 * g for x, g in zip(now, goal)):
             break
         if least is not None and abs(least - error) <= STALLED:
-            break  # as near as the posteriors and the largest rate allow
+            break  # as near as the posteriors allow
         if least is not None and error > least:
             momentum = 1.0  # it overshot: gather speed anew
         least = error
         following = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
         steps.append([*((x - g) / s for x, g, s in zip(ahead, goal, start)), (momentum - 1) / following])
         momentum = following
+    unmet = {d: (round(x, 6), g) for d, x, g in zip(domains, now, goal) if abs(x - g) > UNMET * g}
+    if unmet:
+        warnings.warn(f"shares of tokens and their targets that the rates do not meet: {unmet}", stacklevel=2)
     return members.withColumn("rate", state()["w"])
 
 
@@ -188,7 +196,14 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     return rated.withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 
 
-def apply_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` with each document as often as its ``copies``; the columns of ``docs``."""
-    rated = mix(docs, labelled, targets).select(F.col("doc_id").alias("_id"), "copies").where("copies > 0")
+def apply_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, keep: str | None = None) -> DataFrame:
+    """``docs`` with each document as often as its ``copies``; the columns of ``docs``.
+
+    Documents whose likeliest domain is ``keep`` stay once at least, whatever their rate.
+    """
+    rated = mix(docs, labelled, targets)
+    if keep is not None:
+        likeliest = F.col(f"p_{keep}") >= F.greatest(F.lit(0.0), *[F.col(c) for c in rated.columns if c.startswith("p_")])
+        rated = rated.withColumn("copies", F.when(likeliest, F.greatest("copies", F.lit(1))).otherwise(F.col("copies")))
+    rated = rated.select(F.col("doc_id").alias("_id"), "copies").where("copies > 0")
     return docs.join(rated, docs["doc_id"].eqNullSafe(rated["_id"])).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(*docs.columns)

@@ -52,3 +52,37 @@ def test_odd_rows(spark, odd_docs):
     assert applied.columns == odd_docs.columns and applied.count() > 0
     labels = spark.createDataFrame([(1, "good"), (1, "toxic"), (None, "good"), (99, "low"), (3, "other")], "doc_id long, domain string")
     assert M.mix(odd_docs, labels).count() == odd_docs.count()
+
+
+def fitted(spark, rows, targets):
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p_good double, p_low double, p_toxic double")
+    got = M.fit_rates(members, targets).collect()
+    assert min(r["rate"] for r in got) >= 0
+    return totals(got)
+
+
+def test_totals_meet_the_targets_themselves(spark):
+    """Domains far under an eighth of their target, of sharp and of soft posteriors."""
+    rare = [(i, 100, 1.0, 0.0, 0.0) if i < 900 else (i, 100, 0.0, 1.0, 0.0) for i in range(999)] + [(999, 100, 0.0, 0.0, 1.0)]
+    hot = [(i, 100, 0.9, 0.08, 0.02) if i < 50 else (i, 100, 0.02, 0.97, 0.01) for i in range(995)] + [(i, 100, 0.1, 0.1, 0.8) for i in range(995, 1000)]
+    for rows in (rare, hot):
+        for d, x in fitted(spark, rows, M.TARGETS).items():
+            assert abs(x - M.TARGETS[d]) <= 0.01 * M.TARGETS[d], (d, x)
+
+
+def test_unmet_targets_are_told(spark):
+    import pytest
+
+    with pytest.warns(UserWarning, match="toxic"):
+        fitted(spark, [(i, 100, 0.5, 0.5, 0.0) for i in range(10)], M.TARGETS)
+
+
+def test_clean_documents_stay(spark, make_docs):
+    """Good tokens over their target: rates under one drop none of the documents to keep."""
+    good = [f"river stone garden window number{i}" for i in range(190)]
+    docs = make_docs(good + ["buy cheap pills now click"] * 10)
+    labels = spark.createDataFrame([(i, "good" if i < 190 else "low") for i in range(200)], "doc_id long, domain string")
+    targets = {"good": 0.5, "low": 0.5}
+    kept = {r["doc_id"] for r in M.apply_mix(docs, labels, targets, keep="good").collect()}
+    assert kept >= set(range(190))
+    assert not {r["doc_id"] for r in M.apply_mix(docs, labels, targets).collect()} >= set(range(190))
