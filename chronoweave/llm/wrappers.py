@@ -313,7 +313,14 @@ def infer_wrappers(pages: DataFrame, salts: int = 8) -> DataFrame:
     schema = "host string, skeleton string, packed string"
     spark = pages.sparkSession
     n = partitions(spark)
-    streams = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(read, schema)
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(texts=[_digest(json.dumps(read_stream(h).texts)) for h in batch["html"]])
+
+    # copies of one page say nothing of the host: pages of equal texts count once
+    distinct = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(digests, "host string, html string, texts string").dropDuplicates(["host", "texts"])
+    streams = distinct.select("host", "html").mapInPandas(read, schema)
     salted = streams.withColumn("salt", F.pmod(F.xxhash64("skeleton"), F.lit(salts)).cast("int"))
     parts = salted.repartition(n, "host", "salt").sortWithinPartitions("host", "salt", "skeleton", "packed")
     parts = parts.mapInPandas(lambda it: _merge_sorted(it, ["host", "salt"]), "host string, salt int, skeleton string, packed string")
@@ -351,7 +358,8 @@ def extract(html: str | None, packed: str | None = None) -> str:
     for text, (boiler, content), i in zip(stream.texts, stream.roles, at):
         if boiler or has_article and not content:
             continue
-        if i is not None and i in template and template[i] == _digest(text):
+        # what the article's own markup holds stays, however many pages share it
+        if not content and i is not None and i in template and template[i] == _digest(text):
             continue
         kept.append(text)
     return "\n".join(kept)

@@ -40,3 +40,17 @@ def test_template_text_is_dropped(spark):
 
 def test_empty_table(spark):
     assert W.extract_pages(spark.createDataFrame([], "page_id long, url string, html string, host string")).count() == 0
+
+
+def test_copied_articles_stay_whole(spark):
+    """30 copies of one article, 25 near copies, and 30 copies outside <article> among other pages."""
+    same = page("Title", "one", "two")
+    loose = "<body><h2>Head {0}</h2><blockquote>Quote {0}</blockquote><p>a {0}</p><p>b {0}</p></body>"
+    rows = [(i, f"http://copies.example/{i}", same) for i in range(30)]
+    rows += [(100 + i, f"http://near.example/{i}", page("Title", "one", f"two {i}")) for i in range(25)]
+    rows += [(200 + i, f"http://mixed.example/{i}", loose.format("x")) for i in range(30)]
+    rows += [(300 + i, f"http://mixed.example/o{i}", f"<body><h2>t{i}</h2><p>c {i}</p><p>d {i}</p></body>") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in W.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(30)} == {"Title\none\ntwo"}
+    assert all(got[100 + i] == f"Title\none\ntwo {i}" for i in range(25))
+    assert {got[200 + i] for i in range(30)} == {"Head x\nQuote x\na x\nb x"}
