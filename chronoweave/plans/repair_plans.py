@@ -66,6 +66,20 @@ def mo_graph_atoms(spark, sf):
     return MO.graph_atoms(MO.two_hop(T.edges(spark, sf))).groupBy("atom").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def mo_three_hop_all(spark, sf):
+    """Paths of three hops in all documents, whatever their size."""
+    return MO.three_hop(T.edges(spark, sf))
+
+
+@query()
+def mo_graph_atoms_all(spark, sf):
+    """Atoms of paths of two and of three hops."""
+    e = T.edges(spark, sf)
+    atoms = MO.graph_atoms(MO.two_hop(e)).unionByName(MO.graph_atoms(MO.three_hop(e)))
+    return atoms.groupBy("atom").agg(F.count(F.lit(1)).alias("n"))
+
+
 _KNOWN = f"kn as (select distinct o_xy, o_yz, o_xz from tr where {sql_md5_mod('cast(doc as varchar)', 5)} <> 0)"
 
 
