@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions import scalar as S
@@ -174,6 +175,25 @@ def fn_connectives(spark, sf):
     return rows.select("k", F.array_join(F.array_sort(S.words_between(F.col("tok"), F.lit(1), F.lit(10), V.CONNECTIVES)), ",").alias("conn"), F.array_join(S.content_words(F.array_join("tok", " ")), ",").alias("content"))
 
 
+def _whole_tokens(spark, sf) -> DataFrame:
+    """``(k, tok)``: all tokens of each document."""
+    return T.table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("k"), F.split(F.regexp_replace("text", "\n", " "), " ").alias("tok"))
+
+
+@query()
+def fn_context_words_all(spark, sf):
+    """``fn_context_words`` over whole texts; the place is doc_id modulo the number of tokens."""
+    rows = _whole_tokens(spark, sf).withColumn("at", F.pmod("k", F.size("tok")).cast("int"))
+    return rows.select("k", F.array_join(S.words_before(F.col("tok"), F.col("at"), 3, V.PREPOSITIONS), ",").alias("prep"), F.array_join(S.neighbour_words(F.col("tok"), F.col("at")), ",").alias("ctx"))
+
+
+@query()
+def fn_connectives_all(spark, sf):
+    """Connective words strictly between the first and the last token of the whole text, and its first content words."""
+    conn = S.words_between(F.col("tok"), F.lit(0), F.size("tok") - 1, V.CONNECTIVES)
+    return _whole_tokens(spark, sf).select("k", F.array_join(F.array_sort(conn), ",").alias("conn"), F.array_join(S.content_words(F.array_join("tok", " ")), ",").alias("content"))
+
+
 def sql_md5_mod(text: str, m: int) -> str:
     digits = f"list_sum(list_transform(string_split(md5({text}), ''), lambda ch: strpos('0123456789abcdef', ch) - 1))"
     last = f"(strpos('0123456789abcdef', right(md5({text}), 1)) - 1)"
