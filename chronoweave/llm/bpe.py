@@ -17,10 +17,14 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 from tokenizers import Tokenizer
 
+from chronoweave.llm.common import map_frames
+
 #: A piece of more code points is encoded as a tree.
 LONG = 512
 #: Code points of a leaf.
@@ -139,21 +143,25 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 part = batch.iloc[start : start + 500]
                 ids = [bpe.encode(t) for t in part["text"]]
                 digests = [hashlib.sha256(bpe.decode(i).encode()).hexdigest() for i in ids]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_tokens": list(map(len, ids)), "ids": [np.array(i, np.int32) for i in ids], "decoded_sha256": digests})
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_tokens": list(map(len, ids)), "ids": [np.array(i, np.int32) for i in ids], "decoded_sha256": digests})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+    return map_frames(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def decode_ids(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``rows`` with a column ``decoded``; null ids decode to the empty text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = rows.drop("decoded")
+    out = StructType([*rows.schema.fields, StructField("decoded", StringType())])
+    at, schema = rows.columns.index(ids), to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer_at(path)
         for batch in batches:
-            yield batch.assign(decoded=[bpe.decode([]) if i is None else bpe.decode(list(i)) for i in batch[ids]])
+            text = pa.array([bpe.decode(i or []) for i in batch.column(at).to_pylist()], schema.field("decoded").type)
+            yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, "decoded"])
 
-    rows = rows.drop("decoded")
-    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("decoded", StringType())]))
+    return rows.mapInArrow(run, out)
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -171,4 +179,4 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
             n, a, b = zip(*rows) if rows else ((), (), ())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": list(n), "ids_sha256": list(a), "decoded_sha256": list(b)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_frames(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

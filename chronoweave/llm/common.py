@@ -5,9 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: The columns of ``documents``.
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -17,22 +22,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset and driver and executors are one process."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="chronoweave-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronoweave-"))
+    """The same rows from the checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def through_parquet(df: DataFrame) -> DataFrame:
-    """The same rows, written to and read from a new folder in ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronoweave-"))
-    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+def through_parquet(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The same rows, written to and read from a new folder (``path``, or one in the checkpoint folder)."""
+    path = path or new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_folder(spark)}/stage-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: pandas types that keep whole numbers and truth values as they are beside nulls, where plain ones become floats and objects.
+_WHOLE = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype(), pa.bool_(): pd.BooleanDtype()}
+
+
+def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``df.mapInPandas(run, schema)``, with ids that stay exact in a batch that also holds a null."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in run(batch.to_pandas(types_mapper=_WHOLE.get) for batch in batches):
+            yield from pa.Table.from_pandas(frame, schema=arrow, preserve_index=False).to_batches()
+
+    return df.mapInArrow(go, schema)
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:

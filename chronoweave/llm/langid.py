@@ -16,10 +16,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import fold
+from chronoweave.llm.common import fold, map_frames
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -83,10 +84,13 @@ class LanguageModel:
 
     def mixture(self, text: str | None, penalty: float = 4.0) -> tuple[dict[str, float], np.ndarray, float] | None:
         """Proportions over the chosen set, proportions over all languages, log-likelihood a trigram; None without a letter."""
-        found = trigram_counts(text)
-        if found is None or not self.languages:
+        return self.mixture_of(trigram_counts(text), penalty)
+
+    def mixture_of(self, counted: tuple[np.ndarray, np.ndarray] | None, penalty: float = 4.0) -> tuple[dict[str, float], np.ndarray, float] | None:
+        """``mixture`` of a text's counted trigrams."""
+        if counted is None or not self.languages:
             return None
-        at, n = found
+        at, n = counted
         p = self.likelihood[at]
         single = n @ np.log(p)
         best, (pi, _) = int(np.argmax(single)), self.em(p, n)
@@ -107,31 +111,31 @@ class LanguageModel:
 
         Clearly is five standard errors of a mean over the text's trigrams, so a short text with a key or a name in it stays.
         """
-        found = self.mixture(text)
-        if found is None:
-            return False
-        _, counts = trigram_counts(text)
-        return found[2] + math.log(BUCKETS) > -5 * SPREAD / math.sqrt(counts.sum())
-
-    def predict(self, text: str | None) -> tuple[str, float, float]:
-        """Main language of the chosen set (ties: the first by name), its share over all languages, log-likelihood a trigram."""
-        found = self.mixture(text)
-        if found is None:
-            return UNDETERMINED, 0.0, 0.0
-        chosen, pi, mean = found
-        top = max(sorted(chosen), key=chosen.get)
-        return top, float(min(1.0, pi[self.languages.index(top)])), mean
+        counted = trigram_counts(text)
+        found = self.mixture_of(counted)
+        return found is not None and found[2] + math.log(BUCKETS) > -5 * SPREAD / math.sqrt(counted[1].sum())
+
+
+def sample_shares(rows: dict[str, int], bound: int) -> dict[str, float]:
+    """Share of each language's rows to take: all of the rare ones, and of the others an even number that fills the bound."""
+    left, shares = bound, {}
+    for i, (lang, n) in enumerate(sorted(rows.items(), key=lambda x: (x[1], x[0]))):
+        take = min(n, left / (len(rows) - i))
+        shares[lang], left = take / n, left - take
+    return shares
 
 
 def fit(docs: DataFrame, bound: int = SAMPLE_ROWS, smoothing: float = 0.05) -> LanguageModel:
     """A model of every non-null value of ``lang``, from a sample of about ``bound`` rows spread by hash of doc_id.
 
-    Counts are summed on the executors; the driver gets one number for each language and bucket.
+    Each language has an even part of the bound, and what rarer ones leave goes to the others, so a rare language keeps all
+    its rows.  Counts are summed on the executors; the driver gets one number for each language and bucket.
     """
     labelled = docs.where("lang is not null and text is not null")
-    share = bound / max(1, labelled.count())
-    if share < 1:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    shares = sample_shares({r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}, bound)  # a row a language
+    if min(shares.values(), default=1) < 1:
+        share = F.create_map(*[F.lit(x) for lang, x in shares.items() for x in (lang, int(x * (1 << 30)))])
+        labelled = labelled.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) < F.try_element_at(share, "lang"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -175,7 +179,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             a, b, c, d = zip(*rows) if rows else ((), (), (), ())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": list(a), "score": list(b), "mean_log_likelihood": list(c), "languages": list(d)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, mean_log_likelihood double, languages string")
+    return map_frames(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, mean_log_likelihood double, languages string")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -192,10 +196,12 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     model = fit(training_rows(docs))
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.likelihood.astype(np.float32)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, likelihood = shared.value
         local = LanguageModel(languages, likelihood.astype(np.float64))
         for batch in batches:
-            yield batch[np.array([local.identified(t) for t in batch["text"]], bool)]
+            yield batch.filter(pa.array([local.identified(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -11,8 +11,11 @@ from functools import lru_cache
 from itertools import product
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from chronoweave.llm.common import map_frames
+
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=.-"
 
@@ -162,7 +165,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             n = {f"n_{k}": [sum(x[0] == k for x in spans) for spans in found] for k in KINDS}
             yield pd.DataFrame({"doc_id": batch["doc_id"], **n, "base_sha256": [hashlib.sha256(listed(b).encode()).hexdigest() for b in base], "spans": [listed(s) for s in found]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
+    return map_frames(docs.select("doc_id", "text"), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
@@ -171,14 +174,18 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     All rows and columns stay; a null text stays null.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at = {name: i for i, name in enumerate(docs.columns)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = default_model()
         for batch in batches:
-            texts = list(batch["text"])
+            texts = batch.column(at["text"]).to_pylist()
             new = [redact(t, spans) if t and (spans := scan(t, model)) else t for t in texts]
-            batch = batch.assign(text=new)
-            if "n_chars" in batch:
-                batch["n_chars"] = [len(b) if b is not a else n for a, b, n in zip(texts, new, batch["n_chars"])]
-            yield batch
-
-    return docs.mapInPandas(run, docs.schema)
+            columns = batch.columns
+            columns[at["text"]] = pa.array(new, batch.schema.field(at["text"]).type)
+            if "n_chars" in at:
+                lengths = columns[at["n_chars"]].to_pylist()
+                columns[at["n_chars"]] = pa.array([len(b) if b is not a else n for a, b, n in zip(texts, new, lengths)], batch.schema.field(at["n_chars"]).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import cut, partitions
+from chronoweave.llm.common import cut, map_frames, partitions
 from chronoweave.llm.components import components
 
 BITS = 64
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = SEED) -> DataFrame
             fp = np.fromiter((fingerprint(t, words, seed) for t in batch["text"]), np.uint64, len(batch))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp.view(np.int64)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return map_frames(docs.select("doc_id", "text"), run, "doc_id long, fp long")
 
 
 def pivots(n: int, seed: int = 7) -> np.ndarray:
@@ -220,7 +220,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": digests, "n": [s.size for s in sets], "keys": [band_keys(s) if s.size else [] for s in sets]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, digest binary, n int, keys array<long>")
+    return map_frames(docs.select("doc_id", "text"), run, "doc_id long, digest binary, n int, keys array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:

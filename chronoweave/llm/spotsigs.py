@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import partitions
+from chronoweave.llm.common import map_frames, partitions
 
 # The anchors, common words of English, French, German and Spanish.
 ANCHORS = frozenset(
@@ -154,10 +154,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                     edited_sigs = signatures(edited)
                     out.append((own_id, len(own_text), hashlib.sha256(edited.encode()).hexdigest(), as_text(own_sigs), as_text(edited_sigs), likeness(own_sigs, edited_sigs), likeness(own_sigs, sigs)))
                 held = None if halo else (place, doc_id, text, sigs)
-            frame = pd.DataFrame(out, columns=_NAMES)
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
+            frame = pd.DataFrame(out, columns=_NAMES, dtype=object if not out else None)
+            frame["doc_id"] = pd.array([x[0] for x in out], "Int64")
             yield frame
 
     n = max(partitions(docs.sparkSession), 1)
     dealt = dealt.repartition(n, "range").sortWithinPartitions("range", "halo", "key", "text")
-    return dealt.mapInPandas(run, _SCHEMA)
+    return map_frames(dealt, run, _SCHEMA)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import cut, partitions
+from chronoweave.llm.common import cut, map_frames, partitions
 from chronoweave.llm.suffixes import adjacent_prefixes, suffix_array, words
 
 GRAM = 24
@@ -345,7 +345,7 @@ def _cut(length: int):
                 kept = data[~gone].tobytes()
                 rows.append((len(data), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
             frame = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-            frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            frame.insert(0, "doc_id", batch["doc_id"].array)
             yield frame
 
     return run
@@ -378,5 +378,5 @@ def remove_repeats(docs: DataFrame, length: int = 100, texts: bool = False) -> D
     each loses what any of them loses.  A cut inside a character leaves U+FFFD in ``kept``; the digest is of the bytes.
     """
     rows, ranges = repeated_ranges(docs, length)
-    out = rows.join(ranges, "key", "left").select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "text", "ranges").mapInPandas(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    out = map_frames(rows.join(ranges, "key", "left").select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "text", "ranges"), _cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return out if texts else out.drop("kept")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm.boosting import Boosted, fit_boosted, isotonic, sigmoid
-from chronoweave.llm.common import fold
+from chronoweave.llm.common import fold, map_frames
 
 #: Labelled rows that the model is fitted on, about; the sample is a fixed function of doc_id.
 SAMPLE_ROWS = 16_000
@@ -199,4 +199,4 @@ def predict(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": np.clip(shared.value.score(batch["text"]), 0.0, 1.0)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    return map_frames(docs.select("doc_id", "text"), run, "doc_id long, score double")

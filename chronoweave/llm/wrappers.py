@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import cut, partitions
+from chronoweave.llm.common import cut, map_frames, partitions
 
 # Element names and class words by what they are.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img picture source".split())
@@ -385,4 +385,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     rows = rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
-    return rows.mapInPandas(run, "page_id long, url string, text string, n_chars long, host string")
+    return map_frames(rows, run, "page_id long, url string, text string, n_chars long, host string")
