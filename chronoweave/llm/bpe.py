@@ -1,15 +1,16 @@
 """Byte-level BPE encoding and decoding with a public vocabulary file (operator 6).
 
 A text is cut by the vocabulary's own pre-tokenizer.  Short pieces are encoded once and remembered.  A long unsplit piece is
-a tree of halves: its leaves are encoded in one parallel batch, then neighbours are concatenated level by level.  At each
-join a window of tokens around the cut is encoded again and grows until its first and last tokens are the ones that stood
-there before, on both sides.  A sequence of tokens is the BPE encoding of its bytes exactly when each adjacent pair encodes
+a tree of halves: its leaves are encoded in parallel, as one batch over the library's threads, then neighbours are
+concatenated level by level.  At each join a window of tokens around the cut is encoded again and grows until its first and
+last tokens are the ones that stood there before, on both sides; the windows of a level are again one parallel batch.  A sequence of tokens is the BPE encoding of its bytes exactly when each adjacent pair encodes
 to itself; the two agreeing edge tokens keep the pairs outside the window, so an agreed join is exact and not a guess.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,7 +33,7 @@ LEAF = 128
 #: Pieces of each of two generations that a worker remembers; the older one is dropped, which costs time and changes nothing.
 REMEMBERED = 150_000
 
-# The vocabulary's cutting pattern for texts below U+0250, where letters, numbers and white space are these.
+# The cutting pattern of byte-level vocabularies for texts below U+0250, where letters, numbers and white space are these.
 _LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t\n\x0b\x0c\r \x85\xa0"
 _CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _BEYOND = re.compile("[^\x00-ɏ]")
@@ -46,13 +47,25 @@ def byte_letters() -> list[str]:
 
 
 class ByteBpe:
-    """Encoder and decoder of one vocabulary file of the tokenizers library with a byte-level model."""
+    """Encoder and decoder of one vocabulary file of the tokenizers library with a byte-level model.
+
+    A file whose steps are others than byte-level ones (a normalizer, word ends, a cut of its own) is refused.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        file = json.loads(self.tokenizer.to_str())
+        step, model = file["pre_tokenizer"] or {}, file["model"]
+        if file["normalizer"] or step.get("type") != "ByteLevel" or not step.get("use_regex", True) or step.get("add_prefix_space") or model["type"] != "BPE":
+            raise ValueError(f"{path} is no plain byte-level BPE vocabulary")
+        if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            raise ValueError(f"{path} has a model with options beyond plain BPE")
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError(f"{path} has special tokens that take in their surroundings")
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
+        self.uncut = Tokenizer(self.model)  # without a pre-tokenizer: a string is one piece
         self.letters = byte_letters()
         back = {c: b for b, c in enumerate(self.letters)}
         special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
@@ -77,24 +90,33 @@ class ByteBpe:
         """BPE of bytes, cut nowhere."""
         return [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, data)))]
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
-        """The encoding of two encoded neighbours."""
-        size = 1
-        while True:
-            a, b = left[-size:], right[:size]
-            new = self._raw(b"".join(map(self.bytes_of.__getitem__, a + b)))
-            agree_left = len(a) == len(left) or (new[0] == a[0] and len(new) > 1)
-            agree_right = len(b) == len(right) or (new[-1] == b[-1] and len(new) > 1)
-            if agree_left and agree_right:
-                return left[: len(left) - len(a)] + new + right[len(b) :]
-            size *= 2
+    def _batch(self, pieces: list[bytes]) -> list[list[int]]:
+        """BPE of many byte strings, each cut nowhere, in the library's parallel threads."""
+        return [e.ids for e in self.uncut.encode_batch(["".join(map(self.letters.__getitem__, p)) for p in pieces], add_special_tokens=False)]
+
+    def join_all(self, level: list[list[int]]) -> list[list[int]]:
+        """The encodings of each two encoded neighbours; an odd last one stays."""
+        done = level[::2]
+        size, still = 1, range(len(level) // 2)
+        while still:
+            windows = [(level[2 * i][-size:], level[2 * i + 1][:size]) for i in still]
+            wider = []
+            for i, (a, b), new in zip(still, windows, self._batch([b"".join(map(self.bytes_of.__getitem__, a + b)) for a, b in windows])):
+                left, right = level[2 * i], level[2 * i + 1]
+                agree_left = len(a) == len(left) or (new[0] == a[0] and len(new) > 1)
+                agree_right = len(b) == len(right) or (new[-1] == b[-1] and len(new) > 1)
+                if agree_left and agree_right:
+                    done[i] = left[: len(left) - len(a)] + new + right[len(b) :]
+                else:
+                    wider.append(i)
+            size, still = 2 * size, wider
+        return done
 
     def encode_long(self, piece: str, leaf: int = LEAF) -> list[int]:
         """An unsplit piece of any length, as a tree of halves."""
-        parts = [piece[i : i + leaf].encode() for i in range(0, len(piece), leaf)]
-        level = [self._raw(p) for p in parts]
+        level = self._batch([piece[i : i + leaf].encode() for i in range(0, len(piece), leaf)])
         while len(level) > 1:
-            level = [self.join(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+            level = self.join_all(level)
         return level[0] if level else []
 
     def _learn(self, pieces: list[str]) -> None:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from chronoweave.llm import bpe as B
@@ -42,3 +43,19 @@ def test_rows(odd_docs):
     back = {r["doc_id"]: r["decoded"] for r in B.decode_ids(whole, PATH).collect()}
     assert back[8] == "word " * 3000 and back[0] == ""
     assert B.digest_documents(odd_docs.limit(0), PATH).count() == 0
+
+
+def test_other_kinds_of_vocabulary_are_refused():
+    with pytest.raises(ValueError):
+        B.ByteBpe(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_windows_grow(monkeypatch):
+    """Joins that no window of one token settles: runs of one letter, and a long text without spaces."""
+    ours, lib = B.ByteBpe(PATH), Tokenizer.from_file(PATH)
+    calls = []
+    monkeypatch.setattr(ours, "_batch", lambda pieces, real=ours._batch: calls.append(len(pieces)) or real(pieces))
+    for text in ("=" * 20_000, "-" * 4097, "abcabd" * 3000, "é" * 9001, "nonunsplittablewords" * 700):
+        calls.clear()
+        assert ours.encode_long(text) == lib.encode(text, add_special_tokens=False).ids
+        assert calls[0] == -(-len(text) // B.LEAF) and calls[1] == calls[0] // 2  # a level's leaves, then its joins, are one batch
