@@ -1,12 +1,16 @@
 """SimHash fingerprints, linked through pivot distance tables (operator 10).
 
 A fingerprint bit is the majority of that bit over the XXH64 hashes of a text's word shingles.  Linking works on distinct
-fingerprints only, so copies cost one row.  Two fingerprints within ``radius`` bits agree on ``blocks - radius`` of
-``blocks`` bit blocks; every such choice of blocks is a table whose rows meet when those bits are equal.  Inside a table
-each fingerprint carries its Hamming distances to many fixed reference fingerprints (the pivots): by the triangle
-inequality a pair can be near only if no coordinate differs by more than ``radius``.  Rows are sorted by the first
-distance, a sweep compares neighbours while it differs by no more than the radius, the other coordinates discard most
-pairs, and the survivors are verified by their true distance.  Nothing is capped.
+fingerprints only, so copies cost one row.  The pivot table holds each fingerprint's Hamming distances to many fixed
+reference fingerprints (the pivots), worked out once: by the triangle inequality two fingerprints within ``radius`` bits
+differ by no more than ``radius`` in any coordinate.  Two coordinates bring pairs together: a row goes to the cell of both
+and, where a coordinate is within ``radius`` of the next cell, there too, so near rows share a cell.  A third coordinate
+orders a cell's rows, and a sweep compares neighbours while it differs by no more than the radius; the largest difference of
+all coordinates then discards pairs, and the survivors are verified by their true distance.
+
+One cell of three coordinates would still hold a fixed share of a large table.  So a cell is narrowed further by bits:
+two fingerprints within ``radius`` agree on ``blocks - radius`` of ``blocks`` bit blocks, and every such choice of blocks is a
+table of its own whose rows meet when those bits and the cell are equal.  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -17,8 +21,9 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -98,30 +103,48 @@ def blocks_for(n: int, radius: int) -> int:
     return radius + 5
 
 
-def _sweep(key: np.ndarray, table: np.ndarray, fp: np.ndarray, rep: np.ndarray, first: np.ndarray, refs: np.ndarray, masks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links among rows sorted by (key, first): every pair of equal key, once over all tables."""
+#: Coordinates of the pivot table that name the cell; the one after them orders it.
+CELLS = 2
+
+
+def pivot_table(fp: Column, n_pivots: int) -> Column:
+    """Distances of a fingerprint to the pivots, a byte each."""
+    return F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(_signed(int(p))))).cast("byte") for p in pivots(n_pivots)])
+
+
+def _cells(coordinate: Column, width: int, radius: int) -> Column:
+    """The cell of a coordinate, and the next one too from within ``radius`` of it."""
+    cell = F.floor(coordinate / width).cast("int")
+    return F.when(coordinate % width >= width - radius, F.array(cell, cell + 1)).otherwise(F.array(cell))
+
+
+def _sweep(x: dict[str, np.ndarray], held: int, masks: np.ndarray, radius: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links among rows sorted by (key, third coordinate), each pair once over all tables and cells.
+
+    Pairs of two ``held`` rows have been seen before.
+    """
+    key, d, fp = x["key"], x["d"], x["fp"]
+    order = d[:, CELLS]
     left, right = [], []
     at = np.arange(len(key) - 1)
     step = 1
     while at.size:
         at = at[at + step < len(key)]
         other = at + step
-        open_ = (key[at] == key[other]) & (first[other] - first[at] <= radius)
+        open_ = (key[at] == key[other]) & (order[other] - order[at] <= radius)
         at, other = at[open_], other[open_]
-        i, j = at, other
-        for p in refs:  # the pivot table: drop pairs by coordinate difference, pivot after pivot
-            if not i.size:
-                break
-            near = np.abs(np.bitwise_count(fp[i] ^ p).astype(np.int16) - np.bitwise_count(fp[j] ^ p).astype(np.int16)) <= radius
-            i, j = i[near], j[near]
+        i, j = at[other >= held], other[other >= held]
+        near = (np.abs(d[i] - d[j]) <= radius).all(axis=1)
+        i, j = i[near], j[near]
         diff = fp[i] ^ fp[j]
         near = np.bitwise_count(diff) <= radius
         i, j, diff = i[near], j[near], diff[near]
         if i.size:
-            earliest = np.argmax((diff[:, None] & masks[None, :]) == 0, axis=1)
-            mine = earliest == table[i]
-            left.append(rep[i[mine]])
-            right.append(rep[j[mine]])
+            mine = np.argmax((diff[:, None] & masks[None, :]) == 0, axis=1) == x["t"][i]
+            for c in range(CELLS):
+                mine &= np.maximum(d[i, c], d[j, c]) // width == x[f"c{c}"][i]
+            left.append(x["rep"][i[mine]])
+            right.append(x["rep"][j[mine]])
         step += 1
     none = np.zeros(0, np.int64)
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
@@ -131,28 +154,33 @@ def near_links(distinct: DataFrame, radius: int = 2, n_pivots: int = 16, blocks:
     """``(a, b)``: every pair of rows of ``distinct(fp, rep)`` within ``radius`` bits, by their rep, each pair once."""
     if blocks is None:
         blocks = blocks_for(distinct.count(), radius)
-    masks = table_masks(blocks, radius)
-    refs, mask_array = pivots(n_pivots), np.array(masks, np.uint64)
+    masks, width = table_masks(blocks, radius), max(4, 2 * radius)
+    mask_array = np.array(masks, np.uint64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
         for batch in batches:
-            if held is not None:
-                batch = pd.concat([held, batch], ignore_index=True)
-            if not len(batch):
+            new = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names if name != "d"}
+            new["d"] = batch.column("d").flatten().to_numpy(zero_copy_only=False).reshape(-1, n_pivots)
+            new["fp"] = new["fp"].view(np.uint64)
+            before = len(held["key"]) if held else 0
+            x = {k: np.concatenate([held[k], v]) for k, v in new.items()} if before else new
+            if not len(x["key"]):
                 continue
-            key, first = batch["key"].to_numpy(), batch["first"].to_numpy().astype(np.int16)
-            fp, rep, table = batch["fp"].to_numpy().view(np.uint64), batch["rep"].to_numpy(), batch["t"].to_numpy()
-            a, b = _sweep(key, table, fp, rep, first, refs[1:], mask_array, radius)
-            # rows that may still be near the rows to come; links among them are found again and are harmless
-            keep = (key == key[-1]) & (first >= first[-1] - radius)
-            held = batch[keep]
-            yield pd.DataFrame({"a": a, "b": b})
-
-    rows = distinct.select("fp", "rep", F.posexplode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("t", "mask"))
-    rows = rows.select(F.xxhash64(F.col("fp").bitwiseAND(F.col("mask")), F.col("t")).alias("key"), F.bit_count("fp").cast("int").alias("first"), "fp", "rep", "t")
-    rows = rows.repartition(partitions(distinct.sparkSession), "key").sortWithinPartitions("key", "first")
-    return rows.mapInPandas(run, "a long, b long")
+            a, b = _sweep(x, before, mask_array, radius, width)
+            # rows that may still be near the rows to come
+            keep = (x["key"] == x["key"][-1]) & (x["d"][:, CELLS] >= x["d"][-1, CELLS] - radius)
+            held = {k: v[keep] for k, v in x.items()}
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    rows = distinct.select("fp", "rep", pivot_table(F.col("fp"), n_pivots).alias("d"))
+    for c in range(CELLS):
+        rows = rows.select("*", F.explode(_cells(F.get("d", F.lit(c)).cast("int"), width, radius)).alias(f"c{c}"))
+    cells = [f"c{c}" for c in range(CELLS)]
+    rows = rows.select("fp", "rep", "d", *cells, F.posexplode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("t", "mask"))
+    rows = rows.select(F.xxhash64(F.col("fp").bitwiseAND(F.col("mask")), "t", *cells).alias("key"), "d", "fp", "rep", "t", *cells)
+    rows = rows.repartition(partitions(distinct.sparkSession), "key").sortWithinPartitions("key", F.get("d", F.lit(CELLS)))
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, n_pivots: int = 16) -> DataFrame:
