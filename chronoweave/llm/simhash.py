@@ -16,6 +16,7 @@ table of its own whose rows meet when those bits and the cell are equal.  Nothin
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,7 +25,6 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoweave.llm.common import cut, map_frames, partitions
@@ -203,16 +203,25 @@ def as_hex(fp):
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """One row of each component, the one with the smallest id; all columns of ``docs``, rows without an id stay."""
     kept = simhash_components(docs.where("doc_id is not null"), words, radius).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return one.unionByName(docs.where("doc_id is null"))
+    return one_of_each_id(docs.join(kept, "doc_id", "left_semi"), docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def one_of_each_id(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Of rows that repeat an id the one of smallest text (null first), among equal texts that of smallest other columns."""
+    order = F.struct("text", F.to_json(F.struct(*[c for c in columns if c != "text"])))
+    return docs.groupBy("doc_id").agg(F.min_by(F.struct(*columns), order).alias("_kept")).select("_kept.*")
 
 
 # ----------------------------------------------------------------------------------------------- true likeness of shingles
 
 #: MinHash bands of a text and values in each: a pair of likeness 0.8 shares no band with a chance of 1.3e-7.
 BANDS, ROWS = 40, 5
-#: Rounds that compare each band's texts with one of them, before all pairs that are still apart are compared.
-HUB_ROUNDS = 2
+#: Rounds that compare texts with one other text of a band, before all pairs of a band that are still apart are compared.
+HUB_ROUNDS = 3
+#: Standard errors below the wanted similarity at which a pair's MinHash values rule it out; the chance for one at 0.8 is 1e-9.
+SLACK = 7.0
+#: Bytes of shingle sets that a worker remembers while it verifies pairs.
+REMEMBERED = 64 << 20
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -228,69 +237,119 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (a.size + b.size - common)
 
 
-def band_keys(shingles: np.ndarray, seed: int = 11) -> list[int]:
-    """One signed key for each band of a set that is not empty; sets of similarity j share a given one with chance j ** ROWS."""
+def least_values(shingles: np.ndarray, seed: int = 11) -> np.ndarray:
+    """MinHash values of a set that is not empty; sets of similarity j share a given one with chance j."""
     draws = np.random.default_rng(seed).integers(0, 2**32, (2, BANDS * ROWS, 1), dtype=np.uint32)
     times, plus = draws[0] | np.uint32(1), draws[1]
     least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
     high = (shingles >> np.uint64(32)).astype(np.uint32)
     for at in range(0, high.size, 4_096):
         least = np.minimum(least, ((high[at : at + 4_096] ^ plus) * times).min(axis=1))
+    return least
+
+
+def band_keys(least: np.ndarray) -> list[int]:
+    """One signed key for each band of ``least_values``."""
     return [_signed(xxhash.xxh64_intdigest(band.tobytes(), i)) for i, band in enumerate(least.reshape(BANDS, ROWS))]
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, digest, n, keys)`` of each row: digest and size of its shingle set, and the keys of its bands."""
+    """``(doc_id, digest, n, keys, sketch)`` of each row: digest and size of its shingle set, its bands' keys, its MinHash values to 16 bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_set(t, words) for t in batch["text"]]
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": digests, "n": [s.size for s in sets], "keys": [band_keys(s) if s.size else [] for s in sets]})
+            rows = []
+            for text in batch["text"]:
+                found = shingle_set(text, words)
+                least = least_values(found) if found.size else np.zeros(0, np.uint32)
+                rows.append((hashlib.blake2b(found.tobytes(), digest_size=16).digest(), found.size, band_keys(least) if found.size else [], least.astype(np.uint16).tobytes()))
+            digest, n, keys, sketch = zip(*rows) if rows else ((), (), (), ())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": list(digest), "n": list(n), "keys": list(keys), "sketch": list(sketch)})
 
-    return map_frames(docs.select("doc_id", "text"), run, "doc_id long, digest binary, n int, keys array<long>")
+    return map_frames(docs.select("doc_id", "text"), run, "doc_id long, digest binary, n int, keys array<long>, sketch binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """The rows of ``pairs(a, b)`` whose texts have a true similarity of ``least`` or more."""
+def _plausible(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+    """The rows of ``pairs(a, b)`` whose MinHash values do not rule out a similarity of ``least``."""
+    floor = least - SLACK * math.sqrt(least * (1 - least) / (BANDS * ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BANDS * ROWS) for c in ("x", "y"))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= floor))
+
+    of = lambda i, t: distinct.select(F.col("rep").alias(i), F.col("sketch").alias(t))
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The rows of ``pairs(a, b)`` whose whole texts have a true similarity of ``least`` or more; ``texts`` is ``(rep, text)``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[int, np.ndarray] = {}
+        held = 0
+
+        def of(i: int, text: str) -> np.ndarray:
+            nonlocal held
+            if i not in known:
+                if held > REMEMBERED:
+                    known.clear()
+                    held = 0
+                known[i] = shingle_set(text, words)
+                held += known[i].nbytes
+            return known[i]
+
         for batch in batches:
-            near = [jaccard(shingle_set(x, words), shingle_set(y, words)) >= least for x, y in zip(batch["x"], batch["y"])]
+            near = [jaccard(of(a, x), of(b, y)) >= least for a, b, x, y in zip(batch["a"], batch["b"], batch["x"], batch["y"])]
             yield batch.loc[near, ["a", "b"]]
 
-    text = lambda i, t: docs.select(F.col("doc_id").alias(i), F.col("text").alias(t))
+    text = lambda i, t: texts.select(F.col("rep").alias(i), F.col("text").alias(t))
     return pairs.join(text("a", "x"), "a").join(text("b", "y"), "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """``(doc_id, component_id)`` of every row with an id: the smallest doc_id reachable over pairs of similarity ``least``.
 
-    Equal sets are one row.  Others meet in the bands that they share.  A band's texts are first compared with one of them,
-    so that a large group of near copies is joined by as many comparisons as it has texts; then every pair of a band that
-    is not in one component yet is compared.  A link counts only if the whole texts' Jaccard similarity says so.
+    Equal sets are one row.  Others meet in the bands that they share.  First each text is compared with one text, of those in
+    its bands the one with the most partners: the origin of a group of edited copies, so that the group is joined by as many
+    comparisons as it has texts.  Then, round by round, a band's texts outside its largest component are compared with one
+    text of that component, and at last with every text of the band that is in another component than theirs.  So no pair
+    inside a component is looked at, and no link that joins two components is left out.  MinHash values rule out most of
+    these pairs, and a link counts only if the whole texts' Jaccard similarity says so.  Rows that share an id are
+    one document: it has the links of each of them.
     """
     docs = docs.where("doc_id is not null")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text")
     rows = cut(_sets(docs, words))
-    distinct = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    distinct = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
     bands = distinct.select(F.explode("keys").alias("key"), "rep", "n")
-    bands = cut(bands.withColumn("met", F.count(F.lit(1)).over(W.partitionBy("key"))).where("met > 1").drop("met"))
-    links, found = None, None
+    met = bands.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    bands = cut(bands.join(met, "key"))
+    links = None
     for turn in range(HUB_ROUNDS + 1):
-        now = bands.withColumn("c", F.col("rep")) if found is None else bands.join(found, bands["rep"] == found["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        of_key = W.partitionBy("key")
-        now = now.withColumn("apart", F.min("c").over(of_key) < F.max("c").over(of_key)).where("apart")
-        if turn < HUB_ROUNDS:
-            order = F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "n", "c")
-            pairs = now.withColumn("hub", F.min(order).over(of_key)).select(F.col("rep").alias("i"), F.col("n").alias("ni"), F.col("c").alias("ci"), F.col("hub.rep").alias("j"), F.col("hub.n").alias("nj"), F.col("hub.c").alias("cj"))
+        if turn == 0:
+            partners = bands.groupBy("rep").agg(F.sum("met").alias("partners"))
+            ranked = bands.join(partners, "rep").select("key", "rep", "n", F.struct("partners", (-F.col("rep")).alias("last"), F.col("n").alias("nj")).alias("rank"))
+            hubs = ranked.groupBy("key").agg(F.max("rank").alias("hub"))
+            best = ranked.join(hubs, "key").groupBy("rep", "n").agg(F.max("hub").alias("hub"))
+            pairs = best.select(F.col("rep").alias("i"), F.col("n").alias("ni"), (-F.col("hub.last")).alias("j"), F.col("hub.nj").alias("nj")).where("i <> j")
         else:
-            side = lambda x: now.select("key", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"))
-            pairs = side("i").join(side("j"), "key").where("i < j")
-        pairs = pairs.where((F.col("ci") != F.col("cj")) & (F.least("ni", "nj") >= F.lit(least) * F.greatest("ni", "nj") - 1e-6))
+            found = components(links)
+            now = bands.join(found, bands["rep"] == found["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+            # a band's components: how many texts each has, and one of them, another one in each round
+            order = F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "n")
+            per = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.min(order).alias("hub"))
+            main = per.groupBy("key").agg(F.count(F.lit(1)).alias("apart"), F.max(F.struct("m", "c", "hub")).alias("main")).where("apart > 1").select("key", F.col("main.c").alias("mc"), F.col("main.hub.rep").alias("j"), F.col("main.hub.n").alias("nj"))
+            outside = now.join(main, "key").where("c <> mc").select("key", F.col("rep").alias("i"), F.col("n").alias("ni"), F.col("c").alias("ci"), "j", "nj")
+            if turn < HUB_ROUNDS:
+                pairs = outside
+            else:
+                every = now.select("key", F.col("rep").alias("j"), F.col("n").alias("nj"), F.col("c").alias("cj"))
+                pairs = outside.drop("j", "nj").join(every, "key").where("ci <> cj")
+        pairs = pairs.where(F.least("ni", "nj") >= F.lit(least) * F.greatest("ni", "nj") - 1e-6)
         pairs = pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).where("a < b").distinct()
-        more = cut(_verified(pairs, docs, words, least))
+        more = cut(_verified(_plausible(pairs, distinct, least), texts, words, least))
         links = more if links is None else links.unionByName(more)
-        found = components(links)
     # repeated ids tie their texts together, so the links run over ids: equal sets point to their smallest one
     same = rows.join(distinct.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     whole = components(links.unionByName(same))
@@ -300,5 +359,5 @@ def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8) -> D
 def keep_one_similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """One row of each component of ``similar_components``, as ``keep_one`` does of fingerprints."""
     gone = similar_components(docs, words, least).where("doc_id <> component_id").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return one.unionByName(docs.where("doc_id is null"))
+    one = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
+    return one_of_each_id(one, docs.columns).unionByName(docs.where("doc_id is null"))

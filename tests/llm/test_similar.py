@@ -58,3 +58,25 @@ def test_odd_rows(spark, odd_docs):
     assert got.columns == odd_docs.columns
     ids = [r["doc_id"] for r in got.collect()]
     assert None in ids and len(ids) == len(set(ids)) and 10 not in ids
+
+
+def test_group_of_near_copies(spark, make_docs):
+    """Edited copies that mostly are within 0.8 of their origin and not of each other, beside a passage that others share."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    base, passage = rnd.choices(words, k=150), rnd.choices(words, k=60)
+    texts = [" ".join(base)]
+    for _ in range(120):
+        copy = list(base)
+        for i in rnd.sample(range(150), rnd.randint(2, 6)):
+            copy[i] = rnd.choice(words)
+        texts.append(" ".join(copy))
+    texts += [" ".join(passage + rnd.choices(words, k=rnd.randint(5, 40))) for _ in range(60)]
+    rnd.shuffle(texts)
+    got = {r["doc_id"] for r in simhash.keep_one_similar(make_docs(texts)).collect()}
+    assert got == brute(dict(enumerate(texts)))
+
+
+def test_which_row_of_an_id_stays(make_docs):
+    docs = make_docs(["b one two three four five", "a one two three four six", None, "other words here and there now"], ids=[4, 4, 5, 5])
+    assert {(r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()} == {(4, "a one two three four six"), (5, None)}
