@@ -95,10 +95,15 @@ def inconsistent(xy: str, yz: str, xz: str) -> bool:
         a, b, c = new_a, new_b, new_c
 
 
+@lru_cache(maxsize=1)
+def _contradictions() -> list[tuple[str, str, str]]:
+    names = oriented_labels()
+    return [(a, b, c) for a in names for b in names for c in names if inconsistent(a, b, c)]
+
+
 def inconsistent_triples(spark: SparkSession) -> DataFrame:
     """``(o_xy, o_yz, o_xz)`` of the triples of oriented labels that cannot hold; at most 1,000 rows, so it may be broadcast."""
-    names = oriented_labels()
-    return spark.createDataFrame([(a, b, c) for a in names for b in names for c in names if inconsistent(a, b, c)], "o_xy string, o_yz string, o_xz string")
+    return spark.createDataFrame(_contradictions(), "o_xy string, o_yz string, o_xz string").coalesce(1)
 
 
 def conflicts(tri: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def audit(edges: DataFrame, atoms: DataFrame, rules: DataFrame, floor: float) ->
 
 def motif_atoms(edges: DataFrame) -> DataFrame:
     """Atoms of the labels on the first paths of two edges between an edge's ends."""
-    return MO.graph_atoms(MO.two_hop(edges.select(*EDGE, "rel")))
+    return MO.graph_atoms(MO.two_hop(edges.select(*EDGE, MO.kind_of(edges).alias("kind"), "rel")))
 
 
 def pick_floor(edges: DataFrame, atoms: DataFrame, rules: DataFrame, grid: tuple[float, ...]) -> float:
@@ -68,8 +68,8 @@ def cross_fit(edges: DataFrame, atoms: DataFrame, information: DataFrame, prior:
         tune = teach.where(third == 2)
         floor = pick_floor(tune, atoms, rules, grid)
         checked = cut(audit(tune, atoms, rules, floor))
-        channel = cut(EN.channel_confusion(checked.select(F.col("audited").alias("obs"), F.col("gold").alias("rel"))))
+        channel = cut(EN.channel_confusion(checked.select(MO.kind_of(checked).alias("kind"), F.col("audited").alias("obs"), F.col("gold").alias("rel"))))
         audited = cut(audit(own, atoms, rules, floor))
-        fixed = EN.icm_repair(audited.select(*EDGE, F.col("audited").alias("rel")), prior, channel, information, weight=weight)
+        fixed = EN.icm_repair(audited.select(*EDGE, MO.kind_of(audited).alias("kind"), F.col("audited").alias("rel")), prior, channel, information, weight=weight)
         out.append(audited.join(fixed.select(*EDGE, F.col("best").alias("repaired")), EDGE))
     return out[0].unionByName(out[1])

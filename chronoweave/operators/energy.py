@@ -1,24 +1,28 @@
 """Energies of labels: prior, noise channel and triangle information, and their repair.
 
-Edges are ``(doc, s, t, rel)`` with ``kind``; where it is missing they count as event pairs.
+Edges are ``(doc, s, t, rel)`` with ``kind``, the kinds of start and end (EE, ET, TE, TT); where it is missing they count as event
+pairs.  Priors and channels are one for each kind of edge, triangle information one for the kinds of the three nodes.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.functions import scalar as S
 from chronoweave.functions import vocabulary as V
 from chronoweave.operators import motifs as MO
 from chronoweave.operators.allen import oriented_labels
 
 SMOOTHING = 10.0
 LEAST_PRIOR = 1e-4
+#: Share of a label that its kind does not have at all.
+NO_PRIOR = 1e-6
 
 
 def closed_grid(spark, **columns: list[str]) -> DataFrame:
@@ -30,43 +34,63 @@ def closed_grid(spark, **columns: list[str]) -> DataFrame:
 
 
 def label_prior(edges: DataFrame) -> DataFrame:
-    """``(rel, q)`` with one added to each of the six labels."""
-    counts = edges.groupBy("rel").agg(F.count(F.lit(1)).alias("c"))
-    total = edges.count()
-    return closed_grid(edges.sparkSession, rel=list(V.RELATIONS)).join(F.broadcast(counts), "rel", "left").select("rel", ((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + len(V.RELATIONS)))).alias("q"))
+    """``(kind, rel, q)`` of the kinds that there are, with one added to each of the six labels."""
+    counts = edges.select(MO.kind_of(edges).alias("kind"), "rel").groupBy("kind", "rel").agg(F.count(F.lit(1)).alias("c"))
+    totals = counts.groupBy("kind").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("rel", "c"))).alias("by"))
+    rows = totals.select("kind", "n", "by", F.explode(F.array(*map(F.lit, V.RELATIONS))).alias("rel"))
+    return rows.select("kind", "rel", ((F.coalesce(F.try_element_at("by", F.col("rel")), F.lit(0)) + 1) / (F.col("n") + float(len(V.RELATIONS)))).alias("q"))
 
 
 def base_label(oriented: Column) -> Column:
     return F.when(oriented.startswith("i"), F.substring(oriented, 2, 100)).otherwise(oriented)
 
 
-def triangle_information(tri: DataFrame, prior: DataFrame, beta: float = SMOOTHING) -> DataFrame:
-    """``(o_xy, o_yz, o_xz, n, pmi)`` over the whole grid of oriented labels, seen or not."""
+def triangle_information(tri: DataFrame, prior: DataFrame, beta: float = SMOOTHING, raw: bool = False) -> DataFrame:
+    """``(kinds, o_xy, o_yz, o_xz, n, pmi)`` over the whole grid of node kinds and oriented labels, seen or not.
+
+    The share of an oriented label is that of the stored label on edges of the stored kind; a kind without a prior has that of
+    event pairs.  Frequencies are shares of the triangles of their node kinds.  ``raw`` leaves the labels' own shares in: the
+    logarithm of the smoothed frequency alone.
+    """
+    spark = tri.sparkSession
+    q = {(r["kind"], r["rel"]): math.log(r["q"]) for r in prior.collect()}  # six rows a kind
+    letters = sorted({x for kind, _ in q for x in kind}) or ["E"]
+    kinds = {f"{x}{y}" for x in letters for y in letters}
+    known = {k for k, _ in q}
+    shares = [(k, o, q.get((k[::-1] if o[0] == "i" else k, o.removeprefix("i")) if (k[::-1] if o[0] == "i" else k) in known else ("EE", o.removeprefix("i")), math.log(NO_PRIOR))) for k in sorted(kinds) for o in oriented_labels()]
+    share = spark.createDataFrame(shares, "k string, o string, l double").coalesce(1)
     names = oriented_labels()
-    grid = closed_grid(tri.sparkSession, o_xy=names, o_yz=names, o_xz=names)
-    for name in ("o_xy", "o_yz", "o_xz"):
-        known = prior.select(F.col("rel").alias("_r"), F.log("q").alias(f"l{name}"))
-        grid = grid.join(F.broadcast(known), base_label(F.col(name)) == F.col("_r")).drop("_r")
+    grid = closed_grid(spark, kinds=[f"{x}{y}{z}" for x in letters for y in letters for z in letters], o_xy=names, o_yz=names, o_xz=names)
+    for name, k in (("o_xy", F.substring("kinds", 1, 2)), ("o_yz", F.substring("kinds", 2, 2)), ("o_xz", F.concat(F.substring("kinds", 1, 1), F.substring("kinds", 3, 1)))):
+        grid = grid.withColumn("_k", k).join(F.broadcast(share.select(F.col("k").alias("_k"), F.col("o").alias(name), F.col("l").alias(f"l{name}"))), ["_k", name]).drop("_k")
     seen = MO.configurations(tri)
-    total = float(tri.count())
+    totals = seen.groupBy("kinds").agg(F.sum("n").alias("total"))
     log_q = F.col("lo_xy") + F.col("lo_yz") + F.col("lo_xz")
-    rows = grid.join(F.broadcast(seen), ["o_xy", "o_yz", "o_xz"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return rows.select("o_xy", "o_yz", "o_xz", "n", (F.log((F.col("n") + beta * F.exp(log_q)) / (total + beta)) - log_q).alias("pmi"))
+    rows = grid.join(F.broadcast(seen), MO.CONFIGURATION, "left").join(F.broadcast(totals), "kinds", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "total": F.coalesce("total", F.lit(0))})
+    value = F.log((F.col("n") + beta * F.exp(log_q)) / (F.col("total") + beta))
+    return rows.select(*MO.CONFIGURATION, "n", (value if raw else value - log_q).alias("pmi"))
 
 
 def channel_injected(prior: DataFrame, rate: float) -> DataFrame:
-    """``(obs, rel, log_p)`` of known noise: a label is kept with 1 - rate, else replaced by the other labels' shares."""
-    p, l = prior.select(F.col("rel").alias("obs"), F.col("q").alias("qp")), prior.select("rel", F.col("q").alias("ql"))
+    """``(kind, obs, rel, log_p)`` of known noise: a label is kept with 1 - rate, else replaced by the other labels' shares."""
+    p, l = prior.select("kind", F.col("rel").alias("obs"), F.col("q").alias("qp")), prior.select("kind", "rel", F.col("q").alias("ql"))
     other = F.log(F.greatest(F.lit(1e-9), rate * F.col("qp") / (1 - F.col("ql"))))
-    return p.crossJoin(l).select("obs", "rel", F.when(F.col("obs") == F.col("rel"), math.log(1 - rate)).otherwise(other).alias("log_p"))
+    return p.join(F.broadcast(l), "kind").select("kind", "obs", "rel", F.when(F.col("obs") == F.col("rel"), math.log(1 - rate)).otherwise(other).alias("log_p"))
+
+
+def channel_none(prior: DataFrame) -> DataFrame:
+    """``(kind, obs, rel, log_p)`` that says nothing, for energies without a channel."""
+    return channel_injected(prior, 0.5).withColumn("log_p", F.lit(0.0))
 
 
 def channel_confusion(labelled: DataFrame) -> DataFrame:
-    """``(obs, rel, log_p)`` from pairs of observed and true labels ``(obs, rel)``, half a count added to each cell."""
-    cells = labelled.groupBy("obs", "rel").agg(F.count(F.lit(1)).alias("c"))
-    totals = labelled.groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
-    grid = closed_grid(labelled.sparkSession, obs=list(V.RELATIONS), rel=list(V.RELATIONS)).join(F.broadcast(cells), ["obs", "rel"], "left").join(F.broadcast(totals), "rel", "left")
-    return grid.select("obs", "rel", F.log((F.coalesce("c", F.lit(0)) + 0.5) / (F.coalesce("n", F.lit(0)) + 3.0)).alias("log_p"))
+    """``(kind, obs, rel, log_p)`` from pairs of observed and true labels ``(obs, rel)``, half a count added to each cell."""
+    cells = labelled.select(MO.kind_of(labelled).alias("kind"), "obs", "rel").groupBy("kind", "obs", "rel").agg(F.count(F.lit(1)).alias("c"))
+    per = cells.groupBy("kind", "rel").agg(F.sum("c").alias("n"))
+    labels = F.array(*map(F.lit, V.RELATIONS))
+    grid = cells.select("kind").distinct().select("kind", F.explode(labels).alias("obs")).select("kind", "obs", F.explode(labels).alias("rel"))
+    grid = grid.join(F.broadcast(cells), ["kind", "obs", "rel"], "left").join(F.broadcast(per), ["kind", "rel"], "left")
+    return grid.select("kind", "obs", "rel", F.log((F.coalesce("c", F.lit(0)) + 0.5) / (F.coalesce("n", F.lit(0)) + 3.0)).alias("log_p"))
 
 
 def channel_exact(rate_rows: DataFrame, noisy: Column) -> DataFrame:
@@ -74,161 +98,285 @@ def channel_exact(rate_rows: DataFrame, noisy: Column) -> DataFrame:
     return rate_rows.withColumn("log_p", F.when(noisy, F.col("log_p")).when(F.col("obs") == F.col("rel"), 0.0).otherwise(math.log(1e-9)))
 
 
+def _with_labels(edges: DataFrame, prior: DataFrame, channel: DataFrame) -> DataFrame:
+    """Each edge once for each label of its kind, with q and log_p; both tables have a few rows a kind and are broadcast."""
+    label = prior.select("kind", F.col("rel").alias("label"), "q").join(F.broadcast(channel.select("kind", "obs", F.col("rel").alias("label"), "log_p")), ["kind", "label"])
+    options = label.groupBy("kind", "obs").agg(F.array_sort(F.collect_list(F.struct("label", "q", "log_p"))).alias("options"))
+    rows = edges.join(F.broadcast(options), ["kind", "obs"])
+    return rows.withColumn("option", F.explode("options")).select(*edges.columns, "option.label", "option.q", "option.log_p")
+
+
 def local_energy(edges: DataFrame, prior: DataFrame, channel: DataFrame, information: DataFrame, weight: float = 0.5, damping: float = 0.0, mean: bool = True) -> DataFrame:
-    """``(doc, s, t, obs, label, energy, triangles)`` of each label on each edge, the other edges as observed.
+    """``(doc, s, t, kind, obs, label, energy, triangles)`` of each label on each edge, the other edges as observed.
 
     ``edges`` is ``(doc, s, t, rel)`` with the observed label as rel.  The information table is a closed grid and is broadcast.
     """
     rev = F.when(F.col("side") == "xy", F.col("rev_xy")).when(F.col("side") == "yz", F.col("rev_yz")).otherwise(F.col("rev_xz"))
     p, q = F.when(F.col("side") == "xy", F.col("o_yz")).otherwise(F.col("o_xy")), F.when(F.col("side") == "xz", F.col("o_yz")).otherwise(F.col("o_xz"))
-    sides = MO.sides(MO.triangles(edges)).select("doc", "lo", "hi", "side", rev.alias("rev"), p.alias("p"), q.alias("q"))
-    scored = sides.join(F.broadcast(side_information(information)), ["side", "rev", "p", "q"]).groupBy("doc", "lo", "hi")
-    scored = scored.agg(F.array(*[F.sum(-F.col(f"e{i}")) for i in range(len(V.RELATIONS))]).alias("sums"), F.count(F.lit(1)).alias("triangles"))
-    own = edges.select("doc", "s", "t", F.col("rel").alias("obs"), F.least("s", "t").alias("lo"), F.greatest("s", "t").alias("hi")).join(scored, ["doc", "lo", "hi"], "left")
-    own = own.select("doc", "s", "t", "obs", "sums", "triangles", F.posexplode(F.array(*map(F.lit, V.RELATIONS))).alias("i", "label"))
-    rows = own.join(F.broadcast(prior.select(F.col("rel").alias("label"), "q")), "label").join(F.broadcast(channel.select("obs", F.col("rel").alias("label"), "log_p")), ["obs", "label"])
-    total = F.get("sums", F.col("i"))
+    sides = MO.sides(MO.triangles(edges)).select("doc", "lo", "hi", "side", "kinds", rev.alias("rev"), p.alias("p"), q.alias("q"))
+    scored = sides.join(F.broadcast(side_information(information)), ["side", "kinds", "rev", "p", "q"]).groupBy("doc", "lo", "hi")
+    scored = scored.agg(*[F.sum(-F.col(f"e{i}")).alias(f"e{i}") for i in range(len(V.RELATIONS))], F.count(F.lit(1)).alias("triangles"))
+    own = edges.select("doc", "s", "t", MO.kind_of(edges).alias("kind"), F.col("rel").alias("obs"), F.least("s", "t").alias("lo"), F.greatest("s", "t").alias("hi")).join(scored, ["doc", "lo", "hi"], "left")
+    rows = _with_labels(own, prior, channel)
+    total = F.lit(None).cast("double")
+    for i, r in enumerate(V.RELATIONS):
+        total = F.when(F.col("label") == r, F.col(f"e{i}")).otherwise(total)
     motif = F.coalesce(total / F.col("triangles") if mean else total, F.lit(0.0))
-    return rows.select("doc", "s", "t", "obs", "label", (-(1 - damping) * F.log("q") - F.col("log_p") + weight * motif).alias("energy"), F.coalesce("triangles", F.lit(0)).alias("triangles"), "q")
+    return rows.select("doc", "s", "t", "kind", "obs", "label", (-(1 - damping) * F.log("q") - F.col("log_p") + weight * motif).alias("energy"), F.coalesce("triangles", F.lit(0)).alias("triangles"), "q")
 
 
 def side_information(information: DataFrame) -> DataFrame:
-    """``(side, rev, p, q, e0..e5)``: for one side of a triangle and the other two labels, the information of each label there.
+    """``(side, kinds, rev, p, q, e0..e5)``: for one side of a triangle and the other two labels, the information of each label there.
 
-    ``rev`` says that the side's edge is stored backwards.  A closed grid of a few hundred rows.
+    ``rev`` says that the side's edge is stored backwards.  A closed grid of a few thousand rows.
     """
     out = None
     for side, first, second in (("xy", "yz", "xz"), ("yz", "xy", "xz"), ("xz", "xy", "yz")):
-        by_label = information.groupBy(F.col(f"o_{first}").alias("p"), F.col(f"o_{second}").alias("q")).agg(F.map_from_entries(F.collect_list(F.struct(f"o_{side}", "pmi"))).alias("m"))
+        by_label = information.groupBy("kinds", F.col(f"o_{first}").alias("p"), F.col(f"o_{second}").alias("q")).agg(F.map_from_entries(F.collect_list(F.struct(f"o_{side}", "pmi"))).alias("m"))
         for rev in (False, True):
             name = lambda r: f"i{r}" if rev and r not in V.SYMMETRIC else r
-            part = by_label.select(F.lit(side).alias("side"), F.lit(rev).alias("rev"), "p", "q", *[F.try_element_at("m", F.lit(name(r))).alias(f"e{i}") for i, r in enumerate(V.RELATIONS)])
+            part = by_label.select(F.lit(side).alias("side"), "kinds", F.lit(rev).alias("rev"), "p", "q", *[F.try_element_at("m", F.lit(name(r))).alias(f"e{i}") for i, r in enumerate(V.RELATIONS)])
             out = part if out is None else out.unionByName(part)
     return out
 
 
 def best_labels(energies: DataFrame) -> DataFrame:
-    """``(doc, s, t, obs, best)``: each edge's label of least energy, the observed one unless another is lower by 1e-9.
+    """``(doc, s, t, kind, obs, best)``: each edge's label of least energy, the observed one unless another is lower by 1e-9.
 
     Labels that are rarer than 1e-4 are no choice.  Energies are compared to nine decimals, ties go to the label first by name.
     """
     now = F.min(F.when(F.col("label") == F.col("obs"), F.round("energy", 9)))
     other = F.min(F.when((F.col("label") != F.col("obs")) & (F.col("q") >= LEAST_PRIOR), F.struct(F.round("energy", 9).alias("e"), "label")))
-    rows = energies.groupBy("doc", "s", "t", "obs").agg(now.alias("now"), other.alias("o"))
-    return rows.select("doc", "s", "t", "obs", F.when(F.col("o.e") < F.col("now") - 1e-9, F.col("o.label")).otherwise(F.col("obs")).alias("best"))
+    rows = energies.groupBy("doc", "s", "t", "kind", "obs").agg(now.alias("now"), other.alias("o"))
+    return rows.select("doc", "s", "t", "kind", "obs", F.when(F.col("o.e") < F.col("now") - 1e-9, F.col("o.label")).otherwise(F.col("obs")).alias("best"))
 
 
 def prior_channel_map(edges: DataFrame, prior: DataFrame, channel: DataFrame) -> DataFrame:
-    """``(doc, s, t, obs, best)`` without triangles."""
-    labels = F.explode(F.array(*map(F.lit, V.RELATIONS))).alias("label")
-    own = edges.select("doc", "s", "t", F.col("rel").alias("obs"), labels).join(F.broadcast(prior.select(F.col("rel").alias("label"), "q")), "label").join(F.broadcast(channel.select("obs", F.col("rel").alias("label"), "log_p")), ["obs", "label"])
-    return best_labels(own.select("doc", "s", "t", "obs", "label", (-F.log("q") - F.col("log_p")).alias("energy"), "q"))
+    """``(doc, s, t, kind, obs, best)`` without triangles."""
+    rows = _with_labels(edges.select("doc", "s", "t", MO.kind_of(edges).alias("kind"), F.col("rel").alias("obs")), prior, channel)
+    return best_labels(rows.select("doc", "s", "t", "kind", "obs", "label", (-F.log("q") - F.col("log_p")).alias("energy"), "q"))
+
+
+# ------------------------------------------------------------------- repair
+
+_CODES = {o: i for i, o in enumerate(oriented_labels())}
+#: Code of a label read forwards and backwards.
+_READ = np.array([[_CODES[r], _CODES[r if r in V.SYMMETRIC else f"i{r}"]] for r in V.RELATIONS])
+#: Edges of whole documents that are repaired at a time, about.
+BATCH_EDGES = 100_000
+
+
+@dataclass
+class Tables:
+    """The closed tables of a repair as arrays: by kind and observed label, and by a triangle's kinds and two of its labels."""
+
+    kinds: dict[str, int]
+    letters: dict[str, int]
+    own: np.ndarray  # kind, observed, label: energy of prior and channel; infinite where the label is no choice
+    kept: np.ndarray  # kind, observed, label: the same without that bar, for the label that an edge has
+    information: np.ndarray  # kinds (three letters), side, backwards, code, code, label
+
+    @classmethod
+    def of(cls, prior: DataFrame, channel: DataFrame, information: DataFrame, damping: float) -> Tables:
+        q = {(r["kind"], r["rel"]): r["q"] for r in prior.collect()}  # closed tables, all three
+        c = {(r["kind"], r["obs"], r["rel"]): r["log_p"] for r in channel.collect()}
+        kinds = {k: i for i, k in enumerate(sorted({k for k, _ in q}, key=lambda k: (k != "EE", k)))}
+        kept = np.array([[[-(1 - damping) * math.log(q[k, r]) - c.get((k, o, r), 0.0) for r in V.RELATIONS] for o in V.RELATIONS] for k in kinds])
+        rare = np.array([[q[k, r] < LEAST_PRIOR for r in V.RELATIONS] for k in kinds])
+        letters = {x: i for i, x in enumerate(sorted({x for k in kinds for x in k}))}
+        n, m = len(letters), len(_CODES)
+        grid = np.zeros((n, n, n, m, m, m))
+        for r in information.collect():
+            if all(x in letters for x in r["kinds"]):
+                grid[(*[letters[x] for x in r["kinds"]], _CODES[r["o_xy"]], _CODES[r["o_yz"]], _CODES[r["o_xz"]])] = r["pmi"]
+        # for each side its own label last, the other two in the order xy, yz, xz
+        by_side = np.stack([np.moveaxis(grid, 3, 5), np.moveaxis(grid, 4, 5), grid], axis=3)
+        by_way = np.stack([by_side[..., _READ[:, 0]], by_side[..., _READ[:, 1]]], axis=4)
+        return cls(kinds, letters, np.where(rare[:, None, :], np.inf, kept), kept, by_way.reshape(n**3, 3, 2, m, m, len(V.RELATIONS)))
+
+
+def _triangles_of(lo: np.ndarray, hi: np.ndarray, nodes: int) -> np.ndarray:
+    """Rows ``(xy, yz, xz)`` of edge numbers: all triangles among edges from ``lo`` to ``hi``; of repeated pairs the last one counts."""
+    key = lo * nodes + hi
+    order = np.argsort(key, kind="stable")
+    order = order[lo[order] < hi[order]]
+    last = order[np.append(key[order][1:] != key[order][:-1], True)] if len(order) else order
+    keys, starts = key[last], lo[last]
+    ends = np.searchsorted(starts, starts, side="right")
+    found = []
+    for at in range(0, len(last), 20_000):  # wedges of some edges at a time
+        first = np.arange(at, min(at + 20_000, len(last)))
+        n = ends[first] - first - 1
+        xy = np.repeat(first, n)
+        xz = xy + 1 + np.arange(len(xy)) - np.repeat(np.cumsum(n) - n, n)
+        wanted = hi[last][xy] * nodes + hi[last][xz]
+        yz = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        real = keys[yz] == wanted
+        found.append(np.stack([last[xy[real]], last[yz[real]], last[xz[real]]], axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
 
 class Icm:
-    """Iterated conditional modes on one document, in place and in ascending order of edges."""
-
-    def __init__(self, prior: dict[str, float], channel: dict[tuple[str, str], float], information: dict[tuple[str, str, str], float], weight: float, damping: float, mean: bool, sweeps: int):
-        self.labels = list(V.RELATIONS)
-        self.prior, self.channel, self.pmi = prior, channel, information
-        self.weight, self.damping, self.mean, self.sweeps = weight, damping, mean, sweeps
-        self.back = {r: r if r in V.SYMMETRIC else f"i{r}" for r in self.labels}
-
-    def _oriented(self, label: str, rev: bool) -> str:
-        return self.back[label] if rev else label
-
-    def run(self, edges: list[tuple], trace: bool = False) -> list[list[str]]:
-        """``edges`` are ``(s, t, observed)``; the labels after each sweep, or the last only."""
-        at = {}
-        for j, (s, t, _) in enumerate(edges):
-            at[min(s, t), max(s, t)] = j, s > t
-        nodes: dict = {}
-        for a, b in at:
-            nodes.setdefault(a, []).append(b)
-        triangles = []
-        for x in sorted(nodes):
-            after = sorted(nodes[x])
-            for i, y in enumerate(after):
-                for z in after[i + 1 :]:
-                    if (y, z) in at:
-                        triangles.append((at[x, y], at[y, z], at[x, z]))
-        touching: list[list[tuple[int, int]]] = [[] for _ in edges]
-        for k, parts in enumerate(triangles):
-            for side, (j, _) in enumerate(parts):
-                touching[j].append((k, side))
-        observed = [e[2] for e in edges]
-        label = list(observed)
-
-        def config(k: int) -> list[str]:
-            return [self._oriented(label[j], rev) for j, rev in triangles[k]]
-
-        def energy(j: int, candidate: str) -> float:
-            base = -(1 - self.damping) * math.log(self.prior[candidate]) - self.channel[observed[j], candidate]
-            if not touching[j]:
-                return base
-            total = 0.0
-            for k, side in touching[j]:
-                o = config(k)
-                o[side] = self._oriented(candidate, triangles[k][side][1])
-                total -= self.pmi[tuple(o)]
-            return base + self.weight * (total / len(touching[j]) if self.mean else total)
-
-        todo = sorted({j for k in range(len(triangles)) if self.pmi[tuple(config(k))] < 0 for j, _ in triangles[k]})
+    """Iterated conditional modes in place, edges in ascending order, on many documents side by side.
+
+    Documents do not touch each other, so the edges at one place of each document's order are judged together, all six labels
+    of each at once.  A sweep visits the edges of triangles whose information is below zero, later ones the edges that share a
+    triangle with an edge changed in the sweep before.
+    """
+
+    def __init__(self, tables: Tables, weight: float, mean: bool, sweeps: int):
+        self.tables, self.weight, self.mean, self.sweeps = tables, weight, mean, sweeps
+
+    def run(self, doc: np.ndarray, s: np.ndarray, t: np.ndarray, kind: np.ndarray, observed: np.ndarray) -> list[np.ndarray]:
+        """Labels (numbers) after each sweep.  Rows are sorted by doc, s, t; ``doc`` and nodes are whole numbers in order."""
+        tables, n = self.tables, len(doc)
+        nodes = int(max(s.max(), t.max())) + 1 if n else 1
+        # nodes of different documents are different nodes
+        a, b = np.minimum(s, t), np.maximum(s, t)
+        _, numbered = np.unique(np.concatenate([doc * nodes + a, doc * nodes + b]), return_inverse=True)
+        lo, hi = numbered[:n], numbered[n:]
+        tri = _triangles_of(lo, hi, 2 * n + 1)
+        back = (s > t).astype(np.int64)
+        letter = np.array([[tables.letters[x] for x in k] for k in tables.kinds])[kind]  # of start and end
+        k_lo, k_hi = letter[np.arange(n), back], letter[np.arange(n), 1 - back]
+        size = len(tables.letters)
+        three = (k_lo[tri[:, 0]] * size + k_hi[tri[:, 0]]) * size + k_hi[tri[:, 1]]
+        # each triangle once for each of its edges: that edge, the other two, and where its table row starts
+        own = np.concatenate([tri[:, 0], tri[:, 1], tri[:, 2]])
+        one = np.concatenate([tri[:, 1], tri[:, 0], tri[:, 0]])
+        two = np.concatenate([tri[:, 2], tri[:, 2], tri[:, 1]])
+        side = np.repeat(np.arange(3), len(tri))
+        by = np.argsort(own, kind="stable")
+        own, one, two, side, three = own[by], one[by], two[by], side[by], np.tile(three, 3)[by]
+        begin = np.searchsorted(own, np.arange(n + 1))
+        degree = np.diff(begin)
+        label = observed.copy()
+        sums = tables.information
+
+        def rows_of(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Incidences of some edges, and where each edge's begin among them."""
+            many = degree[edges]
+            start = np.cumsum(many) - many
+            return np.repeat(begin[edges], many) + np.arange(int(many.sum())) - np.repeat(start, many), start
+
+        def told(at: np.ndarray) -> np.ndarray:
+            return sums[three[at], side[at], back[own[at]], _READ[label[one[at]], back[one[at]]], _READ[label[two[at]], back[two[at]]]]
+
+        place = np.arange(n) - np.searchsorted(doc, doc)
+        by_place = np.argsort(place, kind="stable")
+        steps = np.split(by_place, np.flatnonzero(np.diff(place[by_place])) + 1) if n else []
+        every = np.arange(len(own))
+        bad = np.take_along_axis(told(every), label[own][:, None], 1)[:, 0] < 0 if len(own) else np.zeros(0, bool)
+        due = np.zeros(n, bool)
+        due[own[bad]] = True
         states = []
         for _ in range(self.sweeps):
-            if not todo:
+            if not due.any():
                 break
-            again: set[int] = set()
-            for j in todo:
-                best, value = label[j], energy(j, label[j])
-                for candidate in self.labels:
-                    if candidate != label[j] and self.prior[candidate] >= LEAST_PRIOR:
-                        e = energy(j, candidate)
-                        if e < value - 1e-9:
-                            best, value = candidate, e
-                if best != label[j]:
-                    label[j] = best
-                    again.update(i for k, _ in touching[j] for i, _ in triangles[k] if i != j)
-            states.append(list(label))
-            todo = sorted(again)
-        return (states or [list(label)]) if trace else [label]
+            following = np.zeros(n, bool)
+            for step in steps:
+                now = step[due[step]]
+                if not len(now):
+                    continue
+                energy = tables.own[kind[now], observed[now]].copy()
+                energy[np.arange(len(now)), label[now]] = tables.kept[kind[now], observed[now], label[now]]
+                touched = now[degree[now] > 0]
+                if len(touched):
+                    at, start = rows_of(touched)
+                    motif = -np.add.reduceat(told(at), start, axis=0)
+                    energy[degree[now] > 0] += self.weight * (motif / degree[touched][:, None] if self.mean else motif)
+                energy = np.round(energy, 9)
+                best = energy.argmin(axis=1)
+                change = energy[np.arange(len(now)), best] < energy[np.arange(len(now)), label[now]]
+                moved = now[change]
+                label[moved] = best[change]
+                if len(moved):
+                    at, _ = rows_of(moved)
+                    following[one[at]] = True
+                    following[two[at]] = True
+            states.append(label.copy())
+            due = following
+        return states or [label]
+
+
+def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted rows in parts of whole documents."""
+    held: list[pd.DataFrame] = []
+    n = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        n += len(batch)
+        if n < BATCH_EDGES:
+            continue
+        rows = pd.concat(held, ignore_index=True)
+        open_ = (rows["doc"] == rows["doc"].iloc[-1]).to_numpy()
+        if not open_.all():
+            yield rows[~open_]
+        held, n = [rows[open_]], int(open_.sum()) if not open_.all() else 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _coded(rows: pd.DataFrame, tables: Tables) -> tuple[np.ndarray, ...]:
+    """The columns that ``Icm.run`` takes; a kind that the tables lack counts as the first, which is EE if there is one."""
+    doc = np.cumsum(np.append(False, rows["doc"].to_numpy()[1:] != rows["doc"].to_numpy()[:-1]))
+    node, _ = pd.factorize(pd.concat([rows["s"], rows["t"]], ignore_index=True), sort=True)
+    labels = {r: i for i, r in enumerate(V.RELATIONS)}
+    return doc, node[: len(rows)], node[len(rows) :], rows["kind"].map(tables.kinds).fillna(0).to_numpy(np.int64), rows["rel"].map(labels).to_numpy(np.int64)
+
+
+def _by_document(edges: DataFrame, *more: str) -> DataFrame:
+    """Edges with one of the six labels, documents whole and in order."""
+    rows = edges.where(F.col("rel").isin(list(V.RELATIONS)) & F.col("doc").isNotNull() & F.col("s").isNotNull() & F.col("t").isNotNull())
+    rows = rows.select("doc", "s", "t", MO.kind_of(edges).alias("kind"), "rel", *more)
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return rows.repartition(n, "doc").sortWithinPartitions("doc", "s", "t")
 
 
 def icm_repair(edges: DataFrame, prior: DataFrame, channel: DataFrame, information: DataFrame, weight: float = 0.5, damping: float = 0.0, mean: bool = True, sweeps: int = 4, trace: bool = False) -> DataFrame:
-    """``(doc, s, t, obs, best, sweep)``: labels of each document after repair; with ``trace`` after each sweep.
+    """``(doc, s, t, kind, obs, best, sweep)``: labels of each document after repair; with ``trace`` after each sweep.
 
-    A document is repaired alone, in one task, as one group; the tables that it needs are closed grids, read once.
+    A label is changed for the one of least energy, energies compared to nine decimals, ties to the label first in the
+    vocabulary; labels rarer than 1e-4 are no choice.  A document is repaired in one task; rows without a document, a node or a
+    known label are left out.
     """
-    q = {r["rel"]: r["q"] for r in prior.collect()}
-    c = {(r["obs"], r["rel"]): r["log_p"] for r in channel.collect()}
-    pmi = {(r["o_xy"], r["o_yz"], r["o_xz"]): r["pmi"] for r in information.collect()}
-    icm = Icm(q, c, pmi, weight, damping, mean, sweeps)
+    tables = Tables.of(prior, channel, information, damping)
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["s", "t"], kind="stable")
-        states = icm.run(list(zip(group["s"], group["t"], group["rel"])), trace)
-        parts = [pd.DataFrame({"doc": group["doc"], "s": group["s"], "t": group["t"], "obs": group["rel"], "best": state, "sweep": k}) for k, state in enumerate(states, 1)]
-        return pd.concat(parts, ignore_index=True)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        icm, names = Icm(tables, weight, mean, sweeps), np.array(V.RELATIONS, object)
+        for rows in _documents(batches):
+            states = icm.run(*_coded(rows, tables))
+            for sweep, state in list(enumerate(states, 1))[0 if trace else -1 :]:
+                yield pd.DataFrame({"doc": rows["doc"], "s": rows["s"], "t": rows["t"], "kind": rows["kind"], "obs": rows["rel"], "best": names[state], "sweep": sweep if trace else 1})
 
-    kinds = dict(edges.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in ("doc", "s", "t")), "obs string, best string, sweep long"])
-    return edges.select("doc", "s", "t", "rel").groupBy("doc").applyInPandas(one, schema)
+    types = dict(edges.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in ("doc", "s", "t")), "kind string, obs string, best string, sweep long"])
+    return _by_document(edges).mapInPandas(run, schema)
 
 
-def grid_search(edges: DataFrame, prior: DataFrame, channel: DataFrame, information: DataFrame, grid: list[tuple[float, float, bool]]) -> DataFrame:
+def grid_search(edges: DataFrame, prior: DataFrame, channel: DataFrame, information: DataFrame, grid: list[tuple[float, float, bool]], sweeps: int = 4) -> DataFrame:
     """``(weight, damping, mean, fixed, broken)`` of each point of a grid on edges that also have ``gold``; one pass over the documents."""
-    q = {r["rel"]: r["q"] for r in prior.collect()}
-    c = {(r["obs"], r["rel"]): r["log_p"] for r in channel.collect()}
-    pmi = {(r["o_xy"], r["o_yz"], r["o_xz"]): r["pmi"] for r in information.collect()}
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["s", "t"], kind="stable")
-        rows, gold, obs = list(zip(group["s"], group["t"], group["rel"])), group["gold"].to_numpy(), group["rel"].to_numpy()
-        out = []
-        for weight, damping, mean in grid:
-            best = np.array(Icm(q, c, pmi, weight, damping, mean, 4).run(rows)[0], object)
-            out.append((weight, damping, mean, int(((best == gold) & (obs != gold)).sum()), int(((best != gold) & (obs == gold)).sum())))
-        return pd.DataFrame(out, columns=["weight", "damping", "mean", "fixed", "broken"])
-
-    per = edges.select("doc", "s", "t", "rel", "gold").groupBy("doc").applyInPandas(one, "weight double, damping double, mean boolean, fixed long, broken long")
+    points = [(w, d, m, Tables.of(prior, channel, information, d)) for w, d, m in grid]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = np.array(V.RELATIONS, object)
+        for rows in _documents(batches):
+            gold, obs, out = rows["gold"].to_numpy(), rows["rel"].to_numpy(), []
+            for weight, damping, mean, tables in points:
+                best = names[Icm(tables, weight, mean, sweeps).run(*_coded(rows, tables))[-1]]
+                out.append((weight, damping, mean, int(((best == gold) & (obs != gold)).sum()), int(((best != gold) & (obs == gold)).sum())))
+            yield pd.DataFrame(out, columns=["weight", "damping", "mean", "fixed", "broken"])
+
+    per = _by_document(edges, "gold").mapInPandas(run, "weight double, damping double, mean boolean, fixed long, broken long")
     return per.groupBy("weight", "damping", "mean").agg(F.sum("fixed").alias("fixed"), F.sum("broken").alias("broken"))
+
+
+def best_point(found: DataFrame, least_net: int = 1) -> DataFrame:
+    """The grid's point of the highest net (fixed less broken); on ties fewer broken edges, then the smaller weight and damping.
+
+    No row where no point reaches ``least_net``: repair is better left out.
+    """
+    net = F.col("fixed") - F.col("broken")
+    return found.select("*", net.alias("net")).where(F.col("net") >= least_net).orderBy(F.desc("net"), "broken", "weight", "damping", "mean").limit(1)

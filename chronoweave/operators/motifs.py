@@ -1,74 +1,95 @@
 """Triangles and paths of a document's edges ``(doc, s, t, rel)``, and what they say of labels.
 
-Edges are stored in one direction; an oriented label read from an edge's end starts with i.
+Edges are stored in one direction; an oriented label read from an edge's end starts with i.  ``kind`` names the kinds of an
+edge's start and end, a letter each (E an event, T a time expression); edges without that column are event pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoweave.functions import scalar as S
 
+#: The columns that say which labels on which kinds of nodes a triangle has.
+CONFIGURATION = ["kinds", "o_xy", "o_yz", "o_xz"]
+
+
+def kind_of(edges: DataFrame) -> Column:
+    return F.col("kind") if "kind" in edges.columns else F.lit("EE")
+
 
 def canonical(edges: DataFrame) -> DataFrame:
-    """``(doc, lo, hi, rev, rel, o)``: each edge from its smaller to its larger node, o its label read in that direction."""
-    rev = F.col("s") > F.col("t")
-    return edges.select("doc", F.least("s", "t").alias("lo"), F.greatest("s", "t").alias("hi"), rev.alias("rev"), "rel", S.oriented(F.col("rel"), rev).alias("o"))
+    """``(doc, lo, hi, rev, rel, o, k)``: each edge from its smaller to its larger node, o its label and k its kind in that direction."""
+    rev, kind = F.col("s") > F.col("t"), kind_of(edges)
+    return edges.select("doc", F.least("s", "t").alias("lo"), F.greatest("s", "t").alias("hi"), rev.alias("rev"), "rel", S.oriented(F.col("rel"), rev).alias("o"), F.when(rev, F.reverse(kind)).otherwise(kind).alias("k"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """``(doc, x, y, z, o_xy, o_yz, o_xz, rev_xy, rev_yz, rev_xz)`` with x < y < z and all three edges.
+    """``(doc, x, y, z, kinds, o_xy, o_yz, o_xz, rev_xy, rev_yz, rev_xz)`` with x < y < z and all three edges.
 
     Joins are on document and node, so every step is dealt out by both.
     """
     e = canonical(edges)
-    side = lambda a, b: e.select("doc", F.col("lo").alias(a), F.col("hi").alias(b), F.col("o").alias(f"o_{a}{b}"), F.col("rev").alias(f"rev_{a}{b}"))
-    wedge = side("x", "y").join(side("y", "z"), ["doc", "y"])
-    return wedge.join(side("x", "z"), ["doc", "x", "z"]).select("doc", "x", "y", "z", "o_xy", "o_yz", "o_xz", "rev_xy", "rev_yz", "rev_xz")
+    side = lambda a, b, *more: e.select("doc", F.col("lo").alias(a), F.col("hi").alias(b), F.col("o").alias(f"o_{a}{b}"), F.col("rev").alias(f"rev_{a}{b}"), *more)
+    wedge = side("x", "y", F.col("k").alias("k_xy")).join(side("y", "z", F.substring("k", 2, 1).alias("k_z")), ["doc", "y"])
+    return wedge.join(side("x", "z"), ["doc", "x", "z"]).select("doc", "x", "y", "z", F.concat("k_xy", "k_z").alias("kinds"), "o_xy", "o_yz", "o_xz", "rev_xy", "rev_yz", "rev_xz")
 
 
 def configurations(tri: DataFrame) -> DataFrame:
-    """``(o_xy, o_yz, o_xz, n)``: oriented labels of triangles and their frequency."""
-    return tri.groupBy("o_xy", "o_yz", "o_xz").agg(F.count(F.lit(1)).alias("n"))
+    """``(kinds, o_xy, o_yz, o_xz, n)``: node kinds and oriented labels of triangles and their frequency."""
+    return tri.groupBy(*CONFIGURATION).agg(F.count(F.lit(1)).alias("n"))
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """``(doc, u, v, o)``: each edge in both directions with the label read in each."""
-    forward = edges.select("doc", F.col("s").alias("u"), F.col("t").alias("v"), F.col("rel").alias("o"))
-    return forward.unionByName(edges.select("doc", F.col("t").alias("u"), F.col("s").alias("v"), S.read_backwards(F.col("rel")).alias("o")))
+    """``(doc, u, v, o, kv)``: each edge in both directions with the label read in each, and the kind of the node it leads to."""
+    kind = kind_of(edges)
+    forward = edges.select("doc", F.col("s").alias("u"), F.col("t").alias("v"), F.col("rel").alias("o"), F.substring(kind, 2, 1).alias("kv"))
+    return forward.unionByName(edges.select("doc", F.col("t").alias("u"), F.col("s").alias("v"), S.read_backwards(F.col("rel")).alias("o"), F.substring(kind, 1, 1).alias("kv")))
+
+
+def _first_of_family(rows: DataFrame, most: int, *way: str) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("doc", "s", "t", "family").orderBy(*way))
+    return rows.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
 
 
 def two_hop(edges: DataFrame, most: int = 4) -> DataFrame:
-    """``(doc, s, t, m, o1, o2)``: the first ``most`` nodes m between an edge's ends, with the labels on the way."""
+    """``(doc, s, t, family, m, o1, o2)``: the first ``most`` nodes m between an edge's ends in each family.
+
+    A family is the edge's kind, the number of nodes of the motif and the kind of the node between.
+    """
     c = closure(edges)
-    first = c.select("doc", F.col("u").alias("s"), F.col("v").alias("m"), F.col("o").alias("o1"))
+    first = c.select("doc", F.col("u").alias("s"), F.col("v").alias("m"), F.col("o").alias("o1"), F.col("kv").alias("km"))
     second = c.select("doc", F.col("u").alias("m"), F.col("v").alias("t"), F.col("o").alias("o2"))
-    rows = edges.select("doc", "s", "t").join(first, ["doc", "s"]).join(second, ["doc", "m", "t"])
-    rank = F.row_number().over(W.partitionBy("doc", "s", "t").orderBy("m"))
-    return rows.withColumn("_r", rank).where(F.col("_r") <= most).select("doc", "s", "t", "m", "o1", "o2")
+    rows = edges.select("doc", "s", "t", kind_of(edges).alias("k")).join(first, ["doc", "s"]).join(second, ["doc", "m", "t"])
+    return _first_of_family(rows.select("doc", "s", "t", F.concat("k", F.lit("3"), "km").alias("family"), "m", "o1", "o2"), most, "m")
 
 
-def three_hop(edges: DataFrame, most: int = 4, degree: int | None = None) -> DataFrame:
-    """``(doc, s, t, m, y, o1, o2, o3)``: the first ``most`` paths s, m, y, t of four different nodes."""
+def three_hop(edges: DataFrame, most: int = 4) -> DataFrame:
+    """``(doc, s, t, family, m, y, o1, o2, o3)``: the first ``most`` paths s, m, y, t of four different nodes in each family.
+
+    Of an edge's paths over one m only the first ``most`` of each kind of y can be among the first, so the nodes y between m
+    and t are cut to ``most`` and one more (for y = s) before the start s comes in.
+    """
     c = closure(edges)
-    hop = lambda a, b, o: c.select("doc", F.col("u").alias(a), F.col("v").alias(b), F.col("o").alias(o))
-    rows = edges.select("doc", "s", "t").join(hop("s", "m", "o1"), ["doc", "s"]).where("m <> t")
-    rows = rows.join(hop("m", "y", "o2"), ["doc", "m"]).where("y <> s and y <> t").join(hop("y", "t", "o3"), ["doc", "y", "t"])
-    rank = F.row_number().over(W.partitionBy("doc", "s", "t").orderBy("m", "y"))
-    return rows.withColumn("_r", rank).where(F.col("_r") <= most).select("doc", "s", "t", "m", "y", "o1", "o2", "o3")
+    hop = lambda a, b, o, k: c.select("doc", F.col("u").alias(a), F.col("v").alias(b), F.col("o").alias(o), F.col("kv").alias(k))
+    ends = hop("m", "y", "o2", "ky").join(hop("y", "t", "o3", "_t").drop("_t"), ["doc", "y"]).where("m <> t")
+    near = F.row_number().over(W.partitionBy("doc", "m", "t", "ky").orderBy("y"))
+    ends = ends.withColumn("_n", near).where(F.col("_n") <= most + 1).drop("_n")
+    rows = edges.select("doc", "s", "t", kind_of(edges).alias("k")).join(hop("s", "m", "o1", "km"), ["doc", "s"]).where("m <> t").join(ends, ["doc", "m", "t"]).where("y <> s")
+    return _first_of_family(rows.select("doc", "s", "t", F.concat("k", F.lit("4"), "km", "ky").alias("family"), "m", "y", "o1", "o2", "o3"), most, "m", "y")
 
 
 def graph_atoms(hops: DataFrame) -> DataFrame:
-    """``(doc, s, t, atom)``: the labels along the paths of each edge, each once."""
-    atom = F.concat(F.lit("EQ|motif|"), F.concat_ws(">", *[c for c in ("o1", "o2", "o3") if c in hops.columns]))
+    """``(doc, s, t, atom)``: the labels along the paths of each edge with their family, each once."""
+    atom = F.concat(F.lit("GRAPH|"), F.col("family"), F.lit("|"), F.concat_ws(">", *[c for c in ("o1", "o2", "o3") if c in hops.columns]))
     return hops.select("doc", "s", "t", atom.alias("atom")).distinct()
 
 
 def unseen(tri: DataFrame, known: DataFrame) -> DataFrame:
     """Triangles whose configuration the known ones lack."""
-    return tri.join(known, ["o_xy", "o_yz", "o_xz"], "left_anti")
+    return tri.join(known, CONFIGURATION, "left_anti")
 
 
 def sides(tri: DataFrame) -> DataFrame:

@@ -18,13 +18,13 @@ from chronoweave.plans.base import query
 from chronoweave.plans.function_plans import sql_md5_mod, sql_wilson
 from chronoweave.sources import testdata as T
 
-P = T.SQL_PAIRS
+P = T.SQL_MIXED
 _BACK = lambda r: f"case when {r} in ('SIMULTANEOUS', 'BEGINS-ON') then {r} else 'i' || {r} end"
 
 
 def _tri(source: str, rel: str = "rel") -> str:
-    return f"""ce as (select doc, least(s, t) lo, greatest(s, t) hi, s > t rev, case when s > t then {_BACK(rel)} else {rel} end o from {source}),
-  tr as (select a.doc, a.lo x, a.hi y, b.hi z, a.o o_xy, b.o o_yz, c.o o_xz, a.rev rev_xy, b.rev rev_yz, c.rev rev_xz from ce a join ce b on b.doc = a.doc and b.lo = a.hi join ce c on c.doc = a.doc and c.lo = a.lo and c.hi = b.hi)"""
+    return f"""ce as (select doc, least(s, t) lo, greatest(s, t) hi, s > t rev, case when s > t then {_BACK(rel)} else {rel} end o, case when s > t then reverse(kind) else kind end k from {source}),
+  tr as (select a.doc, a.lo x, a.hi y, b.hi z, a.k || substr(b.k, 2, 1) kinds, a.o o_xy, b.o o_yz, c.o o_xz, a.rev rev_xy, b.rev rev_yz, c.rev rev_xz from ce a join ce b on b.doc = a.doc and b.lo = a.hi join ce c on c.doc = a.doc and c.lo = a.lo and c.hi = b.hi)"""
 
 
 TRI = f"{P}, {_tri('pr')}"
@@ -35,80 +35,75 @@ TRI = f"{P}, {_tri('pr')}"
 
 @query(f"with {TRI} select doc, count(*) n, count(*) filter (o_xz = 'BEFORE') before from tr group by doc")
 def mo_triangles(spark, sf):
-    return MO.triangles(T.edges(spark, sf)).groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_xz") == "BEFORE").alias("before"))
+    return MO.triangles(T.mixed_edges(spark, sf)).groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_xz") == "BEFORE").alias("before"))
 
 
-@query(f"with {TRI} select o_xy, o_yz, o_xz, count(*) n from tr group by all")
+@query(f"with {TRI} select kinds, o_xy, o_yz, o_xz, count(*) n from tr group by all")
 def mo_config_freq(spark, sf):
-    return MO.configurations(MO.triangles(T.edges(spark, sf)))
+    return MO.configurations(MO.triangles(T.mixed_edges(spark, sf)))
 
 
-_CLOSURE = f"cl as (select doc, s u, t v, rel o from pr union all select doc, t, s, {_BACK('rel')} from pr)"
+def _closure(source: str) -> str:
+    return f"cl as (select doc, s u, t v, rel o, substr(kind, 2, 1) kv from {source} union all select doc, t, s, {_BACK('rel')}, substr(kind, 1, 1) from {source})"
 
 
-@query(f"with {P}, {_CLOSURE}, h as (select pr.doc, pr.s, pr.t, a.v m, a.o o1, b.o o2, row_number() over (partition by pr.doc, pr.s, pr.t order by a.v) r from pr join cl a on a.doc = pr.doc and a.u = pr.s join cl b on b.doc = pr.doc and b.u = a.v and b.v = pr.t) select doc, s, t, m, o1, o2 from h where r <= 4")
-def mo_two_hop_cap4(spark, sf):
-    return MO.two_hop(T.edges(spark, sf))
-
+def _hop2(source: str) -> str:
+    return f"h2 as (select * from (select p.doc, p.s, p.t, p.kind || '3' || a.kv as family, a.v m, a.o o1, b.o o2, row_number() over (partition by p.doc, p.s, p.t, a.kv order by a.v) r from {source} p join cl a on a.doc = p.doc and a.u = p.s join cl b on b.doc = p.doc and b.u = a.v and b.v = p.t) where r <= 4)"
 
-_SMALL = "sm as (select pr.* from pr where doc in (select doc from ev group by doc having count(*) <= 6))"
 
+_HOP3 = "h3 as (select * from (select p.doc, p.s, p.t, p.kind || '4' || a.kv || b.kv as family, a.v m, b.v y, a.o o1, b.o o2, c.o o3, row_number() over (partition by p.doc, p.s, p.t, a.kv, b.kv order by a.v, b.v) r from pr p join cl a on a.doc = p.doc and a.u = p.s and a.v <> p.t join cl b on b.doc = p.doc and b.u = a.v and b.v <> p.s and b.v <> p.t join cl c on c.doc = p.doc and c.u = b.v and c.v = p.t) where r <= 4)"
+_HOPS = f"{P}, {_closure('pr')}, {_hop2('pr')}"
 
-@query(f"with {P}, {_SMALL}, cl as (select doc, s u, t v, rel o from sm union all select doc, t, s, {_BACK('rel')} from sm), h as (select sm.doc, sm.s, sm.t, a.v m, b.v y, a.o o1, b.o o2, c.o o3, row_number() over (partition by sm.doc, sm.s, sm.t order by a.v, b.v) r from sm join cl a on a.doc = sm.doc and a.u = sm.s and a.v <> sm.t join cl b on b.doc = sm.doc and b.u = a.v and b.v <> sm.s and b.v <> sm.t join cl c on c.doc = sm.doc and c.u = b.v and c.v = sm.t) select doc, s, t, m, y, o1, o2, o3 from h where r <= 4")
-def mo_three_hop_cap4(spark, sf):
-    """Paths in documents of up to six events; the full operator is the same without that filter."""
-    small = T.events(spark, sf).groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n <= 6")
-    return MO.three_hop(T.edges(spark, sf).join(small, "doc", "left_semi"))
 
-
-@query(f"with {P}, {_CLOSURE}, h as (select pr.doc, pr.s, pr.t, a.o o1, b.o o2, row_number() over (partition by pr.doc, pr.s, pr.t order by a.v) r from pr join cl a on a.doc = pr.doc and a.u = pr.s join cl b on b.doc = pr.doc and b.u = a.v and b.v = pr.t) select atom, count(*) n from (select distinct doc, s, t, 'EQ|motif|' || o1 || '>' || o2 atom from h where r <= 4) group by atom")
-def mo_graph_atoms(spark, sf):
-    return MO.graph_atoms(MO.two_hop(T.edges(spark, sf))).groupBy("atom").agg(F.count(F.lit(1)).alias("n"))
+@query(f"with {_HOPS} select doc, s, t, family, m, o1, o2 from h2")
+def mo_two_hop_cap4(spark, sf):
+    return MO.two_hop(T.mixed_edges(spark, sf))
 
 
-@query()
-def mo_three_hop_all(spark, sf):
+@query(f"with {_HOPS}, {_HOP3} select doc, s, t, family, m, y, o1, o2, o3 from h3")
+def mo_three_hop_cap4(spark, sf):
     """Paths of three hops in all documents, whatever their size."""
-    return MO.three_hop(T.edges(spark, sf))
+    return MO.three_hop(cut(T.mixed_edges(spark, sf)))
 
 
-@query()
-def mo_graph_atoms_all(spark, sf):
-    """Atoms of paths of two and of three hops."""
-    e = T.edges(spark, sf)
-    atoms = MO.graph_atoms(MO.two_hop(e)).unionByName(MO.graph_atoms(MO.three_hop(e)))
-    return atoms.groupBy("atom").agg(F.count(F.lit(1)).alias("n"))
+@query(f"with {_HOPS}, {_HOP3}, ga as (select distinct doc, s, t, 'GRAPH|' || family || '|' || o1 || '>' || o2 atom from h2 union all select distinct doc, s, t, 'GRAPH|' || family || '|' || o1 || '>' || o2 || '>' || o3 from h3) select atom, count(*) n from ga group by atom")
+def mo_graph_atoms(spark, sf):
+    """Atoms of motifs of two and of three hops."""
+    e = cut(T.mixed_edges(spark, sf))
+    return MO.graph_atoms(MO.two_hop(e)).unionByName(MO.graph_atoms(MO.three_hop(e))).groupBy("atom").agg(F.count(F.lit(1)).alias("n"))
 
 
-_KNOWN = f"kn as (select distinct o_xy, o_yz, o_xz from tr where {sql_md5_mod('cast(doc as varchar)', 5)} <> 0)"
+_KNOWN = f"kn as (select distinct kinds, o_xy, o_yz, o_xz from tr where {sql_md5_mod('cast(doc as varchar)', 5)} <> 0)"
 
 
-@query(f"with {TRI}, {_KNOWN} select o_xy, o_yz, o_xz, count(*) n from tr where not exists (select 1 from kn where kn.o_xy = tr.o_xy and kn.o_yz = tr.o_yz and kn.o_xz = tr.o_xz) group by all")
+@query(f"with {TRI}, {_KNOWN} select kinds, o_xy, o_yz, o_xz, count(*) n from tr where not exists (select 1 from kn where kn.kinds = tr.kinds and kn.o_xy = tr.o_xy and kn.o_yz = tr.o_yz and kn.o_xz = tr.o_xz) group by all")
 def mo_unseen(spark, sf):
     """Configurations of a fifth of the documents that the others do not have."""
-    tri = MO.triangles(T.edges(spark, sf))
-    known = tri.where(S.md5_mod(F.col("doc").cast("string"), 5) != 0).select("o_xy", "o_yz", "o_xz").distinct()
+    tri = MO.triangles(T.mixed_edges(spark, sf))
+    known = tri.where(S.md5_mod(F.col("doc").cast("string"), 5) != 0).select(*MO.CONFIGURATION).distinct()
     return MO.configurations(MO.unseen(tri, known))
 
 
-@query(f"with {TRI} select o_xy, o_yz, o_xz, count(*) n, count(distinct doc) docs from tr where 'ENDS-ON' in (o_xy, o_yz, o_xz) or 'iENDS-ON' in (o_xy, o_yz, o_xz) group by all")
+@query(f"with {TRI} select kinds, o_xy, o_yz, o_xz, count(*) n, count(distinct doc) docs from tr where 'ENDS-ON' in (o_xy, o_yz, o_xz) or 'iENDS-ON' in (o_xy, o_yz, o_xz) group by all")
 def mo_rare_edge_triangles(spark, sf):
-    tri = MO.triangles(T.edges(spark, sf))
+    tri = MO.triangles(T.mixed_edges(spark, sf))
     rare = F.arrays_overlap(F.array("o_xy", "o_yz", "o_xz"), F.array(F.lit("ENDS-ON"), F.lit("iENDS-ON")))
-    return tri.where(rare).groupBy("o_xy", "o_yz", "o_xz").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc").alias("docs"))
+    return tri.where(rare).groupBy(*MO.CONFIGURATION).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc").alias("docs"))
 
 
-_NOISY = f"nz as (select doc, s, t, case when {sql_md5_mod('doc || chr(124) || s || chr(124) || t', 10)} = 0 then 'ENDS-ON' else rel end rel from pr)"
+_NOISY = f"nz as (select doc, s, t, kind, case when {sql_md5_mod('doc || chr(124) || s || chr(124) || t', 10)} = 0 then 'ENDS-ON' else rel end rel from pr)"
 
 
 def noisy(spark, sf) -> DataFrame:
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in ("doc", "s", "t")])
-    return T.edges(spark, sf).withColumn("rel", F.when(S.md5_mod(key, 10) == 0, "ENDS-ON").otherwise(F.col("rel")))
+    # hashed once, and read by every side of the joins that follow
+    return cut(T.mixed_edges(spark, sf).withColumn("rel", F.when(S.md5_mod(key, 10) == 0, "ENDS-ON").otherwise(F.col("rel"))))
 
 
-@query(f"with {P}, {_NOISY} select a.doc, o.s a, a.t x, o.t c from nz o join nz a on a.doc = o.doc and a.s = o.s and a.rel = 'BEFORE' join nz b on b.doc = o.doc and b.s = a.t and b.t = o.t and b.rel = 'BEFORE' where o.rel = 'ENDS-ON'")
+@query(f"with {P}, {_NOISY}, be as (select doc, s, t from nz where rel = 'BEFORE'), vc as (select a.doc, o.s a, a.t x, o.t c from (select doc, s, t from nz where rel = 'ENDS-ON') o join be a on a.doc = o.doc and a.s = o.s join be b on b.doc = a.doc and b.s = a.t and b.t = o.t) select doc, count(*) n, count(distinct a) outer_starts, min(x) least_inner, max(c) largest_end from vc group by doc")
 def mo_violating_chains(spark, sf):
-    return MO.violating_chains(noisy(spark, sf))
+    """Contradictory chains of each document among noisy labels."""
+    return MO.violating_chains(noisy(spark, sf)).groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a").alias("outer_starts"), F.min("x").alias("least_inner"), F.max("c").alias("largest_end"))
 
 
 # ------------------------------------------------------------- Allen algebra
@@ -141,25 +136,26 @@ _BAD = f"""{_GRID}, co as (select distinct {_basic_sql('1', '2')} r1, {_basic_sq
   ok as (select distinct x.o o_xy, y.o o_yz, z.o o_xz from as_ x join co on co.r1 = x.r join as_ y on y.r = co.r2 join as_ z on z.r = co.r3)"""
 
 
-@query(f"with {P}, {_NOISY}, {_tri('nz')}, {_BAD} select o_xy, o_yz, o_xz, count(*) n from tr where not exists (select 1 from ok where ok.o_xy = tr.o_xy and ok.o_yz = tr.o_yz and ok.o_xz = tr.o_xz) group by all")
+@query(f"with {P}, {_NOISY}, {_tri('nz')}, {_BAD} select kinds, o_xy, o_yz, o_xz, count(*) n from tr where not exists (select 1 from ok where ok.o_xy = tr.o_xy and ok.o_yz = tr.o_yz and ok.o_xz = tr.o_xz) group by all")
 def al_conflicts(spark, sf):
     """Contradictory triangles among noisy labels."""
     return MO.configurations(AL.conflicts(MO.triangles(noisy(spark, sf))))
 
 
-@query("select 0::bigint conflicts")
+@query(f"with {TRI}, {_BAD} select count(*) conflicts from tr where not exists (select 1 from ok where ok.o_xy = tr.o_xy and ok.o_yz = tr.o_yz and ok.o_xz = tr.o_xz)")
 def al_gold_is_consistent(spark, sf):
     """True labels never contradict each other."""
-    return AL.conflicts(MO.triangles(T.edges(spark, sf))).agg(F.count(F.lit(1)).alias("conflicts"))
+    return AL.conflicts(MO.triangles(T.mixed_edges(spark, sf))).agg(F.count(F.lit(1)).alias("conflicts"))
 
 
 @query(f"""with {P}, {_NOISY}, {_tri('nz')}, {_BAD}, sd as (select doc, lo, hi, max(bad) bad from (select doc, unnest([x, y, x]) lo, unnest([y, z, z]) hi, (not exists (select 1 from ok where ok.o_xy = tr.o_xy and ok.o_yz = tr.o_yz and ok.o_xz = tr.o_xz))::int bad from tr) group by all)
   select case when bad is null then 'no triangle' when bad = 1 then 'conflict' else 'admissible' end state, count(*) n, count(*) filter (nz.rel <> pr.rel) wrong from nz join pr using (doc, s, t) left join sd on sd.doc = nz.doc and sd.lo = least(nz.s, nz.t) and sd.hi = greatest(nz.s, nz.t) group by all""")
 def al_edge_states(spark, sf):
     """Edges by whether they lie in a contradictory triangle, and how many of them are wrong."""
-    tri = MO.triangles(noisy(spark, sf)).join(F.broadcast(AL.inconsistent_triples(spark).withColumn("bad", F.lit(1))), ["o_xy", "o_yz", "o_xz"], "left")
+    observed = noisy(spark, sf)
+    tri = MO.triangles(observed).join(F.broadcast(AL.inconsistent_triples(spark).withColumn("bad", F.lit(1))), ["o_xy", "o_yz", "o_xz"], "left")
     per = MO.sides(tri).groupBy("doc", "lo", "hi").agg(F.max(F.coalesce("bad", F.lit(0))).alias("bad"))
-    rows = noisy(spark, sf).join(T.edges(spark, sf).withColumnRenamed("rel", "gold"), ["doc", "s", "t"]).withColumns({"lo": F.least("s", "t"), "hi": F.greatest("s", "t")}).join(per, ["doc", "lo", "hi"], "left")
+    rows = observed.join(T.mixed_edges(spark, sf).select("doc", "s", "t", F.col("rel").alias("gold")), ["doc", "s", "t"]).withColumns({"lo": F.least("s", "t"), "hi": F.greatest("s", "t")}).join(per, ["doc", "lo", "hi"], "left")
     state = F.when(F.col("bad").isNull(), "no triangle").when(F.col("bad") == 1, "conflict").otherwise("admissible")
     return rows.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rel") != F.col("gold")).alias("wrong"))
 
@@ -189,31 +185,34 @@ _LABELS = "lb as (select unnest(['BEFORE', 'CONTAINS', 'SIMULTANEOUS', 'OVERLAP'
 
 
 def _prior(source: str) -> str:
-    return f"{_LABELS}, q as (select lb.rel, (coalesce(c, 0) + 1) / ((select count(*) from {source}) + 6.0)::double q from lb left join (select rel, count(*) c from {source} group by rel) using (rel))"
+    return f"{_LABELS}, q as (select k.kind, lb.rel, (coalesce(c, 0) + 1) / (n + 6.0)::double q from (select kind, count(*) n from {source} group by kind) k cross join lb left join (select kind, rel, count(*) c from {source} group by all) x on x.kind = k.kind and x.rel = lb.rel)"
 
 
-_ORIENTED = "ol as (select * from (values " + ", ".join(f"('{o}', '{o[1:] if o[0] == 'i' else o}')" for o in AL.oriented_labels()) + ") v(o, rel))"
-_PMI = f"""{_ORIENTED}, cf as (select o_xy, o_yz, o_xz, count(*) n from tr group by all), lq as (select o, ln(q) l from ol join q using (rel)),
-  pm as (select a.o o_xy, b.o o_yz, c.o o_xz, coalesce(n, 0) n, ln((coalesce(n, 0) + 10 * exp(a.l + b.l + c.l)) / ((select count(*) from tr) + 10)) - (a.l + b.l + c.l) pmi from lq a cross join lq b cross join lq c left join cf on cf.o_xy = a.o and cf.o_yz = b.o and cf.o_xz = c.o)"""
+_ORIENTED = "ol as (select * from (values " + ", ".join(f"('{o}', '{o[1:] if o[0] == 'i' else o}', {str(o[0] == 'i').lower()})" for o in AL.oriented_labels()) + ") v(o, rel, back))"
+_LQ = "(select l from lq where lq.k = {k} and lq.o = {o})"
+_PMI = f"""{_ORIENTED}, lt as (select unnest(['E', 'T']) x), lk as (select a.x || b.x k from lt a cross join lt b), cf as (select kinds, o_xy, o_yz, o_xz, count(*) n from tr group by all), ct as (select kinds, sum(n) total from cf group by kinds),
+  lq as (select k, o, ln(coalesce(q.q, e.q, 1e-6)) l from lk cross join ol left join q on q.kind = (case when back then reverse(k) else k end) and q.rel = ol.rel left join q e on e.kind = 'EE' and e.rel = ol.rel),
+  pm as (select a.k || right(b.k, 1) kinds, a.o o_xy, b.o o_yz, c.o o_xz, coalesce(n, 0) n, ln((coalesce(n, 0) + 10 * exp(a.l + b.l + c.l)) / (coalesce(total, 0) + 10)) - (a.l + b.l + c.l) pmi
+    from lq a join lq b on left(b.k, 1) = right(a.k, 1) join lq c on c.k = left(a.k, 1) || right(b.k, 1) left join cf on cf.kinds = a.k || right(b.k, 1) and cf.o_xy = a.o and cf.o_yz = b.o and cf.o_xz = c.o left join ct on ct.kinds = a.k || right(b.k, 1))"""
 
 
-@query(f"with {P}, {_prior('pr')} select rel, round(q, 9) q from q")
+@query(f"with {P}, {_prior('pr')} select kind, rel, round(q, 9) q from q")
 def en_prior(spark, sf):
-    return EN.label_prior(T.edges(spark, sf)).withColumn("q", F.round("q", 9))
+    return EN.label_prior(T.mixed_edges(spark, sf)).withColumn("q", F.round("q", 9))
 
 
-@query(f"with {TRI}, {_prior('pr')}, {_PMI} select o_xy, o_yz, o_xz, n, round(pmi, 6) + 0 pmi from pm")
+@query(f"with {TRI}, {_prior('pr')}, {_PMI} select kinds, o_xy, o_yz, o_xz, n, round(pmi, 6) + 0 pmi from pm")
 def en_pmi(spark, sf):
-    e = T.edges(spark, sf)
+    e = cut(T.mixed_edges(spark, sf))
     return EN.triangle_information(MO.triangles(e), EN.label_prior(e)).withColumn("pmi", F.round("pmi", 6) + F.lit(0.0))
 
 
-_INJECTED = "ch as (select p.rel obs, l.rel, case when p.rel = l.rel then ln(0.9) else ln(greatest(1e-9, 0.1 * p.q / (1 - l.q))) end log_p from q p cross join q l)"
+_INJECTED = "ch as (select p.kind, p.rel obs, l.rel, case when p.rel = l.rel then ln(0.9) else ln(greatest(1e-9, 0.1 * p.q / (1 - l.q))) end log_p from q p join q l on l.kind = p.kind)"
 
 
-@query(f"with {P}, {_prior('pr')}, {_INJECTED} select obs, rel, round(log_p, 6) log_p from ch")
+@query(f"with {P}, {_prior('pr')}, {_INJECTED} select kind, obs, rel, round(log_p, 6) log_p from ch")
 def en_channel_injected(spark, sf):
-    return EN.channel_injected(EN.label_prior(T.edges(spark, sf)), 0.1).withColumn("log_p", F.round("log_p", 6))
+    return EN.channel_injected(EN.label_prior(T.mixed_edges(spark, sf)), 0.1).withColumn("log_p", F.round("log_p", 6))
 
 
 _U = lambda salt: f"(('0x' || left(md5('{salt}|' || doc || '|' || s || '|' || t), 12))::bigint / 281474976710656.0)"
@@ -223,78 +222,87 @@ def _drawn() -> str:
     out = "case "
     for gold in V.RELATIONS:
         others = [r for r in V.RELATIONS if r != gold]
-        total = "(" + " + ".join(f"qq['{r}']" for r in others) + ")"
+        total = "(" + " + ".join(f"qq[kind || '{r}']" for r in others) + ")"
         upto = "0"
         for r in others[:-1]:
-            upto += f" + qq['{r}'] / {total}"
-            out += f"when pr.rel = '{gold}' and {_U('37b')} < {upto} then '{r}' "
-        out += f"when pr.rel = '{gold}' then '{others[-1]}' "
+            upto += f" + qq[kind || '{r}'] / {total}"
+            out += f"when rel = '{gold}' and pick < {upto} then '{r}' "
+        out += f"when rel = '{gold}' then '{others[-1]}' "
     return out + "end"
 
 
-_INJECT = f"qm as (select map_from_entries(list((rel, q))) qq from q), ob as (select doc, s, t, pr.rel gold, case when {_U('37')} < 0.1 then {_drawn()} else pr.rel end rel from pr, qm)"
+_INJECT = f"qm as (select map_from_entries(list((kind || rel, q))) qq from q), ob as (select doc, s, t, kind, rel gold, case when hit then {_drawn()} else rel end rel from (select *, {_U('37')} < 0.1 hit, {_U('37b')} pick from pr), qm)"
 
 
-@query(f"with {P}, {_prior('pr')}, {_INJECT} select gold, rel obs, count(*) n from ob group by all")
+@query(f"with {P}, {_prior('pr')}, {_INJECT} select kind, gold, rel obs, count(*) n from ob group by all")
 def nz_inject(spark, sf):
-    return injected(spark, sf).groupBy("gold", F.col("rel").alias("obs")).agg(F.count(F.lit(1)).alias("n"))
+    return injected(spark, sf).groupBy("kind", "gold", F.col("rel").alias("obs")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def injected(spark, sf) -> DataFrame:
-    """``(doc, s, t, gold, rel)``: a tenth of the labels replaced."""
-    e = T.edges(spark, sf)
-    return NZ.inject(e, EN.label_prior(e), 0.1).select("doc", "s", "t", F.col("rel").alias("gold"), F.col("obs").alias("rel"))
+    """``(doc, s, t, kind, gold, rel)``: a tenth of the labels replaced; drawn once, however often it is read."""
+    e = T.mixed_edges(spark, sf)
+    return cut(NZ.inject(e, EN.label_prior(e), 0.1).select("doc", "s", "t", "kind", F.col("rel").alias("gold"), F.col("obs").alias("rel")))
+
+
+def gold_of(rows: DataFrame) -> DataFrame:
+    return rows.select("doc", "s", "t", "kind", F.col("gold").alias("rel"))
 
 
-@query(f"with {P}, {_prior('pr')}, {_INJECT} select a.rel obs, b.rel, round(ln((coalesce(c, 0) + 0.5) / (coalesce(n, 0) + 3.0)), 6) log_p from lb a cross join lb b left join (select rel obs, gold, count(*) c from ob group by all) x on x.obs = a.rel and x.gold = b.rel left join (select gold, count(*) n from ob group by gold) y on y.gold = b.rel")
+@query(f"with {P}, {_prior('pr')}, {_INJECT} select k.kind, a.rel obs, b.rel, round(ln((coalesce(c, 0) + 0.5) / (coalesce(n, 0) + 3.0)), 6) log_p from (select distinct kind from ob) k cross join lb a cross join lb b left join (select kind, rel obs, gold, count(*) c from ob group by all) x on x.kind = k.kind and x.obs = a.rel and x.gold = b.rel left join (select kind, gold, count(*) n from ob group by all) y on y.kind = k.kind and y.gold = b.rel")
 def en_channel_confusion(spark, sf):
-    return EN.channel_confusion(injected(spark, sf).select(F.col("rel").alias("obs"), F.col("gold").alias("rel"))).withColumn("log_p", F.round("log_p", 6))
+    return EN.channel_confusion(injected(spark, sf).select("kind", F.col("rel").alias("obs"), F.col("gold").alias("rel"))).withColumn("log_p", F.round("log_p", 6))
 
 
-_ENERGY = f"""{P}, {_prior('pr')}, {_tri('pr')}, {_PMI}, {_INJECTED}, {_INJECT}, c2 as (select doc, least(s, t) lo, greatest(s, t) hi, s > t rev, case when s > t then {_BACK('rel')} else rel end o from ob),
-  t2 as (select a.doc, a.lo x, a.hi y, b.hi z, a.o o_xy, b.o o_yz, c.o o_xz, a.rev rev_xy, b.rev rev_yz, c.rev rev_xz from c2 a join c2 b on b.doc = a.doc and b.lo = a.hi join c2 c on c.doc = a.doc and c.lo = a.lo and c.hi = b.hi),
-  sd as (select doc, x lo, y hi, lb.rel as label, case when rev_xy then {_BACK('lb.rel')} else lb.rel end o_xy, o_yz, o_xz from t2 cross join lb
-    union all select doc, y, z, lb.rel, o_xy, case when rev_yz then {_BACK('lb.rel')} else lb.rel end, o_xz from t2 cross join lb union all select doc, x, z, lb.rel, o_xy, o_yz, case when rev_xz then {_BACK('lb.rel')} else lb.rel end from t2 cross join lb),
-  ms as (select doc, lo, hi, label, sum(-pmi) sm, count(*) n from sd join pm using (o_xy, o_yz, o_xz) group by all),
-  le as (select ob.doc, s, t, gold, ob.rel obs, q.rel as label, q, -ln(q) - log_p + 0.5 * coalesce(sm / n, 0) energy, coalesce(n, 0) triangles from ob cross join q join ch on ch.obs = ob.rel and ch.rel = q.rel left join ms on ms.doc = ob.doc and ms.lo = least(s, t) and ms.hi = greatest(s, t) and ms.label = q.rel)"""
+_ENERGY = f"""{P}, {_prior('pr')}, {_tri('pr')}, {_PMI}, {_INJECTED}, {_INJECT}, c2 as (select doc, least(s, t) lo, greatest(s, t) hi, s > t rev, case when s > t then {_BACK('rel')} else rel end o, case when s > t then reverse(kind) else kind end k from ob),
+  t2 as (select a.doc, a.lo x, a.hi y, b.hi z, a.k || substr(b.k, 2, 1) kinds, a.o o_xy, b.o o_yz, c.o o_xz, a.rev rev_xy, b.rev rev_yz, c.rev rev_xz from c2 a join c2 b on b.doc = a.doc and b.lo = a.hi join c2 c on c.doc = a.doc and c.lo = a.lo and c.hi = b.hi),
+  sd as (select doc, x lo, y hi, 'xy' side, kinds, rev_xy rev, o_yz p, o_xz q from t2 union all select doc, y, z, 'yz', kinds, rev_yz, o_xy, o_xz from t2 union all select doc, x, z, 'xz', kinds, rev_xz, o_xy, o_yz from t2),
+  sl as (select kinds, lb.rel as label, rev, case when rev then {_BACK('lb.rel')} else lb.rel end o from (select distinct kinds from pm) cross join lb cross join (select unnest([false, true]) rev)),
+  si as (select 'xy' side, kinds, rev, label, o_yz p, o_xz q, -pmi e from pm join sl using (kinds) where sl.o = o_xy union all select 'yz', kinds, rev, label, o_xy, o_xz, -pmi from pm join sl using (kinds) where sl.o = o_yz union all select 'xz', kinds, rev, label, o_xy, o_yz, -pmi from pm join sl using (kinds) where sl.o = o_xz),
+  sg as (select doc, lo, hi, side, kinds, rev, p, q, count(*) m from sd group by all),
+  ms as (select doc, lo, hi, label, sum(m * e) sm, cast(sum(m) as bigint) n from sg join si using (side, kinds, rev, p, q) group by all),
+  le as (select ob.doc, s, t, ob.kind, gold, ob.rel obs, q.rel as label, q, -ln(q) - log_p + 0.5 * coalesce(sm / n, 0) energy, coalesce(n, 0) triangles from ob join q on q.kind = ob.kind join ch on ch.kind = ob.kind and ch.obs = ob.rel and ch.rel = q.rel left join ms on ms.doc = ob.doc and ms.lo = least(s, t) and ms.hi = greatest(s, t) and ms.label = q.rel)"""
 
 
-def _energies(spark, sf):
-    e = T.edges(spark, sf)
+def _tables(rows: DataFrame):
+    """Prior, channel and information of a graph's true labels; all three small."""
+    e = gold_of(rows)
     prior = cut(EN.label_prior(e))
-    return EN.local_energy(injected(spark, sf), prior, EN.channel_injected(prior, 0.1), EN.triangle_information(MO.triangles(e), prior))
+    return prior, EN.channel_injected(prior, 0.1), cut(EN.triangle_information(MO.triangles(e), prior))
+
+
+def _energies(rows: DataFrame):
+    return EN.local_energy(rows.select("doc", "s", "t", "kind", "rel"), *_tables(rows))
 
 
-@query(f"with {_ENERGY} select obs, label, count(*) n, round(sum(energy) / count(*), 4) + 0 mean_energy, cast(sum(triangles) as bigint) triangles from le group by all")
+@query(f"with {_ENERGY} select kind, obs, label, count(*) n, round(sum(energy) / count(*), 4) + 0 mean_energy, cast(sum(triangles) as bigint) triangles from le group by all")
 def en_local_energy(spark, sf):
-    return _energies(spark, sf).groupBy("obs", "label").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("energy") / F.count(F.lit(1)), 4) + F.lit(0.0)).alias("mean_energy"), F.sum("triangles").alias("triangles"))
+    return _energies(injected(spark, sf)).groupBy("kind", "obs", "label").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("energy") / F.count(F.lit(1)), 4) + F.lit(0.0)).alias("mean_energy"), F.sum("triangles").alias("triangles"))
 
 
-_BEST = """nw as (select doc, s, t, gold, obs, min(case when label = obs then round(energy, 9) end) cur, arg_min(label, (round(energy, 9), label)) filter (label <> obs and q >= 1e-4) other, min(round(energy, 9)) filter (label <> obs and q >= 1e-4) oe from le group by all),
-  be as (select doc, s, t, gold, obs, case when oe < cur - 1e-9 then other else obs end best from nw)"""
+_BEST = """nw as (select doc, s, t, kind, gold, obs, min(case when label = obs then round(energy, 9) end) cur, arg_min(label, (round(energy, 9), label)) filter (label <> obs and q >= 1e-4) other, min(round(energy, 9)) filter (label <> obs and q >= 1e-4) oe from le group by all),
+  be as (select doc, s, t, kind, gold, obs, case when oe < cur - 1e-9 then other else obs end best from nw)"""
 
 
-@query(f"with {_ENERGY}, {_BEST} select gold, obs, best, count(*) n from be group by all")
+@query(f"with {_ENERGY}, {_BEST} select kind, gold, obs, best, count(*) n from be group by all")
 def en_icm_sync_sweep(spark, sf):
     """One synchronous sweep: every edge takes its best label with the others as observed."""
-    best = EN.best_labels(_energies(spark, sf))
-    return injected(spark, sf).select("doc", "s", "t", "gold").join(best, ["doc", "s", "t"]).groupBy("gold", "obs", "best").agg(F.count(F.lit(1)).alias("n"))
+    rows = injected(spark, sf)
+    best = EN.best_labels(_energies(rows))
+    return rows.select("doc", "s", "t", "gold").join(best, ["doc", "s", "t"]).groupBy("kind", "gold", "obs", "best").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {P}, {_prior('pr')}, {_INJECTED}, {_INJECT}, le as (select doc, s, t, gold, ob.rel obs, q.rel as label, q, -ln(q) - log_p energy from ob cross join q join ch on ch.obs = ob.rel and ch.rel = q.rel), {_BEST} select gold, obs, best, count(*) n from be group by all")
+@query(f"with {P}, {_prior('pr')}, {_INJECTED}, {_INJECT}, le as (select doc, s, t, ob.kind, gold, ob.rel obs, q.rel as label, q, -ln(q) - log_p energy from ob join q on q.kind = ob.kind join ch on ch.kind = ob.kind and ch.obs = ob.rel and ch.rel = q.rel), {_BEST} select kind, gold, obs, best, count(*) n from be group by all")
 def en_prior_channel_map(spark, sf):
-    prior = cut(EN.label_prior(T.edges(spark, sf)))
     rows = injected(spark, sf)
+    prior = cut(EN.label_prior(gold_of(rows)))
     best = EN.prior_channel_map(rows, prior, EN.channel_injected(prior, 0.1))
-    return rows.select("doc", "s", "t", "gold").join(best, ["doc", "s", "t"]).groupBy("gold", "obs", "best").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("doc", "s", "t", "gold").join(best, ["doc", "s", "t"]).groupBy("kind", "gold", "obs", "best").agg(F.count(F.lit(1)).alias("n"))
 
 
 def repaired(spark, sf, **options) -> DataFrame:
-    e = T.edges(spark, sf)
-    prior = cut(EN.label_prior(e))
-    information = cut(EN.triangle_information(MO.triangles(e), prior))
     rows = injected(spark, sf)
-    fixed = EN.icm_repair(rows, prior, EN.channel_injected(prior, 0.1), information, **options)
+    fixed = EN.icm_repair(rows, *_tables(rows), **options)
     return rows.select("doc", "s", "t", "gold").join(fixed, ["doc", "s", "t"])
 
 
@@ -310,21 +318,24 @@ def en_icm_convergence(spark, sf):
     return ME.repair_score(repaired(spark, sf, sweeps=8, trace=True).select("sweep", "gold", "obs", F.col("best").alias("fin")), "sweep")
 
 
+#: Weights of triangle information, damping of the prior, and whether a label's triangles are averaged or summed.
+JOINT_GRID = [(w, d, m) for m, weights in ((True, (0.2, 0.5, 1.0, 2.0)), (False, (0.05, 0.1, 0.2))) for w in weights for d in (0.0, 0.5)]
+
+
 @query()
 def tn_joint_grid(spark, sf):
-    """Fixed and broken edges at points of the weight and damping grid."""
-    e = T.edges(spark, sf)
-    prior = cut(EN.label_prior(e))
-    information = cut(EN.triangle_information(MO.triangles(e), prior))
-    grid = [(w, d, m) for w, d, m in ((0.2, 0.0, True), (0.5, 0.0, True), (1.0, 0.5, True), (0.1, 0.0, False))]
-    return EN.grid_search(injected(spark, sf), prior, EN.channel_injected(prior, 0.1), information, grid)
+    """Fixed and broken edges at each point of the weight and damping grid, and the point that the net chooses."""
+    rows = injected(spark, sf)
+    found = cut(EN.grid_search(rows, *_tables(rows), JOINT_GRID))
+    best = EN.best_point(found).select("weight", "damping", "mean", F.lit(True).alias("chosen"))
+    return found.join(best, ["weight", "damping", "mean"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
 
 
 @query(f"""with {_ENERGY}, {_BEST}, sc as (select count(*) n, count(*) filter (obs <> gold) wrong_before, count(*) filter (best <> gold) wrong_after, count(*) filter (best <> obs) flagged, count(*) filter (best <> obs and obs <> gold) hit, count(*) filter (obs <> gold and best = gold) fixed, count(*) filter (obs = gold and best <> gold) broken from be)
   select *, fixed - broken net, round(hit / flagged::double, 6) det_p, round(hit / wrong_before::double, 6) det_r, round(2 * (hit / flagged::double) * (hit / wrong_before::double) / (hit / flagged::double + hit / wrong_before::double), 6) det_f1 from sc""")
 def me_repair_score(spark, sf):
-    best = EN.best_labels(_energies(spark, sf))
-    rows = injected(spark, sf).select("doc", "s", "t", "gold").join(best, ["doc", "s", "t"])
+    rows = injected(spark, sf)
+    rows = rows.select("doc", "s", "t", "gold").join(EN.best_labels(_energies(rows)), ["doc", "s", "t"])
     out = ME.repair_score(rows.select("gold", "obs", F.col("best").alias("fin")))
     return out.withColumns({c: F.round(c, 6) for c in ("det_p", "det_r", "det_f1")})
 
@@ -339,7 +350,7 @@ def nz_paired_bootstrap(spark, sf):
     """Macro F1 of true labels less that of noisy ones, resampled by document."""
     rows = injected(spark, sf)
     clean = NZ.document_confusions(rows.select("doc", "gold", F.col("gold").alias("pred")))
-    return NZ.paired_bootstrap(clean, NZ.document_confusions(rows.withColumnRenamed("rel", "pred")), resamples=200)
+    return NZ.paired_bootstrap(clean, NZ.document_confusions(rows.withColumnRenamed("rel", "pred")))
 
 
 @query("select event_type metric, count(*) runs, round(avg(v), 6) mean, round(stddev_samp(v), 6) sd from (select event_type, user_id % 5 seed, avg(\"value\") v from events group by all) group by event_type")
@@ -352,13 +363,12 @@ def nz_seed_summary(spark, sf):
 
 
 def _audit_inputs(spark, sf):
-    rows = cut(injected(spark, sf))
+    rows = injected(spark, sf)
     return rows, cut(AU.motif_atoms(rows))
 
 
-_AUDIT = f"""{P}, {_prior('pr')}, {_INJECT}, cl as (select doc, s u, t v, rel o from ob union all select doc, t, s, {_BACK('rel')} from ob),
-  h as (select ob.doc, ob.s, ob.t, a.o o1, b.o o2, row_number() over (partition by ob.doc, ob.s, ob.t order by a.v) r from ob join cl a on a.doc = ob.doc and a.u = ob.s join cl b on b.doc = ob.doc and b.u = a.v and b.v = ob.t),
-  am as (select distinct doc, s, t, 'EQ|motif|' || o1 || '>' || o2 atom from h where r <= 4), x as (select ob.doc, ob.gold, ob.rel, atom from ob join am using (doc, s, t)),
+_AUDIT = f"""{P}, {_prior('pr')}, {_INJECT}, {_closure('ob')}, {_hop2('ob')},
+  am as (select distinct doc, s, t, 'GRAPH|' || family || '|' || o1 || '>' || o2 atom from h2), x as (select ob.doc, ob.gold, ob.rel, atom from ob join am using (doc, s, t)),
   n as (select rel, atom, count(*) n from x group by all), k as (select rel, atom, gold fix, count(*) k, count(distinct doc) docs from x where gold <> rel group by all having count(*) >= 10 and count(distinct doc) >= 5),
   p as (select rel, gold fix, count(*) / any_value(c)::double p from ob join (select rel, count(*) c from ob group by rel) using (rel) where gold <> rel group by rel, gold)"""
 
@@ -374,9 +384,8 @@ def au_rules(spark, sf):
 def au_cross_fit(spark, sf):
     """Scores of the observed labels, the audited ones and the audited and repaired ones."""
     rows, atoms = _audit_inputs(spark, sf)
-    e = T.edges(spark, sf)
-    prior = cut(EN.label_prior(e))
-    done = cut(AU.cross_fit(rows, atoms, cut(EN.triangle_information(MO.triangles(e), prior)), prior))
+    prior, _, information = _tables(rows)
+    done = cut(AU.cross_fit(rows, atoms, information, prior))
     steps = [done.select(F.lit(name).alias("step"), "gold", F.col("rel").alias("obs"), F.col(c).alias("fin")) for name, c in (("observed", "rel"), ("audited", "audited"), ("repaired", "repaired"))]
     return ME.repair_score(steps[0].unionByName(steps[1]).unionByName(steps[2]), "step")
 
@@ -384,36 +393,65 @@ def au_cross_fit(spark, sf):
 # ------------------------------------------------- variants of the same parts
 
 
-@query(f"with {P}, {_prior('pr')}, {_INJECTED} select kind, obs, rel, round(case when kind = 'EE' then log_p when obs = rel then 0 else ln(1e-9) end, 6) + 0 log_p from ch cross join (select unnest(['EE', 'TT']) kind)")
+@query(f"with {P}, {_prior('pr')}, {_INJECTED} select kind, obs, rel, round(case when kind = 'EE' then log_p when obs = rel then 0 else ln(1e-9) end, 6) + 0 log_p from ch")
 def en_channel_exact(spark, sf):
     """A channel that doubts event pairs only."""
-    channel = EN.channel_injected(EN.label_prior(T.edges(spark, sf)), 0.1)
-    kinds = spark.createDataFrame([("EE",), ("TT",)], "kind string")
-    rows = EN.channel_exact(channel.crossJoin(kinds), F.col("kind") == "EE")
-    return rows.select("kind", "obs", "rel", (F.round("log_p", 6) + F.lit(0.0)).alias("log_p"))
+    channel = EN.channel_injected(EN.label_prior(T.mixed_edges(spark, sf)), 0.1)
+    return EN.channel_exact(channel, F.col("kind") == "EE").select("kind", "obs", "rel", (F.round("log_p", 6) + F.lit(0.0)).alias("log_p"))
 
 
-@query(f"with {P}, {_prior('pr')}, {_INJECT} select rel obs, count(*) n, count(*) filter (rel <> gold) wrong from (select ob.doc, ob.s, ob.t, ob.gold, case when pr.type_a = '1-URGENT' then ob.rel else ob.gold end rel from ob join pr using (doc, s, t)) group by rel")
+@query(f"with {P}, {_prior('pr')}, {_INJECT} select kind, rel obs, count(*) n, count(*) filter (rel <> gold) wrong from (select kind, gold, case when kind = 'EE' then rel else gold end rel from ob) group by all")
 def nz_inject_where(spark, sf):
-    """Noise on one kind of pairs only."""
-    pairs = T.event_pairs(spark, sf).select("doc", "s", "t", "rel", "type_a")
-    noisy = NZ.inject(pairs, EN.label_prior(pairs), 0.1, where=F.col("type_a") == "1-URGENT")
-    return noisy.groupBy("obs").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("obs") != F.col("rel")).alias("wrong"))
+    """Noise on event pairs only."""
+    rows = T.mixed_edges(spark, sf)
+    noisy = NZ.inject(rows, EN.label_prior(rows), 0.1, where=F.col("kind") == "EE")
+    return noisy.groupBy("kind", "obs").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("obs") != F.col("rel")).alias("wrong"))
+
+
+_RAW = _PMI.replace(" - (a.l + b.l + c.l) pmi", " pmi")
+
+
+@query(f"with {TRI}, {_prior('pr')}, {_RAW} select kinds, o_xy, o_yz, o_xz, round(pmi, 6) + 0 log_p from pm")
+def en_raw_frequency(spark, sf):
+    """Triangle information with the labels' own shares left in."""
+    e = cut(T.mixed_edges(spark, sf))
+    return EN.triangle_information(MO.triangles(e), EN.label_prior(e), raw=True).select(*MO.CONFIGURATION, (F.round("pmi", 6) + F.lit(0.0)).alias("log_p"))
+
+
+@query()
+def en_ablation(spark, sf):
+    """Repair by the whole energy and without its parts: raw frequencies, hardly smoothed ones, no channel, no triangles."""
+    rows = injected(spark, sf)
+    prior, channel, information = _tables(rows)
+    tri = MO.triangles(gold_of(rows))
+    raw = cut(EN.triangle_information(tri, prior, raw=True))
+    sharp = cut(EN.triangle_information(tri, prior, beta=0.1))
+    variants = {"whole": (channel, information, 0.5), "raw log p": (channel, raw, 0.5), "beta 0.1": (channel, sharp, 0.5), "no channel": (EN.channel_none(prior), information, 0.5), "no triangles": (channel, information, 0.0)}
+    out = None
+    for name, (c, i, weight) in variants.items():
+        fixed = EN.icm_repair(rows, prior, c, i, weight=weight)
+        part = rows.select("doc", "s", "t", "gold").join(fixed, ["doc", "s", "t"]).select(F.lit(name).alias("variant"), "gold", "obs", F.col("best").alias("fin"))
+        out = part if out is None else out.unionByName(part)
+    return ME.repair_score(out, "variant")
+
+
+@query()
+def me_repair_by_kind(spark, sf):
+    """The score of repair on each kind of edge."""
+    return ME.repair_score(repaired(spark, sf).select("kind", "gold", "obs", F.col("best").alias("fin")), "kind")
 
 
 @query(f"with {_ENERGY}, {_BEST} select gold, count(*) n, count(*) filter (best = gold) fixed, count(*) filter (best = obs) kept from be where obs <> gold group by gold")
 def me_wrong_only(spark, sf):
     """What a sweep does to the edges that were wrong."""
-    best = EN.best_labels(_energies(spark, sf))
-    rows = injected(spark, sf).select("doc", "s", "t", "gold").join(best, ["doc", "s", "t"]).where("obs <> gold")
+    rows = injected(spark, sf)
+    rows = rows.select("doc", "s", "t", "gold").join(EN.best_labels(_energies(rows)), ["doc", "s", "t"]).where("obs <> gold")
     return rows.groupBy("gold").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("best") == F.col("gold")).alias("fixed"), F.count_if(F.col("best") == F.col("obs")).alias("kept"))
 
 
 @query()
 def me_false_alarms(spark, sf):
     """What repair changes on a graph without noise."""
-    e = T.edges(spark, sf)
-    prior = cut(EN.label_prior(e))
-    information = cut(EN.triangle_information(MO.triangles(e), prior))
-    fixed = EN.icm_repair(e, prior, EN.channel_injected(prior, 0.1), information)
+    e = cut(T.mixed_edges(spark, sf))
+    fixed = EN.icm_repair(e, *_tables(e.withColumnRenamed("rel", "gold")))
     return ME.repair_score(fixed.select(F.col("obs").alias("gold"), "obs", F.col("best").alias("fin")))

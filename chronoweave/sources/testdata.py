@@ -85,6 +85,21 @@ def timexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("sent", (F.year("s") + F.month("s") * F.length("tx")).cast("long") % 12).withColumn("tok", (F.year("s") * 100 + F.month("s") * F.length("tx")).cast("long"))
 
 
+def mixed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc, s, t, kind, rel)``: labelled pairs of events and of years (nodes below zero), all four kinds of edges.
+
+    Events are paired with each other, years with each other, and an event with the years that it touches.
+    """
+    years = timexes(spark, sf_dir).where("timex_type = 'DURATION'")
+    nodes = events(spark, sf_dir).select("doc", F.col("ev").alias("n"), F.lit("E").alias("k"), "s", "e").unionByName(years.select("doc", (-F.col("tx").cast("long")).alias("n"), F.lit("T").alias("k"), "s", "e"))
+    a, b = (nodes.select("doc", *[F.col(c).alias(f"{c}_{x}") for c in "nkse"]) for x in "ab")
+    c = F.col
+    first = (c("s_a") < c("s_b")) | ((c("s_a") == c("s_b")) & (c("n_a") < c("n_b")))
+    touch = (c("k_a") == c("k_b")) | ((c("s_a") <= c("e_b")) & (c("s_b") <= c("e_a")))
+    rows = a.join(b, "doc").where(first & touch)
+    return rows.select("doc", c("n_a").alias("s"), c("n_b").alias("t"), F.concat("k_a", "k_b").alias("kind"), label(c("s_a"), c("e_a"), c("s_b"), c("e_b")).alias("rel")).where("rel is not null")
+
+
 # DuckDB text of the same views, from which the oracle queries are put together.
 SQL_MENTIONS = """mn as (select cast(o_custkey as bigint) doc, cast(l_orderkey as bigint) ev, cast(l_partkey % 12 as bigint) sent, cast(l_partkey as bigint) tok, strftime(l_shipdate, '%A') word,
   l_returnflag || l_linestatus as role, cast(l_suppkey as bigint) supplier, l_linenumber % 4 = 0 filler,
@@ -103,3 +118,8 @@ SQL_TIMEX = """tm as (select *, cast((year(s) + month(s) * length(tx)) % 12 as b
   cast(date_trunc('month', o_orderdate) as date) s, cast(last_day(o_orderdate) as date) e from orders
   union all select distinct cast(o_custkey as bigint), strftime(o_orderdate, '%Y'), 'DURATION', strftime(o_orderdate, '%Y'),
   cast(date_trunc('year', o_orderdate) as date), cast(date_trunc('year', o_orderdate) + interval 1 year - interval 1 day as date) from orders))"""
+_SQL_LABEL = """case when a.e < b.s then 'BEFORE' when a.e = b.s then 'ENDS-ON' when a.s = b.s and a.e = b.e then 'SIMULTANEOUS' when a.s = b.s then 'BEGINS-ON'
+  when a.s < b.s and b.e < a.e then 'CONTAINS' when a.s < b.s and b.s < a.e and a.e < b.e then 'OVERLAP' end"""
+SQL_MIXED = f"""{SQL_EVENTS}, yr as (select distinct cast(o_custkey as bigint) doc, year(o_orderdate) y from orders),
+  nd as (select doc, ev n, 'E' k, s, e from ev union all select doc, cast(-y as bigint), 'T', make_date(y, 1, 1), make_date(y, 12, 31) from yr),
+  pr as (select * from (select a.doc, a.n s, b.n t, a.k || b.k kind, {_SQL_LABEL} rel from nd a join nd b on a.doc = b.doc and (a.s < b.s or (a.s = b.s and a.n < b.n)) and (a.k = b.k or (a.s <= b.e and b.s <= a.e))) where rel is not null)"""

@@ -178,57 +178,114 @@ def test_macro_counts_absent_labels(spark):
 
 
 def brute_icm(rows, q, c, pmi, weight):
-    """Recomputes the whole energy of the document's triangles for each choice."""
-    order = sorted(rows)
-    at = {(min(s, t), max(s, t)): j for j, (s, t, _) in enumerate(order)}
-    rev = [s > t for s, t, _ in order]
-    nodes = sorted({n for p in at for n in p})
-    tri = [(at[x, y], at[y, z], at[x, z]) for x, y, z in combinations(nodes, 3) if (x, y) in at and (y, z) in at and (x, z) in at]
+    """Recomputes the whole energy of the document's triangles for each choice; rows are ``(s, t, kind, observed)``."""
     import math
 
+    order = sorted(rows)
+    at = {(min(r[:2]), max(r[:2])): j for j, r in enumerate(order)}
+    rev = [r[0] > r[1] for r in order]
+    kind_of = {}
+    for s, t, kind, _ in order:
+        kind_of[s], kind_of[t] = kind
+    nodes = sorted(kind_of)
+    tri = [((x, y, z), (at[x, y], at[y, z], at[x, z])) for x, y, z in combinations(nodes, 3) if (x, y) in at and (y, z) in at and (x, z) in at]
+
     o = lambda l, r: l if not r or l in V.SYMMETRIC else f"i{l}"
-    label = [r[2] for r in order]
-    score = lambda lab, t: pmi[tuple(o(lab[j], rev[j]) for j in t)]
+    label = [r[3] for r in order]
+    score = lambda lab, t: pmi[("".join(kind_of[n] for n in t[0]), *(o(lab[j], rev[j]) for j in t[1]))]
 
     def energy(j, cand):
         lab = list(label)
         lab[j] = cand
-        mine = [t for t in tri if j in t]
-        return -math.log(q[cand]) - c[order[j][2], cand] + (weight * sum(-score(lab, t) for t in mine) / len(mine) if mine else 0.0)
+        mine = [t for t in tri if j in t[1]]
+        kind, seen = order[j][2:]
+        return round(-math.log(q[kind, cand]) - c[kind, seen, cand] + (weight * sum(-score(lab, t) for t in mine) / len(mine) if mine else 0.0), 9)
 
-    todo = sorted({j for t in tri if score(label, t) < 0 for j in t})
+    todo = sorted({j for t in tri if score(label, t) < 0 for j in t[1]})
     for _ in range(4):
         again = set()
         for j in todo:
-            now = energy(j, label[j])
-            best, value = label[j], now
-            for cand in V.RELATIONS:
-                if cand != label[j] and q[cand] >= 1e-4 and (e := energy(j, cand)) < value - 1e-9:
-                    best, value = cand, e
-            if best != label[j]:
+            choices = [(energy(j, cand), i, cand) for i, cand in enumerate(V.RELATIONS) if cand == label[j] or q[order[j][2], cand] >= 1e-4]
+            least, _, best = min(choices)
+            if least < energy(j, label[j]):
                 label[j] = best
-                again |= {i for t in tri if j in t for i in t if i != j}
+                again |= {i for t in tri if j in t[1] for i in t[1] if i != j}
         todo = sorted(again)
         if not todo:
             break
-    return {(s, t): x for (s, t, _), x in zip(order, label)}
+    return {r[:2]: x for r, x in zip(order, label)}
 
 
-def test_icm(spark, small_edges):
-    prior = EN.label_prior(small_edges)
-    information = EN.triangle_information(MO.triangles(small_edges), prior)
+@pytest.mark.parametrize("documents_side_by_side", [1, 100_000])
+def test_icm(spark, sf, monkeypatch, documents_side_by_side):
+    from chronoweave.sources import testdata as T
+
+    monkeypatch.setattr(EN, "BATCH_EDGES", documents_side_by_side)
+    edges = T.mixed_edges(spark, sf).where("doc < 30").cache()
+    prior = EN.label_prior(edges)
+    assert {r["kind"] for r in prior.collect()} == {"EE", "ET", "TE", "TT"}
+    information = EN.triangle_information(MO.triangles(edges), prior)
     channel = EN.channel_injected(prior, 0.1)
-    noisy = NZ.inject(small_edges.where("doc < 8"), prior, 0.2).select("doc", "s", "t", F.col("obs").alias("rel"))
+    noisy = NZ.inject(edges.where("doc < 12"), prior, 0.2).select("doc", "s", "t", "kind", F.col("obs").alias("rel"))
     got = {}
     for r in EN.icm_repair(noisy, prior, channel, information).collect():
         got.setdefault(r["doc"], {})[r["s"], r["t"]] = r["best"]
-    q = {r["rel"]: r["q"] for r in prior.collect()}
-    c = {(r["obs"], r["rel"]): r["log_p"] for r in channel.collect()}
-    pmi = {(r["o_xy"], r["o_yz"], r["o_xz"]): r["pmi"] for r in information.collect()}
+    q = {(r["kind"], r["rel"]): r["q"] for r in prior.collect()}
+    c = {(r["kind"], r["obs"], r["rel"]): r["log_p"] for r in channel.collect()}
+    pmi = {(r["kinds"], r["o_xy"], r["o_yz"], r["o_xz"]): r["pmi"] for r in information.collect()}
     docs = {}
     for r in noisy.collect():
-        docs.setdefault(r["doc"], []).append((r["s"], r["t"], r["rel"]))
+        docs.setdefault(r["doc"], []).append((r["s"], r["t"], r["kind"], r["rel"]))
     assert got == {d: brute_icm(rows, q, c, pmi, 0.5) for d, rows in docs.items()}
+    assert any(x != rows[k] for d, rows in ((d, {r[:2]: r[3] for r in v}) for d, v in docs.items()) for k, x in got[d].items())
+
+
+def test_icm_odd_rows(spark, small_edges):
+    """Rows that cannot be repaired are left out, a loop and a repeated pair are no triangles, a kind without tables counts as EE."""
+    prior = EN.label_prior(small_edges)
+    tables = prior, EN.channel_injected(prior, 0.1), EN.triangle_information(MO.triangles(small_edges), prior)
+    rows = [(1, 1, 2, "BEFORE"), (1, 2, 3, "BEFORE"), (1, 1, 3, "BEFORE"), (1, 3, 1, "CONTAINS"), (1, 2, 2, "BEFORE"), (None, 1, 2, "BEFORE"), (2, 1, 2, None), (2, 1, 2, "NEAR"), (3, 5, 6, "OVERLAP")]
+    df = spark.createDataFrame(rows, EDGES)
+    assert EN.icm_repair(df, *tables).count() == 6
+    assert EN.icm_repair(df.withColumn("kind", F.lit("XY")).limit(0), *tables).count() == 0
+    assert EN.icm_repair(df.withColumn("kind", F.lit("TT")), *tables).count() == 6
+
+
+def test_grid_search_counts_as_repair_does(spark, sf):
+    from chronoweave.plans import repair_plans as R
+
+    rows = R.injected(spark, sf)
+    tables = R._tables(rows)
+    found = {(r["weight"], r["damping"], r["mean"]): (r["fixed"], r["broken"]) for r in EN.grid_search(rows, *tables, [(0.5, 0.0, True), (0.1, 0.5, False)]).collect()}
+    for (weight, damping, mean), want in found.items():
+        fixed = EN.icm_repair(rows, *tables, weight=weight, damping=damping, mean=mean).join(rows.select("doc", "s", "t", "gold"), ["doc", "s", "t"])
+        assert ME.repair_score(fixed.select("gold", "obs", F.col("best").alias("fin"))).select("fixed", "broken").first() == want
+
+
+def test_bootstrap(spark, sf):
+    """Equal sides differ by nothing; a side that is plainly better has an interval above zero, near the normal one."""
+    from chronoweave.plans import repair_plans as R
+
+    rows = R.injected(spark, sf)
+    clean = NZ.document_confusions(rows.select("doc", "gold", F.col("gold").alias("pred")))
+    noisy = NZ.document_confusions(rows.withColumnRenamed("rel", "pred"))
+    assert tuple(NZ.paired_bootstrap(noisy, noisy, resamples=500).first()) == (0.0, 0.0, 0.0, 1.0)
+    row = NZ.paired_bootstrap(clean, noisy, resamples=2_000).first()
+    assert 0 < row["lo"] < row["diff"] < row["hi"] < 1 and row["p"] < 0.01
+    import numpy as np
+
+    drawn = NZ.poisson_one(np.arange(1, 200_001, dtype=np.uint64) * np.uint64(7919), np.uint64(3))
+    assert abs(drawn.mean() - 1) < 0.01 and abs(drawn.var() - 1) < 0.02
+
+
+def test_false_alarms_and_cross_fit(spark, sf):
+    from chronoweave.plans.registry import QUERIES
+
+    quiet = QUERIES["me_false_alarms"](spark, sf).first()
+    assert quiet["wrong_before"] == 0 and quiet["fixed"] == 0 and quiet["flagged"] == quiet["broken"] < 0.02 * quiet["n"]
+    steps = {r["step"]: r for r in QUERIES["au_cross_fit"](spark, sf).collect()}
+    assert steps["observed"]["wrong_after"] == steps["observed"]["wrong_before"]
+    assert steps["repaired"]["wrong_after"] < steps["observed"]["wrong_after"]
 
 
 def test_repair_helps(spark, sf):
