@@ -2,10 +2,12 @@
 
 A repeat of ``length`` bytes is found by the anchor of its window: the leftmost ``GRAM`` bytes of smallest hash inside it, which
 equal windows share at the same offset.  Consecutive windows with one anchor are an occurrence.  Occurrences meet by the
-anchor's hash; of those whose bytes are all equal only the first can hold new windows, the others are repeats as they are.
-What remains, first occurrences that share an anchor but differ around it, is put into suffix arrays (two-stage sorting, see
-``suffixes``): neighbours with a common prefix of ``length`` bytes are equal windows, and all but the first are repeats.
-Bytes move only for those, and once for each document to cut it.
+anchor's hash, and hashes only propose: an occurrence whose hash equals that of an earlier one becomes a claim on the earlier
+one's place, adjoining claims with the same offset to it become one, and first occurrences that share an anchor but differ
+around it are proposed with one another.  Suffix arrays (two-stage sorting, see ``suffixes``) decide: the bytes of a claim and of
+its place, or of all first occurrences of one surrounding, are sorted together, neighbours with a common prefix of ``length``
+bytes are equal windows, and all but the first are repeats.  Of pieces with the same bytes two are sorted; further ones are
+compared with the first as bytes and share what was found for it.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ GRAM = 24
 PART = 1 << 20
 #: Occurrences that a task gathers before it passes on the first of each kind.
 GATHERED = 1_000_000
-#: Bytes of the groups that share a suffix array.
-ARRAY_BYTES = 2 << 20
+#: Bytes of the groups that share a suffix array, and of the pieces that a task passes on at a time.
+ARRAY_BYTES = 1 << 19
+#: Windows of a claim that are sorted together; a longer claim is several.
+SEGMENT = 1 << 16
 NO_ID = -(2**63)
 SEPARATOR = 0xFF  # never a byte of UTF-8
 
@@ -130,18 +134,20 @@ def _parts(keys: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple
 
 
 _NONE = np.zeros(0, np.int64)
-#: h, c, key, first window, shape; a repeat known where it was read has c = 0 and its last window as shape.
-_FOUND = "h long, c long, key long, first int, shape int, known boolean"
+#: An occurrence: anchor's hash, hash of all bytes, key, and first window and shape as one number.  A claim that is known
+#: where it was read: key and first window of the place, key, and -1 less first and last window as one number.
+_FOUND = "h long, c long, key long, place long"
 
 
-def _merged(key: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges of windows, adjoining ones of a document joined."""
+def _joined_claims(key: np.ndarray, first: np.ndarray, last: np.ndarray, lead: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Claims of windows ``first`` to ``last`` on those from ``at`` of ``lead``; adjoining ones with the same offset joined."""
     if not len(key):
-        return key, first, last
-    by = np.lexsort((first, key))
-    key, first, last = key[by], first[by], last[by]
-    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (first[1:] > last[:-1] + 1)))
-    return key[new], first[new], np.maximum.reduceat(last, new)
+        return key, first, last, lead, at
+    by = np.lexsort((first, first - at, lead, key))
+    key, first, last, lead, at = (x[by] for x in (key, first, last, lead, at))
+    same = (key[1:] == key[:-1]) & (lead[1:] == lead[:-1]) & (first[1:] - at[1:] == first[:-1] - at[:-1]) & (first[1:] <= last[:-1] + 1)
+    new = np.flatnonzero(np.append(True, ~same))
+    return key[new], first[new], np.maximum.reduceat(last, new), lead[new], at[new]
 
 
 def _read(length: int):
@@ -161,17 +167,16 @@ def _read(length: int):
             lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(again))))
             again &= (x["key"] != x["key"][lead]) | (x["first"] != x["first"][lead])
             new = {k: v[~again] for k, v in x.items()}
-            key, first, last = _merged(x["key"][again], x["first"][again], x["last"][again])
+            mine, place = np.flatnonzero(again), lead[again]
+            key, first, last, to, at = _joined_claims(x["key"][mine], x["first"][mine], x["last"][mine], x["key"][place], x["first"][place])
             columns = [
-                np.concatenate([new["h"], _mix(key.view(np.uint64)).view(np.int64)]),
-                np.concatenate([new["c"], np.zeros(len(key), np.int64)]),
+                np.concatenate([new["h"], to]),
+                np.concatenate([new["c"], at]),
                 np.concatenate([new["key"], key]),
-                np.concatenate([new["first"], first]).astype(np.int32),
-                np.concatenate([(new["anchor"] - new["first"]) << 16 | (new["last"] - new["first"]), last]).astype(np.int32),
-                np.concatenate([np.zeros(len(new["h"]), bool), np.ones(len(key), bool)]),
+                np.concatenate([new["first"] << 32 | (new["anchor"] - new["first"]) << 16 | (new["last"] - new["first"]), -1 - (first << 32 | last)]),
             ]
             for start in range(0, len(columns[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[start : start + 50_000]) for c in columns], ["h", "c", "key", "first", "shape", "known"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[start : start + 50_000]) for c in columns], ["h", "c", "key", "place"])
 
         gathered = 0
         for batch in batches:
@@ -194,22 +199,27 @@ def _read(length: int):
     return run
 
 
+_MET = ["key", "first", "last", "lead", "at", "shape", "h"]
+
+
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted by h, c, key, first: repeats of equal bytes, and first occurrences whose anchor has different ones.
+    """Sorted by h, c, key, place: claims on earlier occurrences, and first occurrences whose anchor has different ones.
 
-    ``last`` is a repeat's last window; ``shape`` belongs to an occurrence to compare.  One row is carried between batches.
+    ``shape`` belongs to an occurrence to compare, and is -1 for a claim.  One row is carried between batches.
     """
     lead = None  # h, c, key, first of the first occurrence of the current kind
     pending = None  # the newest first occurrence, if its anchor has had no other yet
     shared = False  # whether the current anchor has had another kind
     for batch in batches:
-        known = batch["known"].to_numpy(bool)
-        done = batch[known]
+        place = batch["place"].to_numpy()
+        known = place < 0
+        done, span = batch[known], -1 - place[known]
         rows = batch[~known]
-        out = [pd.DataFrame({"key": done["key"], "first": done["first"], "last": done["shape"], "shape": -1, "h": 0})]
+        out = [pd.DataFrame({"key": done["key"], "first": span >> 32, "last": span & 0xFFFFFFFF, "lead": done["h"], "at": done["c"], "shape": -1, "h": 0})]
         n = len(rows)
         if n:
-            h, c, key, first, shape = (rows[x].to_numpy(np.int64) for x in ("h", "c", "key", "first", "shape"))
+            h, c, key, place = (rows[x].to_numpy(np.int64) for x in ("h", "c", "key", "place"))
+            first, shape = place >> 32, place & 0xFFFFFFFF
             same_h = np.append(lead is not None and lead[0] == h[0], h[1:] == h[:-1])
             same = same_h & np.append(lead is not None and lead[1] == c[0], c[1:] == c[:-1])
             at = np.where(same, -1, np.arange(n))
@@ -218,52 +228,81 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lead_first = np.where(at < 0, lead[3] if lead else 0, first[at])
             again = same & ((key != lead_key) | (first != lead_first))
             if again.any():
-                out.append(pd.DataFrame({"key": key[again], "first": first[again], "last": first[again] + (shape[again] & 0xFFFF), "shape": -1, "h": 0}))
+                out.append(pd.DataFrame({"key": key[again], "first": first[again], "last": first[again] + (shape[again] & 0xFFFF), "lead": lead_key[again], "at": lead_first[again], "shape": -1, "h": 0}))
             new = np.flatnonzero(~same)
             if len(new):
                 joins = np.append(same_h[new[0]], h[new[1:]] == h[new[:-1]])  # another kind of the anchor came before
                 if joins[0] and pending is not None and not shared:
-                    out.append(pd.DataFrame([pending], columns=["key", "first", "last", "shape", "h"]))
+                    out.append(pd.DataFrame([pending], columns=_MET))
                 followed = np.append(joins[1:], False)
                 compare = new[joins | followed]
-                out.append(pd.DataFrame({"key": key[compare], "first": first[compare], "last": -1, "shape": shape[compare], "h": h[compare]}))
+                out.append(pd.DataFrame({"key": key[compare], "first": first[compare], "last": -1, "lead": 0, "at": 0, "shape": shape[compare], "h": h[compare]}))
                 z = new[-1]
                 shared = bool(joins[-1])
-                pending = (key[z], first[z], -1, shape[z], h[z])
+                pending = (key[z], first[z], -1, 0, 0, shape[z], h[z])
                 lead = (h[z], c[z], key[z], first[z])
         yield pd.concat(out, ignore_index=True).astype("int64")
 
 
+def _claims(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by key: joined claims in segments.  A claim that goes on in the next batch stays in two parts."""
+    for batch in batches:
+        key, first, last, lead, at = _joined_claims(*(batch[c].to_numpy(np.int64) for c in ("key", "first", "last", "lead", "at")))
+        parts = (last - first) // SEGMENT + 1
+        which = np.repeat(np.arange(len(key)), parts)
+        shift = (np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)) * SEGMENT
+        start = first[which] + shift
+        yield pd.DataFrame({"key": key[which], "first": start, "last": np.minimum(last[which], start + SEGMENT - 1), "lead": lead[which], "at": at[which] + shift})
+
+
 def _contexts(length: int):
-    """Bytes of the occurrences to compare, in two kinds by where the window lies around its anchor.
+    """Bytes to sort: of claims and their places, and of the occurrences to compare.
 
-    A window has half of its other bytes before the anchor or half behind it, so equal windows agree on the anchor and that
-    half; occurrences are dealt by the hash of both, which few unequal ones share.
+    The latter come in two kinds by where the window lies around its anchor: a window has half of its other bytes before the
+    anchor or half behind it, so equal windows agree on the anchor and that half; occurrences are dealt by the hash of both,
+    which few unequal ones share.
     """
     gram = min(GRAM, length)
     half = (length - gram + 1) // 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple[int, int, int, bytes]] = []
+        size = 0
         for batch in batches:
-            out = []
             for key, text, places in zip(batch["key"], batch["text"], batch["places"]):
                 data = text.encode()
                 for place in places:
-                    first, last, anchor = place["first"], place["first"] + (place["shape"] & 0xFFFF), place["first"] + (place["shape"] >> 16)
+                    first, shape = place["first"], place["shape"]
+                    if shape < 0:
+                        last = place["last"]
+                        if last + length <= len(data):  # else of another row with this id
+                            out.append((place["group"], key, first, data[first : last + length]))
+                            size += len(out[-1][3])
+                        continue
+                    last, anchor = first + (shape & 0xFFFF), first + (shape >> 16)
                     if last + length > len(data):
-                        continue  # of another row with this id
+                        continue
                     left, right = (first, min(last, anchor - half)), (max(first, anchor - half + 1), last)
                     if left[0] <= left[1]:
                         out.append((_key(b"l", data[anchor - half : anchor + gram]), key, left[0], data[left[0] : left[1] + length]))
+                        size += len(out[-1][3])
                     if right[0] <= right[1]:
                         out.append((_key(b"r", data[anchor : anchor - half + 1 + length]), key, right[0], data[right[0] : right[1] + length]))
-            yield pd.DataFrame(out, columns=["group", "key", "first", "data"])
+                        size += len(out[-1][3])
+                    if size >= ARRAY_BYTES:
+                        yield pd.DataFrame(out, columns=["group", "key", "first", "data"])
+                        out, size = [], 0
+                if size >= ARRAY_BYTES:
+                    yield pd.DataFrame(out, columns=["group", "key", "first", "data"])
+                    out, size = [], 0
+        yield pd.DataFrame(out, columns=["group", "key", "first", "data"])
 
     return run
 
 
 def _key(kind: bytes, data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8, person=kind).digest(), "little", signed=True)
+    """A group's number: even, since the groups of claims have the odd ones."""
+    return ~1 & int.from_bytes(hashlib.blake2b(data, digest_size=8, person=kind).digest(), "little", signed=True)
 
 
 def repeats_in(keys: np.ndarray, firsts: np.ndarray, pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,51 +323,68 @@ def repeats_in(keys: np.ndarray, firsts: np.ndarray, pieces: list[bytes], length
     if not len(order):
         return _NONE, _NONE, _NONE
     piece = np.searchsorted(starts, order, side="right") - 1
-    key, at = keys[piece], firsts[piece] + order - starts[piece]
-    by = np.lexsort((at, key, group))
-    key, at, group = key[by], at[by], group[by]
-    lead = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    lead = np.repeat(lead, np.diff(np.append(lead, len(group))))
-    again = (key != key[lead]) | (at != at[lead])
-    return _merged(key[again], at[again], at[again])
+    ids, code = np.unique(keys, return_inverse=True)
+    place = code[piece] << 33 | firsts[piece] + order - starts[piece]  # in the order of documents and places in them
+    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    lead = np.repeat(np.minimum.reduceat(place, begin), np.diff(np.append(begin, len(group))))
+    place = np.unique(place[place != lead])
+    if not len(place):
+        return _NONE, _NONE, _NONE
+    new = np.append(True, place[1:] != place[:-1] + 1)
+    first, last = place[new], place[np.append(new[1:], True)]
+    return ids[first >> 33], first & 0x1FFFFFFFF, last & 0x1FFFFFFFF
 
 
 def _arrays(length: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sorted by group: whole groups share a suffix array; a group of one piece has nothing to compare."""
-        held: list[pd.DataFrame] = []
-        size = 0
+    """Sorted by group, key, first: repeats among the pieces of each group.
 
-        def give(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            group = rows["group"].to_numpy()
-            same = group[1:] == group[:-1]
-            rows = rows[np.append(False, same) | np.append(same, False)]
-            if len(rows):
-                key, first, last = repeats_in(rows["key"].to_numpy(np.int64), rows["first"].to_numpy(np.int64), list(rows["data"]), length)
+    Groups of few bytes share a suffix array.  In a group two pieces of the same bytes are sorted, further ones are repeats of
+    the first.  All pieces of a claims' group are compared with its first one, the place, so a large group of those is sorted
+    in parts that each hold the place.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[int, int, bytes]] = []  # pieces of closed groups, then of the open one
+        size = begin = inside = 0  # bytes held, where the open group begins and its bytes
+        open_group = None
+        seen: dict[bytes, int] = {}
+
+        def give(pieces: list[tuple[int, int, bytes]]) -> Iterator[pd.DataFrame]:
+            if len(pieces) > 1:
+                keys, firsts, data = zip(*pieces)
+                key, first, last = repeats_in(np.array(keys, np.int64), np.array(firsts, np.int64), list(data), length)
                 yield pd.DataFrame({"key": key, "first": first, "last": last})
 
         for batch in batches:
-            held.append(batch)
-            size += int(batch["data"].str.len().sum())
-            if size < ARRAY_BYTES:
-                continue
-            rows = pd.concat(held, ignore_index=True)
-            open_ = (rows["group"] == rows["group"].iloc[-1]).to_numpy()
-            if open_.all():
-                held = [rows]
-                continue
-            whole = rows[~open_]
-            sizes = whole["data"].str.len().to_numpy().cumsum()
-            begin = np.append(True, whole["group"].to_numpy()[1:] != whole["group"].to_numpy()[:-1])
-            start = 0
-            for stop in [*np.flatnonzero(begin)[1:], len(whole)]:
-                if stop == len(whole) or sizes[stop - 1] - (sizes[start - 1] if start else 0) >= ARRAY_BYTES:
-                    yield from give(whole.iloc[start:stop])
-                    start = stop
-            held = [rows[open_]]
-            size = int(held[0]["data"].str.len().sum())
-        if held:
-            yield from give(pd.concat(held, ignore_index=True))
+            copies = []
+            for group, key, first, data in zip(batch["group"].tolist(), batch["key"].tolist(), batch["first"].tolist(), batch["data"]):
+                if group != open_group:
+                    if len(held) - begin == 1:  # nothing to compare
+                        size -= len(held.pop()[2])
+                    if size >= ARRAY_BYTES:
+                        yield from give(held)
+                        held, size = [], 0
+                    open_group, begin, inside = group, len(held), 0
+                    seen.clear()
+                n = seen.get(data, 0)
+                if n < 2:
+                    seen[data] = n + 1
+                    held.append((key, first, data))
+                    size += len(data)
+                    inside += len(data)
+                    if group & 1 and inside >= ARRAY_BYTES and len(held) - begin > 2:
+                        yield from give(held)
+                        held = [held[begin]]  # the place stays for the rest of the group
+                        begin, size = 0, len(held[0][2])
+                        inside = size
+                        seen = {x: n for x, n in seen.items() if n > 1}
+                else:
+                    copies.append((key, first, first + len(data) - length))
+            if copies:
+                yield pd.DataFrame(copies, columns=["key", "first", "last"])
+        if len(held) - begin == 1:
+            held.pop()
+        yield from give(held)
 
     return run
 
@@ -360,13 +416,19 @@ def repeated_ranges(docs: DataFrame, length: int = 100) -> tuple[DataFrame, Data
     n = partitions(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     found = rows.mapInArrow(_read(length), _FOUND)
-    found = found.repartition(n, "h").sortWithinPartitions("h", "c", "key", "first")
-    met = cut(found.mapInPandas(_meet, "key long, first long, last long, shape long, h long"))
-    compare = met.where("shape >= 0").groupBy("key").agg(F.collect_list(F.struct(F.col("first").cast("int").alias("first"), F.col("shape").cast("int").alias("shape"))).alias("places"))
-    contexts = rows.join(compare, "key").select("key", "text", "places").mapInPandas(_contexts(length), "group long, key long, first long, data binary")
+    found = found.repartition(n, "h").sortWithinPartitions("h", "c", "key", "place")
+    met = cut(found.mapInPandas(_meet, ", ".join(f"{c} long" for c in _MET)))
+    claims = met.where("shape < 0").select("key", "first", "last", "lead", "at").repartition(n, "key").sortWithinPartitions("key", "lead", F.col("first") - F.col("at"), "first")
+    claims = cut(claims.mapInPandas(_claims, "key long, first long, last long, lead long, at long"))
+    group = F.xxhash64("lead", "at", F.col("last") - F.col("first")).bitwiseOR(F.lit(1))
+    place = lambda key, first, last, g, shape: (F.col(key).alias("key"), first.cast("int").alias("first"), last.cast("int").alias("last"), g.alias("group"), F.lit(shape).cast("int").alias("shape") if isinstance(shape, int) else shape.cast("int").alias("shape"))
+    own = claims.select(*place("key", F.col("first"), F.col("last"), group, -1))
+    led = claims.select(*place("lead", F.col("at"), F.col("at") + F.col("last") - F.col("first"), group, -1)).distinct()
+    compare = met.where("shape >= 0").select(*place("key", F.col("first"), F.lit(0), F.lit(0).cast("long"), F.col("shape")))
+    wanted = own.unionByName(led).unionByName(compare).groupBy("key").agg(F.collect_list(F.struct("first", "last", "group", "shape")).alias("places"))
+    contexts = rows.join(wanted, "key").select("key", "text", "places").mapInPandas(_contexts(length), "group long, key long, first long, data binary")
     contexts = contexts.repartition(n, "group").sortWithinPartitions("group", "key", "first")
-    more = contexts.mapInPandas(_arrays(length), "key long, first long, last long")
-    ranges = met.where("shape < 0").select("key", "first", "last").unionByName(more)
+    ranges = contexts.mapInPandas(_arrays(length), "key long, first long, last long")
     return rows, ranges.groupBy("key").agg(F.collect_list(F.struct(F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))).alias("ranges"))
 
 

@@ -49,7 +49,14 @@ def sort_directly(positions: np.ndarray, w: np.ndarray, depth: int) -> np.ndarra
             break
         here = order[tied]
         key = _at(w, here + offset)
-        by = np.lexsort((key, group))
+        # ties of two, as two copies of a text make them, stand side by side and are swapped or not; only larger ones are sorted
+        by = np.arange(len(tied))
+        two = size[size > 1][np.cumsum(np.append(0, group[1:] != group[:-1]))] == 2
+        a = np.flatnonzero(two)[::2]
+        a = a[key[a] > key[a + 1]]
+        by[a], by[a + 1] = a + 1, a
+        more = np.flatnonzero(~two)
+        by[more] = more[np.lexsort((key[more], group[more]))]
         order[tied], key, group = here[by], key[by], group[by]
         new = np.zeros(len(tied), np.int64)
         new[1:] = np.cumsum((key[1:] != key[:-1]) | (group[1:] != group[:-1]))

@@ -68,3 +68,21 @@ def test_suffix_array():
             x, y = b[want[j - 1] :], b[want[j] :]
             k = next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
             assert lcp[j] == k
+
+
+def test_small_parts_against_brute_force(spark, monkeypatch):
+    """Groups in many parts, claims in many segments, pieces in many copies."""
+    monkeypatch.setattr(B, "ARRAY_BYTES", 300)
+    monkeypatch.setattr(B, "SEGMENT", 64)
+    docs = corpus(7, 30)
+    docs += [(100 + i, docs[5][1] + " " + docs[6][1]) for i in range(12)] + [(200 + i, str(i) + docs[8][1]) for i in range(6)]
+    assert rows_of(B.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 100)) == brute(docs, 100)
+
+
+def test_hashes_only_propose(spark, monkeypatch):
+    """Where all hashes of whole occurrences collide the suffix arrays still decide by the bytes."""
+    monkeypatch.setattr(B.Hasher, "of", lambda self, sums, start, end: np.zeros(len(start), np.uint64))
+    docs = corpus(3, 20)
+    got = rows_of(B.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), 100))
+    want = brute(docs, 100)
+    assert all(got[i][1] <= want[i][1] for i in want)  # a claim on a wrong place is turned down, no byte goes that is no repeat
