@@ -51,8 +51,8 @@ _SPLIT = re.compile(r"[^a-z]+")
 LONGEST_GROUP = 40
 _REPEAT = re.compile(rf"(.{{1,{LONGEST_GROUP}}}?)\1+", re.S)
 
-#: Pages that must share a text at a place of the wrapper before it counts as part of the template.
-TEMPLATE_PAGES = 20
+#: Pages of different texts that must share a text at a place of the wrapper before it counts as part of the template.
+TEMPLATE_PAGES = 2
 
 
 @dataclass
@@ -332,7 +332,9 @@ def infer_wrappers(pages: DataFrame, salts: int = 8) -> DataFrame:
 def _template_places(packed: str, skeleton: tuple[str, ...]) -> dict[int, str]:
     """Places of a page's stream that hold template text, with its digest."""
     wrapper = _unpack(packed)
-    if not any(x.key == "#" and x.text is None or x.key[0] == "(" and "#" in x.key for x in wrapper):
+    template = sum(x.key == "#" and x.text is not None and x.pages >= TEMPLATE_PAGES for x in wrapper)
+    slots = sum(x.key == "#" and x.text is None or x.key[0] == "(" and "#" in x.key for x in wrapper)
+    if slots < template:  # the host's few pages are edited copies of one: what they share is no template
         return {}
     out = {}
     # the page's own positions: groups keep their place, so no instance is absorbed here
