@@ -197,13 +197,22 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
 
 
 def apply_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, keep: str | None = None) -> DataFrame:
-    """``docs`` with each document as often as its ``copies``; the columns of ``docs``.
+    """``docs`` with each row as often as the ``copies`` of its document; the columns of ``docs``, whatever their names.
 
-    Documents whose likeliest domain is ``keep`` stay once at least, whatever their rate.
+    Documents whose likeliest domain is ``keep`` stay once at least, whatever their rate.  Rows that repeat an id, or have
+    none, are one document, and each of them comes as often as it does.  Null and empty texts have no tokens and go by the
+    rate of their posterior like others.  An empty table stays empty.
     """
     rated = mix(docs, labelled, targets)
     if keep is not None:
         likeliest = F.col(f"p_{keep}") >= F.greatest(F.lit(0.0), *[F.col(c) for c in rated.columns if c.startswith("p_")])
         rated = rated.withColumn("copies", F.when(likeliest, F.greatest("copies", F.lit(1))).otherwise(F.col("copies")))
-    rated = rated.select(F.col("doc_id").alias("_id"), "copies").where("copies > 0")
-    return docs.join(rated, docs["doc_id"].eqNullSafe(rated["_id"])).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(*docs.columns)
+    taken, names = {c.lower() for c in docs.columns}, []
+    for name in ("mix_id", "mix_copies", "mix_copy"):
+        while name in taken:
+            name += "_"
+        names.append(name)
+    key, copies, copy = names
+    rated = rated.select(F.col("doc_id").alias(key), F.col("copies").alias(copies)).where(F.col(copies) > 0)
+    rows = docs.join(rated, F.col("doc_id").eqNullSafe(F.col(key)))
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)

@@ -45,6 +45,11 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def spotsigs_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of operator 7: near duplicates over length partitions with pruned Jaccard."""
+    return spotsigs.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=100)
 
@@ -60,7 +65,7 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_page_wrappers, op2_secrets, op3_soft_mixture, op4_language_mixture, op5_anisotropic_search, op6_bpe_round_trip, op7_spotsigs, op8_repeated_substrings, op9_toxicity, op10_simhash_components)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_page_wrappers, op2_secrets, op3_soft_mixture, op4_language_mixture, op5_anisotropic_search, op6_bpe_round_trip, op7_spotsigs, spotsigs_classes, op8_repeated_substrings, op9_toxicity, op10_simhash_components)}
 
 #: DuckDB text for what SQL can express.
 ORACLE_SQL: dict[str, str] = {}

@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import map_frames, partitions
+from chronoweave.llm.common import cut, map_frames, partitions
+from chronoweave.llm.components import components
 
 # The anchors, common words of English, French, German and Spanish.
 ANCHORS = frozenset(
@@ -158,6 +159,74 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             frame["doc_id"] = pd.array([x[0] for x in out], "Int64")
             yield frame
 
-    n = max(partitions(docs.sparkSession), 1)
+    n = partitions(docs.sparkSession)
     dealt = dealt.repartition(n, "range").sortWithinPartitions("range", "halo", "key", "text")
     return map_frames(dealt, run, _SCHEMA)
+
+
+# ---------------------------------------------------------------- near duplicates among all documents
+
+
+def prefix_length(size: int, threshold: float) -> int:
+    """Of two sets that reach the threshold these many first signatures, in one order for all, have one in common."""
+    return size - math.ceil(threshold * size - 1e-9) + 1
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """``(doc_id, digest, sigs)`` of each row with an id."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [signatures(t) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], "sigs": [x.astype(np.int64) for x in sets]})
+
+    return map_frames(docs.where("doc_id is not null").select("doc_id", "text"), run, "doc_id long, digest binary, sigs array<long>")
+
+
+def near_pairs(distinct: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``(a, b)``: pairs of rows of ``distinct(rep, sigs)``, a < b, whose likeness reaches the threshold; empty sets take no part.
+
+    Sets lie in partitions of size and meet those of their own and of the next one that share a signature of their prefix,
+    where signatures are ordered from rare to frequent over all documents, so that a passage that very many texts share brings
+    few of them together.  Pairs that meet are compared by pruned Jaccard.
+    """
+    rows = distinct.where(F.size("sigs") > 0)
+    often = rows.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # signatures that no other text has come first and bring nothing together: they only use up the prefix
+    ranked = rows.select("rep", F.size("sigs").alias("size"), F.explode("sigs").alias("sig")).join(often, "sig", "left")
+    ordered = ranked.groupBy("rep", "size").agg(F.count_if(F.col("n").isNull()).alias("alone"), F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "sig")))).alias("shared"))
+    size = F.col("size")
+    length = size - F.ceil(F.lit(threshold) * size - 1e-9).cast("int") + 1
+    taken = F.slice("shared", 1, F.greatest(F.lit(0), length - F.col("alone").cast("int")))
+    part = (1 + F.floor(F.log(size.cast("double")) / -math.log(threshold) + 1e-9)).cast("int")
+    prefixes = cut(ordered.select("rep", "size", part.alias("part"), F.explode(taken["sig"]).alias("sig")))
+    own = prefixes.select(F.col("rep").alias("i"), F.col("size").alias("ni"), F.col("part").alias("pi"), "part", "sig")
+    met = prefixes.select(F.col("rep").alias("j"), F.col("size").alias("nj"), F.col("part").alias("pj"), F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), "sig")
+    close = (F.least("ni", "nj") >= F.lit(threshold) * F.greatest("ni", "nj") - 1e-9) & ((F.col("pi") < F.col("pj")) | (F.col("i") < F.col("j")))
+    pairs = own.join(met, ["part", "sig"]).where(close).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            near = [likeness(x, y, threshold) >= threshold - 1e-12 for x, y in zip(batch["x"], batch["y"])]
+            yield batch.loc[near, ["a", "b"]]
+
+    of = lambda i, x: distinct.select(F.col("rep").alias(i), F.col("sigs").alias(x))
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+
+
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``(doc_id, class_id, n_links)`` of every row with an id.
+
+    ``class_id`` is the smallest doc_id reachable over fingerprints whose likeness reaches the threshold, ``n_links`` the number
+    of other fingerprints that the row's own is linked with.  Rows of equal fingerprints are one class; texts without a word,
+    null among them, are one.  Rows that repeat an id tie their texts together.
+    """
+    rows = cut(_sets(docs))
+    distinct = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sigs").alias("sigs")))
+    links = cut(near_pairs(distinct.select("rep", "sigs"), threshold).where("a < b").distinct())
+    counted = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    of_row = rows.select("doc_id", "digest").join(distinct.select("digest", "rep"), "digest")
+    same = of_row.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found = components(links.unionByName(same))
+    out = of_row.join(counted, "rep", "left").join(found, F.col("doc_id") == F.col("node"), "left")
+    return out.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

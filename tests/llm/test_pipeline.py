@@ -1,10 +1,13 @@
 import hashlib
+import zlib
+from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chronoweave.llm import langid, secrets
+from chronoweave.llm import langid, mixing, secrets
 from chronoweave.llm.common import table
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -54,12 +57,33 @@ def test_each_stage_against_brute_force(spark, sf):
         assert clean[r["doc_id"]]["text"] == text and clean[r["doc_id"]]["n_chars"] == (len(text) if text != r["text"] else r["n_chars"])
 
     mixed = stages["mixing sources to target weights"](spark, one, sf)
-    assert mixed.columns == docs.columns and mixed.count() > 0
+    assert mixed.columns == docs.columns
+    labelled = table(spark, sf, "labels").select("doc_id", mixing.label_domain().alias("domain"))
+    copies = {}
+    for r in mixing.mix(one, labelled).collect():
+        good = r["p_good"] >= max(r["p_low"], r["p_toxic"])
+        u = zlib.crc32(f"mix{r['doc_id']}".encode()) / 2**32
+        copies[r["doc_id"]] = max(int(r["rate"] + u), good)
+    texts = {r["doc_id"]: r["text"] for r in one.collect()}
+    got = Counter((r["doc_id"], r["text"]) for r in mixed.collect())
+    assert got == Counter({(i, texts[i]): n for i, n in copies.items() if n})
     for r in stages["BPE encoding and decoding"](spark, one, sf).collect():
         text = next(x["text"] for x in rows if x["doc_id"] == r["doc_id"])
         assert r["ids"] == LIB.encode(text, add_special_tokens=False).ids and r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_stages_on_odd_rows_and_empty_tables(spark, odd_docs, sf):
+    """Clashing names of further columns, nulls, repeats and empty tables pass all stages."""
+    wild = odd_docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("copies", "_id", "key", "fp", "component", "rep", "h", "mix_id", "node", "digest", "n"))])
+    now, nothing = wild, wild.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        last = name == corpus_pipeline.STAGES[-1][0]
+        assert stage(spark, wild, sf).columns == wild.columns or last
+        now, nothing = stage(spark, now, sf), stage(spark, nothing, sf)
+        assert nothing.count() == 0 and (last or now.columns == wild.columns)
+    assert now.count() > 0
+
+
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and corpus_pipeline.ORACLE_SQL is None

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 
 import numpy as np
 
@@ -44,3 +46,52 @@ def test_rows_against_brute_force(spark, sf, odd_docs):
     check(S.fingerprint_documents(odd_docs).collect(), odd_docs.collect())
     check(S.fingerprint_documents(odd_docs.limit(1)).collect(), odd_docs.limit(1).collect())
     assert S.fingerprint_documents(odd_docs.limit(0)).count() == 0
+
+
+def brute_signatures(text):
+    """Anchor and the next two words that are none; without a whole chain every word is an anchor of its own."""
+    words = re.findall(r"\w+", (text or "").lower())
+    found = set()
+    for i, w in enumerate(words):
+        if w in S.ANCHORS:
+            chain = [x for x in words[i + 1 :] if x not in S.ANCHORS][:2]
+            if chain:
+                found.add((w, *chain))
+    if not any(len(x) == 3 for x in found):
+        found = {tuple(["", *words[i : i + 2]]) for i in range(len(words))}
+    return found
+
+
+def test_classes_against_brute_force(spark, make_docs):
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(400)] + sorted(S.ANCHORS)[:40] * 6
+    texts = [None, "", "one", "the one"]
+    for n in (8, 20, 60, 200) * 3:
+        base = rnd.choices(words, k=n)
+        texts.append(" ".join(base))
+        for share in (0.0, 0.01, 0.02, 0.05, 0.1):
+            texts.append(" ".join(rnd.choice(words) if rnd.random() < share else w for w in base))
+    sets = [frozenset(brute_signatures(t)) for t in texts]
+    like = lambda a, b: 1.0 if a == b else len(a & b) / len(a | b)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            if like(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    distinct = set(sets)
+    want = {i: (find(i), sum(x != sets[i] and like(x, sets[i]) >= 0.8 for x in distinct)) for i in range(len(texts))}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in S.near_duplicate_classes(make_docs(texts)).collect()}
+    assert got == want and any(n for _, n in want.values())
+
+
+def test_classes_of_odd_rows(odd_docs):
+    got = {r["doc_id"]: r["class_id"] for r in S.near_duplicate_classes(odd_docs).collect()}
+    assert None not in got and got[0] == got[1] == got[2] == got[6] == 0 and got[9] == 9
+    assert S.near_duplicate_classes(odd_docs.limit(0)).count() == 0
