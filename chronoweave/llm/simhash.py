@@ -217,9 +217,15 @@ def one_of_each_id(docs: DataFrame, columns: list[str]) -> DataFrame:
 #: MinHash bands of a text and values in each: a pair of likeness 0.8 shares no band with a chance of 1.3e-7.
 BANDS, ROWS = 40, 5
 #: Rounds that compare texts with one other text of a band, before all pairs of a band that are still apart are compared.
-HUB_ROUNDS = 3
-#: Standard errors below the wanted similarity at which a pair's MinHash values rule it out; the chance for one at 0.8 is 1e-9.
+HUB_ROUNDS = 2
+#: Standard errors by which the last bits of a pair's MinHash values may disagree more than at the wanted similarity before they
+#: rule the pair out; the chance for one at 0.8 is about 1e-10.
 SLACK = 7.0
+#: Texts of a band that are compared with the others' texts in one task; a larger band is dealt out in blocks.
+BAND_BLOCK = 2_000
+#: Standard errors by which the share of equal MinHash values may fall short of the wanted similarity before it rules a pair
+#: out; the chance for one at 0.8 is about 2e-7.
+SHORT = 5.5
 #: Bytes of shingle sets that a worker remembers while it verifies pairs.
 REMEMBERED = 64 << 20
 
@@ -253,33 +259,78 @@ def band_keys(least: np.ndarray) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(band.tobytes(), i)) for i, band in enumerate(least.reshape(BANDS, ROWS))]
 
 
+def last_bits(least: np.ndarray) -> list[int]:
+    """The last bits of ``least_values`` as four signed numbers; at similarity j a share of (1 - j) / 2 of them disagrees."""
+    bits = np.zeros(256, np.uint8)
+    bits[: BANDS * ROWS] = least & 1
+    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, digest, n, keys, sketch)`` of each row: digest and size of its shingle set, its bands' keys, its MinHash values to 16 bits."""
+    """``(doc_id, digest, n, keys, bits, sketch)`` of each row: digest and size of its shingle set, its bands' keys, ``last_bits``
+    and the last byte of each MinHash value."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 found = shingle_set(text, words)
-                least = least_values(found) if found.size else np.zeros(0, np.uint32)
-                rows.append((hashlib.blake2b(found.tobytes(), digest_size=16).digest(), found.size, band_keys(least) if found.size else [], least.astype(np.uint16).tobytes()))
-            digest, n, keys, sketch = zip(*rows) if rows else ((), (), (), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": list(digest), "n": list(n), "keys": list(keys), "sketch": list(sketch)})
+                least = least_values(found) if found.size else np.zeros(BANDS * ROWS, np.uint32)
+                rows.append((hashlib.blake2b(found.tobytes(), digest_size=16).digest(), found.size, band_keys(least) if found.size else [], last_bits(least), least.astype(np.uint8).tobytes()))
+            digest, n, keys, bits, sketch = zip(*rows) if rows else ((), (), (), (), ())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": list(digest), "n": list(n), "keys": list(keys), "bits": list(bits), "sketch": list(sketch)})
+
+    return map_frames(docs.select("doc_id", "text"), run, "doc_id long, digest binary, n int, keys array<long>, bits array<long>, sketch binary")
+
 
-    return map_frames(docs.select("doc_id", "text"), run, "doc_id long, digest binary, n int, keys array<long>, sketch binary")
+def plausible(i: str, j: str, least: float) -> Column:
+    """Whether the sizes and the last bits in the structs ``i`` and ``j`` allow a similarity of ``least``."""
+    apart = (1 - least) / 2
+    most = BANDS * ROWS * apart + SLACK * math.sqrt(BANDS * ROWS * apart * (1 - apart))
+    differing = sum(F.bit_count(F.col(f"{i}.bits")[k].bitwiseXOR(F.col(f"{j}.bits")[k])) for k in range(4))
+    return (F.least(f"{i}.n", f"{j}.n") >= F.lit(least) * F.greatest(f"{i}.n", f"{j}.n") - 1e-6) & (differing <= most)
 
 
-def _plausible(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
-    """The rows of ``pairs(a, b)`` whose MinHash values do not rule out a similarity of ``least``."""
-    floor = least - SLACK * math.sqrt(least * (1 - least) / (BANDS * ROWS))
+def _across(rows: DataFrame, least: float) -> DataFrame:
+    """``(a, b)``, repeated: pairs of a band's texts in different components, one outside the band's largest, that MinHash values
+    leave possible.
+
+    ``rows`` is ``(key, met, rep, n, c, outside, sketch)``.  A band's texts are dealt out in blocks and those outside go to every
+    block of their band, so a task holds one block; pairs are formed inside it and only what is left of them is a row.
+    """
+    blocks = F.ceil(F.col("met") / BAND_BLOCK).cast("int")
+    own = rows.select("key", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), F.lit(0).alias("asks"), "rep", "n", "c", "sketch")
+    asking = rows.where("outside").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("asks"), "rep", "n", "c", "sketch")
+    floor = (least - SHORT * math.sqrt(least * (1 - least) / (BANDS * ROWS))) * BANDS * ROWS
+    names = ("key", "block", "asks", "rep", "n", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BANDS * ROWS) for c in ("x", "y"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= floor))
-
-    of = lambda i, t: distinct.select(F.col("rep").alias(i), F.col("sketch").alias(t))
-    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+            key, block, asks, rep, n, c = (batch.column(x).to_numpy(zero_copy_only=False) for x in names)
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1]))) if len(key) else []
+            left, right = [], []
+            for at, end in zip(starts, [*starts[1:], len(key)]):
+                if here != (key[at], block[at]):
+                    here, held = (key[at], block[at]), []
+                if not asks[at]:
+                    held.append((rep[at:end], n[at:end], c[at:end], sketch[at:end]))
+                    continue
+                if not held:
+                    continue
+                held = [tuple(np.concatenate(x) for x in zip(*held))]
+                r, m, d, k = held[0]
+                for i in range(at, end):
+                    may = np.flatnonzero((d != c[i]) & (np.minimum(m, n[i]) >= least * np.maximum(m, n[i]) - 1e-6))
+                    may = may[(k[may] == sketch[i]).sum(axis=1) >= floor]
+                    left.append(np.minimum(r[may], rep[i]))
+                    right.append(np.maximum(r[may], rep[i]))
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    dealt = own.unionByName(asking).repartition(partitions(rows.sparkSession), "key", "block").sortWithinPartitions("key", "block", "asks")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -314,44 +365,49 @@ def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8) -> D
     its bands the one with the most partners: the origin of a group of edited copies, so that the group is joined by as many
     comparisons as it has texts.  Then, round by round, a band's texts outside its largest component are compared with one
     text of that component, and at last with every text of the band that is in another component than theirs.  So no pair
-    inside a component is looked at, and no link that joins two components is left out.  MinHash values rule out most of
-    these pairs, and a link counts only if the whole texts' Jaccard similarity says so.  Rows that share an id are
+    inside a component is looked at, and no link that joins two components is left out.  Sizes and MinHash bits rule
+    out unlikely pairs, and a link counts only if the whole texts' Jaccard similarity says so.  Rows that share an id are
     one document: it has the links of each of them.
     """
     docs = docs.where("doc_id is not null")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
     rows = cut(_sets(docs, words))
-    distinct = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
-    bands = distinct.select(F.explode("keys").alias("key"), "rep", "n")
-    met = bands.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
-    bands = cut(bands.join(met, "key"))
+    distinct = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    keyed = distinct.select(F.explode("keys").alias("key"), "rep")
+    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    # x is the text as the pairs see it
+    own = rows.select(F.col("doc_id").alias("rep"), F.struct(F.col("doc_id").alias("rep"), "n", "bits").alias("x"))
+    bands = cut(keyed.join(met, "key").join(own, "rep").select("key", "x", "met"))
+    met = bands.groupBy("key").agg(F.first("met").alias("met"))
+    # only texts that meet another one move
+    texts = cut(docs.select(F.col("doc_id").alias("rep"), "text").join(bands.select("x.rep").distinct(), "rep", "left_semi"))
     links = None
     for turn in range(HUB_ROUNDS + 1):
         if turn == 0:
-            partners = bands.groupBy("rep").agg(F.sum("met").alias("partners"))
-            ranked = bands.join(partners, "rep").select("key", "rep", "n", F.struct("partners", (-F.col("rep")).alias("last"), F.col("n").alias("nj")).alias("rank"))
+            partners = bands.groupBy("x").agg(F.sum("met").alias("partners"))
+            ranked = bands.select("key", "x").join(partners, "x").select("key", "x", F.struct("partners", (-F.col("x.rep")).alias("last"), "x").alias("rank"))
             hubs = ranked.groupBy("key").agg(F.max("rank").alias("hub"))
-            best = ranked.join(hubs, "key").groupBy("rep", "n").agg(F.max("hub").alias("hub"))
-            pairs = best.select(F.col("rep").alias("i"), F.col("n").alias("ni"), (-F.col("hub.last")).alias("j"), F.col("hub.nj").alias("nj")).where("i <> j")
+            pairs = ranked.join(hubs, "key").groupBy("x").agg(F.max("hub").alias("hub")).select("x", F.col("hub.x").alias("y"))
         else:
             found = components(links)
-            now = bands.join(found, bands["rep"] == found["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-            # a band's components: how many texts each has, and one of them, another one in each round
-            order = F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "n")
+            now = bands.select("key", "x").join(found, F.col("x.rep") == F.col("node"), "left").select("key", "x", F.coalesce("component", "x.rep").alias("c"))
+            # a band's components: how many texts each has, and one of them, another one in each band
+            order = F.struct(F.xxhash64("x.rep", "key"), "x")
             per = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.min(order).alias("hub"))
-            main = per.groupBy("key").agg(F.count(F.lit(1)).alias("apart"), F.max(F.struct("m", "c", "hub")).alias("main")).where("apart > 1").select("key", F.col("main.c").alias("mc"), F.col("main.hub.rep").alias("j"), F.col("main.hub.n").alias("nj"))
-            outside = now.join(main, "key").where("c <> mc").select("key", F.col("rep").alias("i"), F.col("n").alias("ni"), F.col("c").alias("ci"), "j", "nj")
+            main = per.groupBy("key").agg(F.count(F.lit(1)).alias("apart"), F.max(F.struct("m", "c", "hub")).alias("main")).where("apart > 1").select("key", F.col("main.c").alias("mc"), F.col("main.hub.x").alias("y"))
+            outside = now.join(main, "key").where("c <> mc")
             if turn < HUB_ROUNDS:
-                pairs = outside
+                pairs = outside.select("x", "y")
             else:
-                every = now.select("key", F.col("rep").alias("j"), F.col("n").alias("nj"), F.col("c").alias("cj"))
-                pairs = outside.drop("j", "nj").join(every, "key").where("ci <> cj")
-        pairs = pairs.where(F.least("ni", "nj") >= F.lit(least) * F.greatest("ni", "nj") - 1e-6)
-        pairs = pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).where("a < b").distinct()
-        more = cut(_verified(_plausible(pairs, distinct, least), texts, words, least))
+                sketches = rows.select("doc_id", "sketch")
+                apart = now.join(main.select("key", "mc"), "key").join(met, "key").select("key", "met", "x.rep", "x.n", "c", (F.col("c") != F.col("mc")).alias("outside"))
+                pairs = _across(apart.join(sketches, F.col("rep") == F.col("doc_id")), least)
+        if turn < HUB_ROUNDS:
+            pairs = pairs.where(plausible("x", "y", least)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+        pairs = pairs.where("a < b").distinct()
+        more = cut(_verified(pairs, texts, words, least))
         links = more if links is None else links.unionByName(more)
     # repeated ids tie their texts together, so the links run over ids: equal sets point to their smallest one
-    same = rows.join(distinct.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    same = rows.select("doc_id", "digest").join(rows.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     whole = components(links.unionByName(same))
     return docs.select("doc_id").join(whole, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from chronoweave.llm import simhash
 from chronoweave.llm.common import table
 
@@ -60,8 +62,10 @@ def test_odd_rows(spark, odd_docs):
     assert None in ids and len(ids) == len(set(ids)) and 10 not in ids
 
 
-def test_group_of_near_copies(spark, make_docs):
+@pytest.mark.parametrize("block", [2_000, 7])
+def test_group_of_near_copies(spark, make_docs, monkeypatch, block):
     """Edited copies that mostly are within 0.8 of their origin and not of each other, beside a passage that others share."""
+    monkeypatch.setattr(simhash, "BAND_BLOCK", block)
     rnd = random.Random(8)
     words = [f"w{i}" for i in range(3000)]
     base, passage = rnd.choices(words, k=150), rnd.choices(words, k=60)
