@@ -138,18 +138,19 @@ def neighbour_words(tokens: Column, at: Column) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    """``struct<y, m, d>`` of the first year 1000 to 2099, first month in calendar order, first day if there is a month.
+    """``struct<y, m, d>``: the first year 1000 to 2099; the first month in calendar order whose name stands anywhere in the text
+    or whose first three letters are a word of it; with a month the first number of one or two digits, if it is 1 to 31.
 
-    Null without a year; month and day are 0 where missing.
+    Null without a year; month and day are 0 where missing.  Commas count as spaces.
     """
-    low = F.lower(text)
-    year = F.regexp_extract(low, r"\b(1\d{3}|20\d{2})\b", 1)
+    low = F.translate(F.lower(text), ",", " ")
+    year = F.regexp_extract(low, r"\b(1[0-9]{3}|20[0-9]{2})\b", 1)
     month = F.lit(0)
     for i, name in reversed(list(enumerate(V.MONTHS, 1))):
-        month = F.when(low.rlike(rf"\b({name}|{name[:3]})\b"), i).otherwise(month)
-    day = F.regexp_extract(low, r"\b(\d{1,2})\b", 1)
-    day = F.when((month > 0) & (day != ""), F.try_to_number(day, F.lit("99")).cast("int")).otherwise(0)
-    return F.when(year != "", F.struct(year.cast("int").alias("y"), month.alias("m"), F.coalesce(day, F.lit(0)).alias("d")))
+        month = F.when(low.contains(name) | low.rlike(rf"(^|\s){name[:3]}(\s|$)"), i).otherwise(month)
+    day = F.try_to_number(F.regexp_extract(low, r"\b([0-3]?[0-9])\b", 1), F.lit("99")).cast("int")
+    day = F.when((month > 0) & day.between(1, 31), day).otherwise(0)
+    return F.when(year != "", F.struct(year.cast("int").alias("y"), month.alias("m"), day.alias("d")))
 
 
 def granularity(date: Column) -> Column:
@@ -165,30 +166,17 @@ def compare_dates(a: Column, b: Column) -> Column:
     return result.otherwise("eq")
 
 
-#: Surface shapes of time expressions in the order in which they are tried.
-_MONTH = "(" + "|".join(f"{m}|{m[:3]}\\.?" for m in V.MONTHS) + ")"
-SHAPES = (
-    ("TIME", r"\d{1,2}:\d{2}|\b(am|pm|noon|midnight|morning|evening|night)\b"),
-    ("DECADE_CENT", r"\d{3,4}0?s\b|century|centuries"),
-    ("YEAR_RANGE", r"^\D*\d{4}\s*(-|to|and|until)\s*\d{2,4}\D*$"),
-    ("DAY_RANGE", rf"{_MONTH}\s+\d{{1,2}}\s*(-|to|and)\s*\d{{1,2}}|\d{{1,2}}\s*(-|to|and)\s*\d{{1,2}}\s+{_MONTH}"),
-    ("YEAR", r"^\D*\d{4}\D*$"),
-    ("BARE_NUM", r"^\s*\d+\s*$"),
-    ("FULL_DATE", rf"{_MONTH}\s+\d{{1,2}}(,|\s)+\d{{4}}|\d{{1,2}}\s+{_MONTH}\s+\d{{4}}"),
-    ("MONTH_YEAR", rf"{_MONTH}\s+\d{{4}}"),
-    ("MONTH_DAY", rf"{_MONTH}\s+\d{{1,2}}|\d{{1,2}}\s+{_MONTH}"),
-    ("MONTH", rf"\b{_MONTH}\b"),
-    ("DURATION", r"\b(year|month|week|day|hour|minute)s?\b"),
-)
 
 
 def surface_shape(text: Column) -> Column:
-    low, out = F.lower(text), None
-    # a month name spells no digits, so a text that holds one is no bare year
-    for name, pattern in SHAPES:
-        fits = low.rlike(pattern) & (~low.rlike(_MONTH) if name == "YEAR" else F.lit(True))
-        out = F.when(fits, name) if out is None else out.when(fits, name)
-    return out.otherwise("OTHER")
+    """The first of ``V.SHAPES`` all of whose patterns the text holds, else OTHER; null is the empty text."""
+    low, out = F.lower(F.trim(F.coalesce(text, F.lit("")))), F.lit("OTHER")
+    for name, patterns in reversed(V.SHAPES):
+        fits = low.rlike(patterns[0])
+        for pattern in patterns[1:]:
+            fits = fits & low.rlike(pattern)
+        out = F.when(fits, name).otherwise(out)
+    return out
 
 
 def partial_range(text: Column) -> Column:

@@ -93,21 +93,23 @@ def fn_trigger_class(spark, sf):
 
 
 # Surface forms of the order dates, by the key's remainder.
-_FORMS = """fm as (select cast(o_orderkey as bigint) k, case o_orderkey % 8 when 0 then strftime(d, '%Y') when 1 then strftime(d, '%B %Y') when 2 then strftime(d, '%-d %B %Y') when 3 then strftime(d, '%B %-d, %Y')
-  when 4 then 'the ' || left(strftime(d, '%Y'), 3) || '0s' when 5 then strftime(d, '%B') when 6 then strftime(d, '%Y') || '-' || cast(year(d) + 2 as varchar) else 'a few days' end as text from (select o_orderkey, cast(o_orderdate as date) d from orders))"""
+_FORMS = """fm as (select cast(o_orderkey as bigint) k, case o_orderkey % 16 when 0 then strftime(d, '%Y') when 1 then strftime(d, '%B %Y') when 2 then strftime(d, '%-d %B %Y') when 3 then strftime(d, '%B %-d, %Y')
+  when 4 then 'the ' || left(strftime(d, '%Y'), 3) || '0s' when 5 then strftime(d, '%B') when 6 then strftime(d, '%Y') || '-' || cast(year(d) + 2 as varchar) when 7 then 'a few days' when 8 then 'two days later' when 9 then 'a ten-year truce' when 10 then 'that same evening' when 11 then 'late ' || strftime(d, '%Y') when 12 then '14:30 UTC' when 13 then strftime(d, '%-d %b') when 14 then strftime(d, '%-d') else strftime(d, '%B %-d-28, %Y') end as text from (select o_orderkey, cast(o_orderdate as date) d from orders))"""
 
 
 def _forms(spark, sf):
     d = F.col("o_orderdate").cast("date")
     year = F.date_format(d, "yyyy")
     forms = [year, F.date_format(d, "MMMM yyyy"), F.date_format(d, "d MMMM yyyy"), F.date_format(d, "MMMM d, yyyy"), F.concat(F.lit("the "), F.substring(year, 1, 3), F.lit("0s")), F.date_format(d, "MMMM"), F.concat(year, F.lit("-"), (F.year(d) + 2).cast("string")), F.lit("a few days")]
-    return T.table(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.get(F.array(*forms), (F.col("o_orderkey") % 8).cast("int")).alias("text"))
+    forms += [F.lit("two days later"), F.lit("a ten-year truce"), F.lit("that same evening"), F.concat(F.lit("late "), year), F.lit("14:30 UTC"), F.date_format(d, "d MMM"), F.date_format(d, "d"), F.concat(F.date_format(d, "MMMM d"), F.lit("-28, "), year)]
+    return T.table(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.get(F.array(*forms), (F.col("o_orderkey") % 16).cast("int")).alias("text"))
 
 
 _MONTH_CASE = "case " + " ".join(f"when regexp_matches(lower(text), '\\b({m}|{m[:3]})\\b') then {i}" for i, m in enumerate(V.MONTHS, 1)) + " else 0 end"
+_MONTH_ANY = "case " + " ".join(f"when contains(lower(text), '{m}') or list_contains(regexp_split_to_array(replace(lower(text), ',', ' '), '\\s+'), '{m[:3]}') then {i}" for i, m in enumerate(V.MONTHS, 1)) + " else 0 end"
 _PARSED = f"""{_FORMS}, pd as (select *, case when y is null then 'none' when m = 0 then 'y' when d = 0 then 'ym' else 'ymd' end gran from (
-  select *, case when y is null then null when m > 0 then coalesce(try_cast(regexp_extract(lower(text), '\\b(\\d{{1,2}})\\b', 1) as bigint), 0) else 0 end d from (
-  select k, text, try_cast(nullif(regexp_extract(lower(text), '\\b(1\\d{{3}}|20\\d{{2}})\\b', 1), '') as bigint) y, case when regexp_matches(lower(text), '\\b(1\\d{{3}}|20\\d{{2}})\\b') then cast({_MONTH_CASE} as bigint) end m from fm)))"""
+  select *, case when y is null then null when m > 0 then (case when try_cast(regexp_extract(lower(text), '\\b([0-3]?[0-9])\\b', 1) as bigint) between 1 and 31 then try_cast(regexp_extract(lower(text), '\\b([0-3]?[0-9])\\b', 1) as bigint) else 0 end) else 0 end d from (
+  select k, text, try_cast(nullif(regexp_extract(lower(text), '\\b(1\\d{{3}}|20\\d{{2}})\\b', 1), '') as bigint) y, case when regexp_matches(lower(text), '\\b(1\\d{{3}}|20\\d{{2}})\\b') then cast({_MONTH_ANY} as bigint) end m from fm)))"""
 
 
 @query(f"with {_PARSED} select k, text, y, m, d, gran from pd")
@@ -124,10 +126,10 @@ def fn_compare_dates(spark, sf):
     return p.join(p.select((F.col("k") - 1).alias("k"), F.col("a").alias("b")), "k").select("k", S.compare_dates(F.col("a"), F.col("b")).alias("cal"))
 
 
-_SQL_MONTH = S._MONTH.replace("'", "''")
+_SHAPE_SQL = " ".join("when " + " and ".join("regexp_matches(lower(trim(text)), '" + p.replace("'", "''") + "')" for p in patterns) + f" then '{name}'" for name, patterns in V.SHAPES)
 
 
-@query(f"with {_FORMS} select k, text, case " + " ".join(f"when regexp_matches(lower(text), '{p}'){f' and not regexp_matches(lower(text), {chr(39)}{_SQL_MONTH}{chr(39)})' if n == 'YEAR' else ''} then '{n}'" for n, p in S.SHAPES) + " else 'OTHER' end shape from fm")
+@query(f"with {_FORMS} select k, text, case {_SHAPE_SQL} else 'OTHER' end shape from fm")
 def fn_surface_shape(spark, sf):
     return _forms(spark, sf).select("k", "text", S.surface_shape(F.col("text")).alias("shape"))
 
