@@ -155,26 +155,24 @@ def fn_calendar_atoms(spark, sf):
     return p.join(p.select((F.col("k") - 1).alias("k"), F.col("a").alias("b")), "k").select("k", F.array_join(S.calendar_atoms(F.col("a"), F.col("b")), ",").alias("atoms"))
 
 
-_TOKENS = "tk as (select cast(doc_id as bigint) k, string_split(replace(text, chr(10), ' '), ' ')[1:40] tok from documents)"
+_TOKENS = "tk as (select cast(doc_id as bigint) k, string_split(replace(text, chr(10), ' '), ' ') tok from documents)"
 _PREP = ", ".join(f"'{w}'" for w in V.PREPOSITIONS)
 
 
-@query(f"""with {_TOKENS}, pl as (select k, cast(k % 30 as integer) p, list_transform(tok, lambda x: lower(x)) low from tk), w3 as (select k, p, low, low[greatest(p - 2, 1):p] before from pl)
+@query(f"""with {_TOKENS}, pl as (select k, cast(k % len(tok) as integer) p, list_transform(tok, lambda x: lower(x)) low from tk), w3 as (select k, p, low, low[greatest(p - 2, 1):p] before from pl)
   select k, array_to_string(list_filter(before, lambda x, i: x in ({_PREP}) and list_position(before, x) = i), ',') prep, concat_ws(',', 'p2=' || case when p >= 2 then low[p - 1] end, 'p1=' || case when p >= 1 then low[p] end, 'n1=' || low[p + 2]) ctx from w3""")
 def fn_context_words(spark, sf):
-    """Prepositions among the three tokens before a place, and the neighbours of that place."""
-    tok = F.slice(F.split(F.regexp_replace("text", "\n", " "), " "), 1, 40)
-    rows = T.table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("k"), tok.alias("tok"), (F.col("doc_id") % 30).cast("int").alias("at"))
+    """Prepositions among the three tokens before a place of the whole text, and the neighbours of that place."""
+    rows = _whole_tokens(spark, sf).withColumn("at", F.pmod("k", F.size("tok")).cast("int"))
     return rows.select("k", F.array_join(S.words_before(F.col("tok"), F.col("at"), 3, V.PREPOSITIONS), ",").alias("prep"), F.array_join(S.neighbour_words(F.col("tok"), F.col("at")), ",").alias("ctx"))
 
 
-@query(f"""with {_TOKENS} select k, array_to_string(list_sort(list_distinct(list_filter(list_transform(tok[3:10], lambda x: lower(x)), lambda x: x in ({", ".join(repr(w) for w in V.CONNECTIVES)})))), ',') conn,
+@query(f"""with {_TOKENS} select k, array_to_string(list_sort(list_distinct(list_filter(list_transform(tok[2:len(tok) - 1], lambda x: lower(x)), lambda x: x in ({", ".join(repr(w) for w in V.CONNECTIVES)})))), ',') conn,
   array_to_string(list_filter(regexp_extract_all(lower(array_to_string(tok, ' ')), '[a-z]+'), lambda x: length(x) > 2 and x not in ({", ".join(repr(m) for m in V.MONTHS)}))[1:4], ',') content from tk""")
 def fn_connectives(spark, sf):
-    """Connective words strictly between two places, and the first content words."""
-    tok = F.slice(F.split(F.regexp_replace("text", "\n", " "), " "), 1, 40)
-    rows = T.table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("k"), tok.alias("tok"))
-    return rows.select("k", F.array_join(F.array_sort(S.words_between(F.col("tok"), F.lit(1), F.lit(10), V.CONNECTIVES)), ",").alias("conn"), F.array_join(S.content_words(F.array_join("tok", " ")), ",").alias("content"))
+    """Connective words strictly between the first and the last token of the whole text, and its first content words."""
+    conn = S.words_between(F.col("tok"), F.lit(0), F.size("tok") - 1, V.CONNECTIVES)
+    return _whole_tokens(spark, sf).select("k", F.array_join(F.array_sort(conn), ",").alias("conn"), F.array_join(S.content_words(F.array_join("tok", " ")), ",").alias("content"))
 
 
 def _whole_tokens(spark, sf) -> DataFrame:
@@ -182,20 +180,6 @@ def _whole_tokens(spark, sf) -> DataFrame:
     return T.table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("k"), F.split(F.regexp_replace("text", "\n", " "), " ").alias("tok"))
 
 
-@query()
-def fn_context_words_all(spark, sf):
-    """``fn_context_words`` over whole texts; the place is doc_id modulo the number of tokens."""
-    rows = _whole_tokens(spark, sf).withColumn("at", F.pmod("k", F.size("tok")).cast("int"))
-    return rows.select("k", F.array_join(S.words_before(F.col("tok"), F.col("at"), 3, V.PREPOSITIONS), ",").alias("prep"), F.array_join(S.neighbour_words(F.col("tok"), F.col("at")), ",").alias("ctx"))
-
-
-@query()
-def fn_connectives_all(spark, sf):
-    """Connective words strictly between the first and the last token of the whole text, and its first content words."""
-    conn = S.words_between(F.col("tok"), F.lit(0), F.size("tok") - 1, V.CONNECTIVES)
-    return _whole_tokens(spark, sf).select("k", F.array_join(F.array_sort(conn), ",").alias("conn"), F.array_join(S.content_words(F.array_join("tok", " ")), ",").alias("content"))
-
-
 def sql_md5_mod(text: str, m: int) -> str:
     digits = f"list_sum(list_transform(string_split(md5({text}), ''), lambda ch: strpos('0123456789abcdef', ch) - 1))"
     last = f"(strpos('0123456789abcdef', right(md5({text}), 1)) - 1)"
