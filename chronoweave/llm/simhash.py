@@ -222,7 +222,7 @@ HUB_ROUNDS = 2
 #: rule the pair out; the chance for one at 0.8 is about 1e-10.
 SLACK = 7.0
 #: Texts of a band that are compared with the others' texts in one task; a larger band is dealt out in blocks.
-BAND_BLOCK = 2_000
+BAND_BLOCK = 1_000
 #: Standard errors by which the share of equal MinHash values may fall short of the wanted similarity before it rules a pair
 #: out; the chance for one at 0.8 is about 2e-7.
 SHORT = 5.5
@@ -291,29 +291,31 @@ def plausible(i: str, j: str, least: float) -> Column:
     return (F.least(f"{i}.n", f"{j}.n") >= F.lit(least) * F.greatest(f"{i}.n", f"{j}.n") - 1e-6) & (differing <= most)
 
 
-def _across(rows: DataFrame, least: float) -> DataFrame:
-    """``(a, b)``, repeated: pairs of a band's texts in different components, one outside the band's largest, that MinHash values
-    leave possible.
+def _across(rows: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """``(a, b)``, repeated: true links between texts of a band that are in different components, one outside the largest.
 
     ``rows`` is ``(key, met, rep, n, c, outside, sketch)``.  A band's texts are dealt out in blocks and those outside go to every
-    block of their band, so a task holds one block; pairs are formed inside it and only what is left of them is a row.
+    block of their band, so a task holds one block.  MinHash values first tell which texts of a block a text outside may be
+    near to; then the texts that are left come to the block once each and their shingles decide.  A pair is never a row.
     """
+    n_parts = partitions(rows.sparkSession)
     blocks = F.ceil(F.col("met") / BAND_BLOCK).cast("int")
     own = rows.select("key", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), F.lit(0).alias("asks"), "rep", "n", "c", "sketch")
     asking = rows.where("outside").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("asks"), "rep", "n", "c", "sketch")
     floor = (least - SHORT * math.sqrt(least * (1 - least) / (BANDS * ROWS))) * BANDS * ROWS
     names = ("key", "block", "asks", "rep", "n", "c")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held = None, []
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of texts outside with the texts of the block that they may be near to, and of those texts."""
+        here, held, needed = None, [], np.zeros(0, bool)
         for batch in batches:
             key, block, asks, rep, n, c = (batch.column(x).to_numpy(zero_copy_only=False) for x in names)
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
             starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1]))) if len(key) else []
-            left, right = [], []
+            out: list[tuple] = []
             for at, end in zip(starts, [*starts[1:], len(key)]):
                 if here != (key[at], block[at]):
-                    here, held = (key[at], block[at]), []
+                    here, held, needed = (key[at], block[at]), [], np.zeros(0, bool)
                 if not asks[at]:
                     held.append((rep[at:end], n[at:end], c[at:end], sketch[at:end]))
                     continue
@@ -321,16 +323,35 @@ def _across(rows: DataFrame, least: float) -> DataFrame:
                     continue
                 held = [tuple(np.concatenate(x) for x in zip(*held))]
                 r, m, d, k = held[0]
+                needed = np.resize(needed, len(r)) if len(needed) else np.zeros(len(r), bool)
                 for i in range(at, end):
                     may = np.flatnonzero((d != c[i]) & (np.minimum(m, n[i]) >= least * np.maximum(m, n[i]) - 1e-6))
                     may = may[(k[may] == sketch[i]).sum(axis=1) >= floor]
-                    left.append(np.minimum(r[may], rep[i]))
-                    right.append(np.maximum(r[may], rep[i]))
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                    if len(may):
+                        out.append((*here, 1, rep[i], r[may]))
+                        out += [(*here, 0, x, None) for x in r[may[~needed[may]]]]
+                        needed[may] = True
+            if out:
+                columns = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.list_(pa.int64()))], ["key", "block", "asks", "rep", "near"])
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, sets = None, {}
+        for batch in batches:
+            links = []
+            for key, block, asks, rep, near, text in zip(batch["key"], batch["block"], batch["asks"], batch["rep"], batch["near"], batch["text"]):
+                if here != (key, block):
+                    here, sets = (key, block), {}
+                found = shingle_set(text, words)
+                if not asks:
+                    sets[rep] = found
+                    continue
+                links += [(min(rep, x), max(rep, x)) for x in near if x in sets and jaccard(found, sets[x]) >= least]
+            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    dealt = own.unionByName(asking).repartition(partitions(rows.sparkSession), "key", "block").sortWithinPartitions("key", "block", "asks")
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = own.unionByName(asking).repartition(n_parts, "key", "block").sortWithinPartitions("key", "block", "asks")
+    left = dealt.mapInArrow(sift, "key long, block int, asks int, rep long, near array<long>").join(texts, "rep").select("key", "block", "asks", "rep", "near", "text")
+    return left.repartition(n_parts, "key", "block").sortWithinPartitions("key", "block", "asks", "rep").mapInPandas(decide, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -400,11 +421,10 @@ def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8) -> D
             else:
                 sketches = rows.select("doc_id", "sketch")
                 apart = now.join(main.select("key", "mc"), "key").join(met, "key").select("key", "met", "x.rep", "x.n", "c", (F.col("c") != F.col("mc")).alias("outside"))
-                pairs = _across(apart.join(sketches, F.col("rep") == F.col("doc_id")), least)
+                more = cut(_across(apart.join(sketches, F.col("rep") == F.col("doc_id")), texts, words, least).where("a < b").distinct())
         if turn < HUB_ROUNDS:
             pairs = pairs.where(plausible("x", "y", least)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-        pairs = pairs.where("a < b").distinct()
-        more = cut(_verified(pairs, texts, words, least))
+            more = cut(_verified(pairs.where("a < b").distinct(), texts, words, least))
         links = more if links is None else links.unionByName(more)
     # repeated ids tie their texts together, so the links run over ids: equal sets point to their smallest one
     same = rows.select("doc_id", "digest").join(rows.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
