@@ -328,12 +328,13 @@ def _across(rows: DataFrame, texts: DataFrame, words: int, least: float) -> Data
                     may = np.flatnonzero((d != c[i]) & (np.minimum(m, n[i]) >= least * np.maximum(m, n[i]) - 1e-6))
                     may = may[(k[may] == sketch[i]).sum(axis=1) >= floor]
                     if len(may):
-                        out.append((*here, 1, rep[i], r[may]))
-                        out += [(*here, 0, x, None) for x in r[may[~needed[may]]]]
+                        # the block's texts by their number in it, as bits
+                        out.append((*here, 1, rep[i], np.packbits(np.bincount(may).astype(bool)).tobytes()))
+                        out += [(*here, 0, r[x], int(x).to_bytes(4, "little")) for x in may[~needed[may]].tolist()]
                         needed[may] = True
             if out:
                 columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.list_(pa.int64()))], ["key", "block", "asks", "rep", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.binary())], ["key", "block", "asks", "rep", "near"])
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, sets = None, {}
@@ -344,13 +345,15 @@ def _across(rows: DataFrame, texts: DataFrame, words: int, least: float) -> Data
                     here, sets = (key, block), {}
                 found = shingle_set(text, words)
                 if not asks:
-                    sets[rep] = found
+                    sets[int.from_bytes(near, "little")] = rep, found
                     continue
-                links += [(min(rep, x), max(rep, x)) for x in near if x in sets and jaccard(found, sets[x]) >= least]
+                for x in np.flatnonzero(np.unpackbits(np.frombuffer(near, np.uint8))).tolist():
+                    if x in sets and jaccard(found, sets[x][1]) >= least:
+                        links.append((min(rep, sets[x][0]), max(rep, sets[x][0])))
             yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     dealt = own.unionByName(asking).repartition(n_parts, "key", "block").sortWithinPartitions("key", "block", "asks")
-    left = dealt.mapInArrow(sift, "key long, block int, asks int, rep long, near array<long>").join(texts, "rep").select("key", "block", "asks", "rep", "near", "text")
+    left = dealt.mapInArrow(sift, "key long, block int, asks int, rep long, near binary").join(texts, "rep").select("key", "block", "asks", "rep", "near", "text")
     return left.repartition(n_parts, "key", "block").sortWithinPartitions("key", "block", "asks", "rep").mapInPandas(decide, "a long, b long")
 
 
