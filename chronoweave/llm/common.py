@@ -36,11 +36,25 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from the checkpoint folder."""
+    """The same rows from the checkpoint folder.
+
+    Executors keep the shuffle files of finished steps until the driver collects the plans that made them, and a driver that
+    only plans seldom collects by itself; so each cut asks it to, and iterative jobs hold the files of about one step.
+    """
     checkpoint_folder(df.sparkSession)
+    df.sparkSession._jvm.System.gc()
     return df.checkpoint()
 
 
+#: Rows of a few numbers that one task handles with ease.
+TASK_ROWS = 100_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of about ``rows`` narrow rows in no more partitions than those need, so that small steps write few files."""
+    return df.coalesce(min(partitions(df.sparkSession), -(-rows // TASK_ROWS) or 1))
+
+
 def through_parquet(df: DataFrame, path: str | None = None) -> DataFrame:
     """The same rows, written to and read from a new folder (``path``, or one in the checkpoint folder)."""
     path = path or new_folder(df.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import cut
+from chronoweave.llm.common import cut, sized
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -14,10 +14,10 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return sized(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), n).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -31,16 +31,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """``(node, component)`` of every node that has a link; component is the smallest node reachable.
 
     Links are undirected; repeated links and loops change nothing and null ends are ignored.  Every round is one
-    checkpoint, so a lost executor costs one round at most.  The number of rounds grows with the logarithm of the longest
+    checkpoint, so a lost executor costs one round at most; its tasks are as many as its links need.  The number of rounds grows with the logarithm of the longest
     shortest path.
     """
     now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
     now = cut(now)
     before = _signature(now)
+    now = sized(now, before[0])
     for _ in range(most_rounds):
         if not before[0]:
             break
-        now = cut(_small_star(_large_star(now)))
+        now = cut(sized(_small_star(sized(_large_star(now, before[0]), before[0])), before[0]))
         after = _signature(now)
         if after == before:
             break

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import cut, map_frames, partitions
+from chronoweave.llm.common import cut, map_frames, partitions, sized
 from chronoweave.llm.components import components
 
 BITS = 64
@@ -398,36 +398,37 @@ def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8) -> D
     distinct = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     keyed = distinct.select(F.explode("keys").alias("key"), "rep")
     met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
-    # x is the text as the pairs see it
-    own = rows.select(F.col("doc_id").alias("rep"), F.struct(F.col("doc_id").alias("rep"), "n", "bits").alias("x"))
-    bands = cut(keyed.join(met, "key").join(own, "rep").select("key", "x", "met"))
-    met = bands.groupBy("key").agg(F.first("met").alias("met"))
+    bands = cut(keyed.join(met, "key").select("key", "rep", "met"))
+    bands = sized(bands, bands.count())
     # only texts that meet another one move
-    texts = cut(docs.select(F.col("doc_id").alias("rep"), "text").join(bands.select("x.rep").distinct(), "rep", "left_semi"))
+    texts = cut(docs.select(F.col("doc_id").alias("rep"), "text").join(bands.select("rep").distinct(), "rep", "left_semi"))
+    seen = lambda i, x: rows.select(F.col("doc_id").alias(i), F.struct("n", "bits").alias(x))
     links = None
     for turn in range(HUB_ROUNDS + 1):
         if turn == 0:
-            partners = bands.groupBy("x").agg(F.sum("met").alias("partners"))
-            ranked = bands.select("key", "x").join(partners, "x").select("key", "x", F.struct("partners", (-F.col("x.rep")).alias("last"), "x").alias("rank"))
+            partners = bands.groupBy("rep").agg(F.sum("met").alias("partners"))
+            # of equally many partners the smallest id
+            ranked = bands.select("key", "rep").join(partners, "rep").select("key", "rep", F.struct("partners", F.bitwise_not("rep").alias("last")).alias("rank"))
             hubs = ranked.groupBy("key").agg(F.max("rank").alias("hub"))
-            pairs = ranked.join(hubs, "key").groupBy("x").agg(F.max("hub").alias("hub")).select("x", F.col("hub.x").alias("y"))
+            pairs = ranked.join(hubs, "key").groupBy("rep").agg(F.max("hub").alias("hub")).select("rep", F.bitwise_not("hub.last").alias("other"))
         else:
             found = components(links)
-            now = bands.select("key", "x").join(found, F.col("x.rep") == F.col("node"), "left").select("key", "x", F.coalesce("component", "x.rep").alias("c"))
+            now = bands.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "met", F.coalesce("component", "rep").alias("c"))
             # a band's components: how many texts each has, and one of them, another one in each band
-            order = F.struct(F.xxhash64("x.rep", "key"), "x")
+            order = F.struct(F.xxhash64("rep", "key").alias("h"), "rep")
             per = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.min(order).alias("hub"))
-            main = per.groupBy("key").agg(F.count(F.lit(1)).alias("apart"), F.max(F.struct("m", "c", "hub")).alias("main")).where("apart > 1").select("key", F.col("main.c").alias("mc"), F.col("main.hub.x").alias("y"))
-            outside = now.join(main, "key").where("c <> mc")
+            main = per.groupBy("key").agg(F.count(F.lit(1)).alias("apart"), F.max(F.struct("m", "c", "hub")).alias("main")).where("apart > 1").select("key", F.col("main.c").alias("mc"), F.col("main.hub.rep").alias("other"))
+            now = now.join(main, "key")
             if turn < HUB_ROUNDS:
-                pairs = outside.select("x", "y")
+                pairs = now.where("c <> mc").select("rep", "other")
             else:
-                sketches = rows.select("doc_id", "sketch")
-                apart = now.join(main.select("key", "mc"), "key").join(met, "key").select("key", "met", "x.rep", "x.n", "c", (F.col("c") != F.col("mc")).alias("outside"))
-                more = cut(_across(apart.join(sketches, F.col("rep") == F.col("doc_id")), texts, words, least).where("a < b").distinct())
+                sketches = rows.select(F.col("doc_id").alias("rep"), "n", "sketch")
+                apart = now.select("key", "met", "rep", "c", (F.col("c") != F.col("mc")).alias("outside"))
+                more = cut(_across(apart.join(sketches, "rep"), texts, words, least).where("a < b").distinct())
         if turn < HUB_ROUNDS:
-            pairs = pairs.where(plausible("x", "y", least)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-            more = cut(_verified(pairs.where("a < b").distinct(), texts, words, least))
+            pairs = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).where("a < b").distinct()
+            pairs = pairs.join(seen("a", "x"), "a").join(seen("b", "y"), "b").where(plausible("x", "y", least)).select("a", "b").distinct()
+            more = cut(_verified(pairs, texts, words, least))
         links = more if links is None else links.unionByName(more)
     # repeated ids tie their texts together, so the links run over ids: equal sets point to their smallest one
     same = rows.select("doc_id", "digest").join(rows.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
