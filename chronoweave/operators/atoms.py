@@ -149,6 +149,39 @@ def container_lexicon(edges: DataFrame, words: DataFrame, prior_strength: float
     return per.select("word", "degree", rate.alias("rate"), F.when(rate > 2 * total, "hi").when(rate < 0.5 * total, "lo").otherwise("mid").alias("bucket"))
 
 
+def container_rates(edges: DataFrame, nodes: DataFrame, prior_strength: float = 20.0, least_degree: int = 20) -> DataFrame:
+    """``(doc, ev, src, tgt, src_bucket, tgt_bucket)``: how often a node's word contains and is contained, smoothed.
+
+    ``nodes`` is ``(doc, ev, word, type)``.  A word under ``least_degree`` ends backs off to its node's type, a node without
+    either to the global rate.  hi is above twice the global rate, lo below half of it.
+    """
+    hit = (F.col("rel") == "CONTAINS").cast("long")
+    end = lambda e, src, tgt: edges.select("doc", F.col(e).alias("ev"), src.alias("src"), tgt.alias("tgt"))
+    no = F.lit(0).cast("long")
+    ends = end("s", hit, no).unionByName(end("t", no, hit)).join(nodes, ["doc", "ev"])
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("src").alias("src"), F.sum("tgt").alias("tgt")]
+    per_type = ends.groupBy("type").agg(F.struct(*sums).alias("by_type"))
+    per_word = ends.groupBy("word").agg(F.struct(*sums).alias("by_word")).where(F.col("by_word.n") >= least_degree)
+    whole = per_type.agg(F.sum("by_type.n").alias("n"), F.sum("by_type.src").alias("src"), F.sum("by_type.tgt").alias("tgt")).first()
+    rows = nodes.join(per_word, "word", "left").join(per_type, "type", "left").withColumn("by", F.coalesce("by_word", "by_type"))
+    out = rows.select("doc", "ev", "by")
+    for c in ("src", "tgt"):
+        mean = whole[c] / whole["n"] if whole["n"] else 0.0
+        rate = (F.coalesce(F.col(f"by.{c}"), no) + prior_strength * mean) / (F.coalesce(F.col("by.n"), no) + prior_strength)
+        out = out.withColumn(c, rate).withColumn(f"{c}_bucket", F.when(F.col(c) > 2 * mean, "hi").when(F.col(c) < 0.5 * mean, "lo").otherwise("mid"))
+    return out.drop("by")
+
+
+def container_atoms(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(doc, s, t, rel, atom)``: buckets of both ends' ``container_rates``, and which end contains more than twice as often."""
+    rates = container_rates(edges, nodes)
+    side = lambda e, x: rates.select("doc", F.col("ev").alias(e), *[F.col(c).alias(f"{c}_{x}") for c in ("src", "src_bucket", "tgt_bucket")])
+    rows = edges.select("doc", "s", "t", "rel").join(side("s", "a"), ["doc", "s"]).join(side("t", "b"), ["doc", "t"])
+    a, b = F.col("src_a"), F.col("src_b")
+    atoms = {"src_a": F.col("src_bucket_a"), "src_b": F.col("src_bucket_b"), "tgt_a": F.col("tgt_bucket_a"), "tgt_b": F.col("tgt_bucket_b"), "src_cmp": F.when(a > 2 * b, "a>>b").when(b > 2 * a, "b>>a").otherwise("~")}
+    return rows.select("doc", "s", "t", "rel", F.explode(F.array(*[scalar_atom("DUR", k, v) for k, v in atoms.items()])).alias("atom"))
+
+
 def type_clusters(roles: DataFrame, k: int = 12, seed: int = 0) -> DataFrame:
     """``(type, cluster)``: event types by spherical k-means on their role frames ``(type, role, n)``."""
     from pyspark.ml.clustering import KMeans

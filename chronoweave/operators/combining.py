@@ -88,36 +88,59 @@ def decide(labels: list[str], floors: dict[str, float]) -> Column:
     return F.coalesce(F.array_min(F.array_compact(candidates))["rel"], F.lit(V.MAJORITY))
 
 
-def macro_f1(counts: DataFrame, pred: Column, labels: Iterable[str] = V.RELATIONS) -> float:
-    """Macro F1 over all labels of rows ``(gold, n)``; an absent label counts zero."""
-    rows = counts.withColumn("pred", pred).groupBy("gold", "pred").agg(F.sum("n").alias("n")).collect()  # labels squared
-    total = 0.0
-    labels = list(labels)
+def _macro(cells: Iterable[tuple[str, str, int]], labels: Iterable[str]) -> float:
+    """Macro F1 over labels from ``(gold, pred, n)``; an absent label counts zero."""
+    cells, total, labels = list(cells), 0.0, list(labels)
     for r in labels:
-        hit = sum(x["n"] for x in rows if x["gold"] == r == x["pred"])
-        said, true = sum(x["n"] for x in rows if x["pred"] == r), sum(x["n"] for x in rows if x["gold"] == r)
+        hit = sum(n for g, p, n in cells if g == r == p)
+        said, true = sum(n for _, p, n in cells if p == r), sum(n for g, _, n in cells if g == r)
         total += 2 * hit / (said + true) if hit else 0.0
     return total / len(labels)
 
 
+def macro_f1(counts: DataFrame, pred: Column, labels: Iterable[str] = V.RELATIONS) -> float:
+    """Macro F1 over all labels of rows ``(gold, n)``; an absent label counts zero."""
+    rows = counts.withColumn("pred", pred).groupBy("gold", "pred").agg(F.sum("n").alias("n")).collect()  # labels squared
+    return _macro(rows, labels)
+
+
+def macro_by_trial(counts: DataFrame, trials: list[float], pred: Column, labels: Iterable[str] = V.RELATIONS) -> dict[float, float]:
+    """Macro F1 of rows ``(gold, n)`` for each value that ``pred`` reads as the column ``_trial``; one aggregate for all of them."""
+    rows = counts.withColumn("_trial", F.explode(F.array(*[F.lit(float(x)) for x in trials]))).withColumn("pred", pred)
+    cells: dict[float, list] = {}
+    for r in rows.groupBy("_trial", "gold", "pred").agg(F.sum("n").alias("n")).collect():  # labels squared for each trial
+        cells.setdefault(r["_trial"], []).append((r["gold"], r["pred"], r["n"]))
+    return {x: _macro(c, labels) for x, c in cells.items()}
+
+
 #: Floors that are tried; 9 is a floor that no weight reaches.
 FLOOR_GRID = (0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 9.0)
 
 
-def tune_floors(profile: DataFrame, labels: list[str], grid: tuple[float, ...] = FLOOR_GRID, start: float = 9.0, rounds: int = 3) -> tuple[dict[str, float], float]:
-    """Floors by coordinate ascent on macro F1; a profile is counts of distinct rows, so a step is a small aggregate."""
+#: Values that one aggregate tries at most.
+TRIALS = 200
+
+
+def tune_floors(profile: DataFrame, labels: list[str], grid: tuple[float, ...] | None = FLOOR_GRID, start: float = 9.0, rounds: int = 3) -> tuple[dict[str, float], float]:
+    """Floors by coordinate ascent on macro F1; a profile is counts of distinct rows, so a step is a small aggregate.
+
+    One aggregate scores the values that are tried for a label.  Without a grid each label tries the weights that it has in the
+    profile, and 9; they are as many as its rules at most.
+    """
     floors = dict.fromkeys(labels, start)
     best = macro_f1(profile, decide(labels, floors))
+    observed = lambda r: [x[0] for x in profile.select(F.col(f"`{r}`")).where(F.col(f"`{r}`").isNotNull()).distinct().orderBy(f"`{r}`").collect()] + [9.0]
+    tried = {r: list(grid) if grid is not None else observed(r) for r in labels}
     for _ in range(rounds):
         before = dict(floors)
         for r in labels:
-            for value in grid:
-                if value == floors[r]:
-                    continue
-                trial = floors | {r: value}
-                score = macro_f1(profile, decide(labels, trial))
-                if score > best:
-                    best, floors = score, trial
+            values = [x for x in tried[r] if x != floors[r]]
+            for at in range(0, len(values), TRIALS):
+                part = values[at : at + TRIALS]
+                scores = macro_by_trial(profile, part, decide(labels, floors | {r: F.col("_trial")}))
+                for value in part:
+                    if scores.get(float(value), 0.0) > best:
+                        best, floors = scores[float(value)], floors | {r: value}
         if floors == before:
             break
     return floors, best

@@ -2,21 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.operators import combining as CB
+
+#: Offsets that are tried for a label.
+OFFSET_GRID = tuple(-2.0 + 0.25 * i for i in range(33))
+
 
 def instance_sets(atoms: DataFrame) -> DataFrame:
     return atoms.groupBy("doc", "s", "t", "rel").agg(F.array_sort(F.collect_set("atom")).alias("atoms"))
 
 
-def logistic_regression(train: DataFrame, test: DataFrame, least_rows: float = 5.0, l2: float = 1e-6, rounds: int = 50) -> DataFrame:
-    """``(doc, s, t, gold, pred)`` on ``test`` from atoms that occur on ``least_rows`` training rows."""
+def label_model(train: DataFrame, least_rows: float = 5.0, l2: float = 1e-6, rounds: int = 50) -> tuple[Callable[[DataFrame], DataFrame], list[str]]:
+    """A regression on atoms of ``least_rows`` training rows: what gives ``(doc, s, t, gold, scores)`` of instances, and the labels in order."""
     encode = Pipeline(stages=[StringIndexer(inputCol="rel", outputCol="label", handleInvalid="skip", stringOrderType="alphabetAsc"), CountVectorizer(inputCol="atoms", outputCol="features", minDF=least_rows, binary=True)]).fit(train)
     model = LogisticRegression(family="multinomial", regParam=l2, maxIter=rounds).fit(encode.transform(train))
-    names = encode.stages[0].labels
-    scored = model.transform(encode.transform(test))
-    return scored.select("doc", "s", "t", F.col("rel").alias("gold"), F.get(F.array(*map(F.lit, names)), F.col("prediction").cast("int")).alias("pred"))
+
+    def scored(rows: DataFrame) -> DataFrame:
+        return model.transform(encode.transform(rows)).select("doc", "s", "t", F.col("rel").alias("gold"), vector_to_array("rawPrediction").alias("scores"))
+
+    return scored, list(encode.stages[0].labels)
+
+
+def best_scored(names: list[str], offsets: list[float | Column] | None = None) -> Column:
+    """The label of the largest of ``scores`` plus its offset; ties to the label first in order."""
+    offsets = offsets or [0.0] * len(names)
+    options = [F.struct((F.col("scores")[j] + offsets[j]).alias("v"), F.lit(-j).alias("j"), F.lit(r).alias("rel")) for j, r in enumerate(names)]
+    return F.array_max(F.array(*options))["rel"]
+
+
+def logistic_regression(train: DataFrame, test: DataFrame, least_rows: float = 5.0, l2: float = 1e-6, rounds: int = 50) -> DataFrame:
+    """``(doc, s, t, gold, pred)`` on ``test`` from atoms that occur on ``least_rows`` training rows."""
+    scored, names = label_model(train, least_rows, l2, rounds)
+    return scored(test).select("doc", "s", "t", "gold", best_scored(names).alias("pred"))
+
+
+def tune_offsets(scored: DataFrame, names: list[str], grid: tuple[float, ...] = OFFSET_GRID, rounds: int = 3) -> tuple[list[float], float]:
+    """Offsets of the labels' scores by coordinate ascent on macro F1; the first label's stays zero.
+
+    ``scored`` is ``(gold, scores)``.  One aggregate scores the whole grid of a label; the earlier value wins a tie.
+    """
+    counted = scored.withColumn("n", F.lit(1))
+    offsets: list[float] = [0.0] * len(names)
+    best = CB.macro_f1(counted, best_scored(names))
+    for _ in range(rounds):
+        for at in range(1, len(names)):
+            found = CB.macro_by_trial(counted, list(grid), best_scored(names, [*offsets[:at], F.col("_trial"), *offsets[at + 1 :]]))
+            for value in grid:
+                if found.get(value, 0.0) > best:
+                    best, offsets = found[value], [*offsets[:at], value, *offsets[at + 1 :]]
+    return offsets, best

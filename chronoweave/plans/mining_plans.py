@@ -150,6 +150,23 @@ def at_container_lexicon(spark, sf):
     return A.container_lexicon(T.edges(spark, sf), words).withColumn("rate", F.round("rate", 6))
 
 
+_CONTAINER = f"""{T.SQL_PAIRS}, {T.SQL_MENTIONS}, fk as (select doc, ev, word || '/' || tok % 300 word from (select *, row_number() over (partition by doc, ev order by sent, tok, word) r from mn) where r = 1), nd as (select doc, ev, word, type from ev join fk using (doc, ev)),
+  en as (select word, type, (rel = 'CONTAINS')::bigint src, 0 tgt from pr join nd on nd.doc = pr.doc and nd.ev = pr.s union all select word, type, 0, (rel = 'CONTAINS')::bigint from pr join nd on nd.doc = pr.doc and nd.ev = pr.t),
+  g as (select sum(src) / count(*)::double gs, sum(tgt) / count(*)::double gt from en), wd as (select word, count(*) n, sum(src) src, sum(tgt) tgt from en group by word having count(*) >= 20), ty as (select type, count(*) n, sum(src) src, sum(tgt) tgt from en group by type),
+  ra as (select doc, ev, gs, gt, (coalesce(wd.src, ty.src, 0) + 20 * gs) / (coalesce(wd.n, ty.n, 0) + 20) s, (coalesce(wd.tgt, ty.tgt, 0) + 20 * gt) / (coalesce(wd.n, ty.n, 0) + 20) t from nd left join wd using (word) left join ty using (type) cross join g),
+  bk as (select doc, ev, s, case when s > 2 * gs then 'hi' when s < 0.5 * gs then 'lo' else 'mid' end bs, case when t > 2 * gt then 'hi' when t < 0.5 * gt then 'lo' else 'mid' end bt from ra),
+  pb as (select rel, a.s sa, b.s sb, a.bs asrc, b.bs bsrc, a.bt atgt, b.bt btgt from pr join bk a on a.doc = pr.doc and a.ev = pr.s join bk b on b.doc = pr.doc and b.ev = pr.t)"""
+
+
+@query(f"""with {_CONTAINER} select atom, rel, count(*) n from (select rel, 'DUR|src_a|' || asrc atom from pb union all select rel, 'DUR|src_b|' || bsrc from pb union all select rel, 'DUR|tgt_a|' || atgt from pb union all select rel, 'DUR|tgt_b|' || btgt from pb
+  union all select rel, 'DUR|src_cmp|' || case when sa > 2 * sb then 'a>>b' when sb > 2 * sa then 'b>>a' else '~' end from pb) group by all""")
+def at_container_backoff(spark, sf):
+    """Container atoms of words of 20 ends or more, of the event type for rarer ones."""
+    first = T.mentions(spark, sf).groupBy("doc", "ev").agg(F.min(F.struct("sent", "tok", "word")).alias("f")).select("doc", "ev", F.concat("f.word", F.lit("/"), (F.col("f.tok") % 300).cast("string")).alias("word"))
+    nodes = T.events(spark, sf).select("doc", "ev", "type").join(first, ["doc", "ev"])
+    return A.container_atoms(T.edges(spark, sf), nodes).groupBy("atom", "rel").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def at_type_clusters(spark, sf):
     """Spherical k-means; the numbering of clusters has no SQL."""

@@ -455,3 +455,13 @@ def me_false_alarms(spark, sf):
     e = cut(T.mixed_edges(spark, sf))
     fixed = EN.icm_repair(e, *_tables(e.withColumnRenamed("rel", "gold")))
     return ME.repair_score(fixed.select(F.col("obs").alias("gold"), "obs", F.col("best").alias("fin")))
+
+
+@query(f"with {_ENERGY} select s, t, kind, gold, obs, label, round(energy, 6) + 0 energy, triangles from le where doc = (select min(doc) from ob where rel <> gold)")
+def me_worked_example(spark, sf):
+    """The energies of every label in one document: the first with a replaced label."""
+    rows = injected(spark, sf)
+    first = rows.where("rel <> gold").agg(F.min("doc")).first()[0]
+    one = rows.where(F.col("doc") == F.lit(first))
+    energies = EN.local_energy(one.select("doc", "s", "t", "kind", "rel"), *_tables(rows))
+    return energies.join(one.select("doc", "s", "t", "gold"), ["doc", "s", "t"]).select("s", "t", "kind", "gold", "obs", "label", (F.round("energy", 6) + F.lit(0.0)).alias("energy"), "triangles")

@@ -172,6 +172,17 @@ def tn_floors(spark, sf):
     return spark.createDataFrame([(r, float(f), float(best)) for r, f in found.items()], "rel string, floor double, macro_f1 double")
 
 
+@query()
+def tn_observed_floors(spark, sf):
+    """Floors by the same ascent among the weights that the rules have."""
+    from chronoweave.operators.lineage import cut
+
+    labels = ["BEGINS-ON", "CONTAINS", "ENDS-ON", "OVERLAP"]
+    profile = cut(CB.weight_profile(instances(spark, sf), CB.strongest_per_label(fired(spark, sf)), labels))
+    found, best = CB.tune_floors(profile, labels, grid=None)
+    return spark.createDataFrame([(r, float(f), float(best)) for r, f in found.items()], "rel string, floor double, macro_f1 double")
+
+
 @query(f"""with {_sql_scores('sum')}, g as (select unnest([0.3, 0.5, 0.7, 0.9]) tau), b as (select doc, s, t, gold, rel pred, score from (select *, row_number() over (partition by doc, s, t order by round(score, 9) desc, rel) r from sc) where r = 1)
   select tau, count(*) n, count(*) filter (coalesce(case when score >= tau then pred end, 'BEFORE') = ft.rel) correct from ft left join b using (doc, s, t) cross join g group by tau""")
 def tn_grid(spark, sf):
@@ -323,3 +334,15 @@ def ml_logistic_regression(spark, sf):
 
     sets = cut(learn.instance_sets(mined_atoms(spark, sf)).withColumn("valid", S.is_valid(F.col("doc"))))
     return ME.confusion(learn.logistic_regression(sets.where("not valid"), sets.where("valid"), rounds=20))
+
+
+@query()
+def ml_offsets(spark, sf):
+    """The same with an offset for each label, tuned on a fifth of the training documents that the model has not seen."""
+    from chronoweave.operators.lineage import cut
+
+    inner = S.md5_mod(F.concat(F.lit("o"), F.col("doc").cast("string")), 5) == 0
+    sets = cut(learn.instance_sets(mined_atoms(spark, sf)).withColumns({"valid": S.is_valid(F.col("doc")), "tune": inner}))
+    scored, names = learn.label_model(sets.where("not valid and not tune"), rounds=20)
+    offsets, _ = learn.tune_offsets(cut(scored(sets.where("not valid and tune"))), names)
+    return ME.confusion(scored(sets.where("valid")).select("doc", "s", "t", "gold", learn.best_scored(names, offsets).alias("pred")))

@@ -347,3 +347,79 @@ def test_stream_equals_table(spark, small_edges, tmp_path):
     streamed = spark.read.parquet(str(tmp_path / "out")).select("doc", "s", "t", "best")
     whole = EN.icm_repair(noisy, **tables).select("doc", "s", "t", "best")
     assert streamed.exceptAll(whole).count() == 0 and whole.exceptAll(streamed).count() == 0
+
+
+def _plain_macro(gold, pred):
+    from chronoweave.functions import vocabulary as V
+
+    total = 0.0
+    for r in V.RELATIONS:
+        hit = sum(g == p == r for g, p in zip(gold, pred))
+        total += 2 * hit / (gold.count(r) + pred.count(r)) if hit else 0.0
+    return total / len(V.RELATIONS)
+
+
+def test_offsets_equal_a_plain_search(spark):
+    import numpy as np
+
+    from chronoweave.operators import learn
+
+    names, rnd = ["BEFORE", "CONTAINS", "OVERLAP"], np.random.default_rng(5)
+    scores = np.round(rnd.normal(size=(300, 3)) + [1.5, 0.0, 0.0], 3)
+    gold = [names[i] for i in (scores + rnd.normal(size=(300, 3)) - [1.5, 0.0, 0.0]).argmax(1)]
+    grid = (-1.0, 0.5, 1.0, 2.0)
+    want, best = [0.0] * 3, _plain_macro(gold, [names[i] for i in scores.argmax(1)])
+    for _ in range(2):
+        for at in (1, 2):
+            for d in grid:
+                trial = [*want[:at], d, *want[at + 1 :]]
+                score = _plain_macro(gold, [names[i] for i in (scores + trial).argmax(1)])
+                if score > best:
+                    want, best = trial, score
+    rows = spark.createDataFrame([(g, list(map(float, s))) for g, s in zip(gold, scores)], "gold string, scores array<double>")
+    got, macro = learn.tune_offsets(rows, names, grid, rounds=2)
+    assert got == want and any(want)
+    assert abs(macro - best) < 1e-12
+
+
+def test_floors_from_observed_weights(spark):
+    from chronoweave.operators import combining as CB
+
+    rows = [("CONTAINS", 0.9, None, 5), ("CONTAINS", 0.4, 0.3, 3), ("BEFORE", 0.4, None, 6), ("OVERLAP", 0.2, 0.6, 4), ("BEFORE", None, 0.3, 9), ("BEFORE", None, None, 20)]
+    profile = spark.createDataFrame(rows, "gold string, CONTAINS double, OVERLAP double, n long")
+    labels, marks = ["CONTAINS", "OVERLAP"], {"CONTAINS": [0.2, 0.4, 0.9, 9.0], "OVERLAP": [0.3, 0.6, 9.0]}
+
+    def score(floors):
+        gold, pred = [], []
+        for g, c, o, n in rows:
+            can = [(-w, r) for r, w in (("CONTAINS", c), ("OVERLAP", o)) if w is not None and w >= floors[r]]
+            gold += [g] * n
+            pred += [min(can)[1] if can else "BEFORE"] * n
+        return _plain_macro(gold, pred)
+
+    want = dict.fromkeys(labels, 9.0)
+    for _ in range(3):
+        for r in labels:
+            for v in marks[r]:
+                if score(want | {r: v}) > score(want):
+                    want = want | {r: v}
+    got, best = CB.tune_floors(profile, labels, grid=None)
+    assert got == want and abs(best - score(want)) < 1e-12
+
+
+def test_container_rates_back_off_to_the_type(spark):
+    from chronoweave.operators import atoms as A
+
+    edges = spark.createDataFrame([(1, 1, 2, "CONTAINS")] * 15 + [(1, 1, 3, "BEFORE")] * 5 + [(1, 4, 3, "CONTAINS")], "doc long, s long, t long, rel string")
+    nodes = spark.createDataFrame([(1, 1, "w", "x"), (1, 2, "v", "y"), (1, 3, "u", "y"), (1, 4, "r", "x"), (1, 5, "q", None)], "doc long, ev long, word string, type string")
+    got = {r["ev"]: (r["src"], r["tgt"]) for r in A.container_rates(edges, nodes).collect()}
+    mean = 16 / 42
+    by_type = {"x": (16, 0, 21), "y": (0, 16, 21)}
+    smooth = lambda c, n: (c + 20 * mean) / (n + 20)
+    want = {1: (smooth(15, 20), smooth(0, 20)), 5: (mean, mean)}
+    for ev, t in ((2, "y"), (3, "y"), (4, "x")):
+        s, g, n = by_type[t]
+        want[ev] = smooth(s, n), smooth(g, n)
+    assert got.keys() == want.keys()
+    for ev in want:
+        assert all(abs(x - y) < 1e-12 for x, y in zip(got[ev], want[ev]))
