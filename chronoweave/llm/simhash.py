@@ -218,14 +218,15 @@ def one_of_each_id(docs: DataFrame, columns: list[str]) -> DataFrame:
 BANDS, ROWS = 40, 5
 #: Rounds that compare texts with one other text of a band, before all pairs of a band that are still apart are compared.
 HUB_ROUNDS = 2
-#: Standard errors by which the last bits of a pair's MinHash values may disagree more than at the wanted similarity before they
-#: rule the pair out; the chance for one at 0.8 is about 1e-10.
-SLACK = 7.0
+#: SimHash bits of a set of shingles; the first ``BITS`` of them are the fingerprint that the pivots link.
+WIDE = 1_024
+#: Bits within which the pivots link the fingerprints of sets.
+REACH = 3
+#: Standard errors by which a pair's SimHash bits may differ more than at the wanted similarity before they rule the pair out;
+#: the chance for one at 0.8 is about 2e-8.
+SLACK = 5.5
 #: Texts of a band that are compared with the others' texts in one task; a larger band is dealt out in blocks.
 BAND_BLOCK = 1_000
-#: Standard errors by which the share of equal MinHash values may fall short of the wanted similarity before it rules a pair
-#: out; the chance for one at 0.8 is about 2e-7.
-SHORT = 5.5
 #: Bytes of shingle sets that a worker remembers while it verifies pairs.
 REMEMBERED = 64 << 20
 
@@ -259,50 +260,78 @@ def band_keys(least: np.ndarray) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(band.tobytes(), i)) for i, band in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def last_bits(least: np.ndarray) -> list[int]:
-    """The last bits of ``least_values`` as four signed numbers; at similarity j a share of (1 - j) / 2 of them disagrees."""
-    bits = np.zeros(256, np.uint8)
-    bits[: BANDS * ROWS] = least & 1
-    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
+_SALTS = np.random.default_rng(5).integers(0, 2**64, WIDE // BITS - 1, dtype=np.uint64)
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """``WIDE`` SimHash bits of a set that is not empty, as unsigned numbers: the first from the hashes, the others from hashes of them."""
+    ones = np.zeros(WIDE, np.int64)
+    for at in range(0, shingles.size, 255):
+        some = shingles[at : at + 255, None]
+        x = some ^ _SALTS
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
+        x = np.concatenate([some, x ^ (x >> np.uint64(31))], axis=1)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > shingles.size, bitorder="little").view(np.uint64)
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, digest, n, keys, bits, sketch)`` of each row: digest and size of its shingle set, its bands' keys, ``last_bits``
-    and the last byte of each MinHash value."""
+    """``(doc_id, digest, n, keys, bits)`` of each row: digest and size of its shingle set, its bands' keys and SimHash bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 found = shingle_set(text, words)
-                least = least_values(found) if found.size else np.zeros(BANDS * ROWS, np.uint32)
-                rows.append((hashlib.blake2b(found.tobytes(), digest_size=16).digest(), found.size, band_keys(least) if found.size else [], last_bits(least), least.astype(np.uint8).tobytes()))
-            digest, n, keys, bits, sketch = zip(*rows) if rows else ((), (), (), (), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": list(digest), "n": list(n), "keys": list(keys), "bits": list(bits), "sketch": list(sketch)})
+                digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+                rows.append((digest, found.size, band_keys(least_values(found)), wide_fingerprint(found).view(np.int64)) if found.size else (digest, 0, [], np.zeros(WIDE // BITS, np.int64)))
+            digest, n, keys, bits = zip(*rows) if rows else ((), (), (), ())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": list(digest), "n": list(n), "keys": list(keys), "bits": list(bits)})
+
+    return map_frames(docs.select("doc_id", "text"), run, "doc_id long, digest binary, n int, keys array<long>, bits array<long>")
 
-    return map_frames(docs.select("doc_id", "text"), run, "doc_id long, digest binary, n int, keys array<long>, bits array<long>, sketch binary")
+
+def most_apart(n, least: float, sqrt=np.sqrt):
+    """SimHash bits by which two sets of similarity ``least``, the smaller one of ``n``, may differ.
+
+    A bit differs in a share of them that is the angle between the sets over pi; in sets of few shingles it is more by up to
+    0.15 / n (all pairs of up to 60 common shingles at 0.8 were worked out).
+    """
+    share = math.acos(2 * least / (1 + least)) / math.pi + 0.15 / n
+    return WIDE * share + SLACK * sqrt(WIDE * share * (1 - share))
 
 
 def plausible(i: str, j: str, least: float) -> Column:
-    """Whether the sizes and the last bits in the structs ``i`` and ``j`` allow a similarity of ``least``."""
-    apart = (1 - least) / 2
-    most = BANDS * ROWS * apart + SLACK * math.sqrt(BANDS * ROWS * apart * (1 - apart))
-    differing = sum(F.bit_count(F.col(f"{i}.bits")[k].bitwiseXOR(F.col(f"{j}.bits")[k])) for k in range(4))
-    return (F.least(f"{i}.n", f"{j}.n") >= F.lit(least) * F.greatest(f"{i}.n", f"{j}.n") - 1e-6) & (differing <= most)
+    """Whether the sizes and the SimHash bits in the structs ``i`` and ``j`` allow a similarity of ``least``."""
+    small, large = F.least(f"{i}.n", f"{j}.n"), F.greatest(f"{i}.n", f"{j}.n")
+    differing = sum(F.bit_count(F.col(f"{i}.bits")[k].bitwiseXOR(F.col(f"{j}.bits")[k])) for k in range(WIDE // BITS))
+    return (small >= F.lit(least) * large - 1e-6) & (differing <= most_apart(small, least, F.sqrt))
+
+
+def pivot_pairs(rows: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b: texts whose fingerprints are within ``REACH`` bits by the pivot table; ``rows`` is that of ``_sets``.
+
+    Texts of one fingerprint are paired with the smallest of them, which is paired with those of other fingerprints.
+    """
+    fps = cut(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first(F.get("bits", F.lit(0))).alias("fp")).select("rep", "fp"))
+    one = cut(fps.groupBy("fp").agg(F.min("rep").alias("a")))
+    same = fps.join(one, "fp").select("a", F.col("rep").alias("b"))
+    found = near_links(one.select("fp", F.col("a").alias("rep")), REACH)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same).where("a < b").distinct()
 
 
 def _across(rows: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """``(a, b)``, repeated: true links between texts of a band that are in different components, one outside the largest.
 
-    ``rows`` is ``(key, met, rep, n, c, outside, sketch)``.  A band's texts are dealt out in blocks and those outside go to every
-    block of their band, so a task holds one block.  MinHash values first tell which texts of a block a text outside may be
+    ``rows`` is ``(key, met, rep, n, c, outside, bits)``.  A band's texts are dealt out in blocks and those outside go to every
+    block of their band, so a task holds one block.  SimHash bits first tell which texts of a block a text outside may be
     near to; then the texts that are left come to the block once each and their shingles decide.  A pair is never a row.
     """
     n_parts = partitions(rows.sparkSession)
     blocks = F.ceil(F.col("met") / BAND_BLOCK).cast("int")
-    own = rows.select("key", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), F.lit(0).alias("asks"), "rep", "n", "c", "sketch")
-    asking = rows.where("outside").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("asks"), "rep", "n", "c", "sketch")
-    floor = (least - SHORT * math.sqrt(least * (1 - least) / (BANDS * ROWS))) * BANDS * ROWS
+    own = rows.select("key", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), F.lit(0).alias("asks"), "rep", "n", "c", "bits")
+    asking = rows.where("outside").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("asks"), "rep", "n", "c", "bits")
     names = ("key", "block", "asks", "rep", "n", "c")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,14 +339,14 @@ def _across(rows: DataFrame, texts: DataFrame, words: int, least: float) -> Data
         here, held, needed = None, [], np.zeros(0, bool)
         for batch in batches:
             key, block, asks, rep, n, c = (batch.column(x).to_numpy(zero_copy_only=False) for x in names)
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+            bits = batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, WIDE // BITS)
             starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1]))) if len(key) else []
             out: list[tuple] = []
             for at, end in zip(starts, [*starts[1:], len(key)]):
                 if here != (key[at], block[at]):
                     here, held, needed = (key[at], block[at]), [], np.zeros(0, bool)
                 if not asks[at]:
-                    held.append((rep[at:end], n[at:end], c[at:end], sketch[at:end]))
+                    held.append((rep[at:end], n[at:end], c[at:end], bits[at:end]))
                     continue
                 if not held:
                     continue
@@ -326,7 +355,7 @@ def _across(rows: DataFrame, texts: DataFrame, words: int, least: float) -> Data
                 needed = np.resize(needed, len(r)) if len(needed) else np.zeros(len(r), bool)
                 for i in range(at, end):
                     may = np.flatnonzero((d != c[i]) & (np.minimum(m, n[i]) >= least * np.maximum(m, n[i]) - 1e-6))
-                    may = may[(k[may] == sketch[i]).sum(axis=1) >= floor]
+                    may = may[np.bitwise_count(k[may] ^ bits[i]).sum(axis=1, dtype=np.int64) <= most_apart(np.minimum(m[may], n[i]), least)]
                     if len(may):
                         # the block's texts by their number in it, as bits
                         out.append((*here, 1, rep[i], np.packbits(np.bincount(may).astype(bool)).tobytes()))
@@ -385,51 +414,66 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
 def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """``(doc_id, component_id)`` of every row with an id: the smallest doc_id reachable over pairs of similarity ``least``.
 
-    Equal sets are one row.  Others meet in the bands that they share.  First each text is compared with one text, of those in
-    its bands the one with the most partners: the origin of a group of edited copies, so that the group is joined by as many
-    comparisons as it has texts.  Then, round by round, a band's texts outside its largest component are compared with one
-    text of that component, and at last with every text of the band that is in another component than theirs.  So no pair
-    inside a component is looked at, and no link that joins two components is left out.  Sizes and MinHash bits rule
-    out unlikely pairs, and a link counts only if the whole texts' Jaccard similarity says so.  Rows that share an id are
-    one document: it has the links of each of them.
+    Equal sets are one row.  Pivots link the SimHash fingerprints of the sets within ``REACH`` bits, and each text is compared
+    with the one of its partners that has the most.  At 0.8 most fingerprints are farther apart than any radius that pivots can
+    tell from unrelated ones, so texts also meet in the MinHash bands that they share, where only texts of different components
+    are compared.  First, beside the links of the pivots that are left, each text with one text of its bands, the one with
+    the most partners: the origin of a group of edited copies, so that the group is joined by as many comparisons as it has
+    texts.  Then a band's texts outside its largest component with one text of that component, and at last with every text
+    of the band that is in another component than theirs.  So no pair inside a component is looked at, and no link that joins
+    two components is left out.  Sizes and ``WIDE`` SimHash bits rule out unlikely pairs, and a link counts only if the whole
+    texts' Jaccard similarity says so.  Rows that share an id are one document: it has the links of each of them.
     """
     docs = docs.where("doc_id is not null")
     rows = cut(_sets(docs, words))
+    near = cut(pivot_pairs(rows))
     distinct = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     keyed = distinct.select(F.explode("keys").alias("key"), "rep")
     met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
     bands = cut(keyed.join(met, "key").select("key", "rep", "met"))
     bands = sized(bands, bands.count())
     # only texts that meet another one move
-    texts = cut(docs.select(F.col("doc_id").alias("rep"), "text").join(bands.select("rep").distinct(), "rep", "left_semi"))
+    meeting = bands.select("rep").unionByName(near.select(F.col("a").alias("rep"))).unionByName(near.select(F.col("b").alias("rep")))
+    texts = cut(docs.select(F.col("doc_id").alias("rep"), "text").join(meeting.distinct(), "rep", "left_semi"))
     seen = lambda i, x: rows.select(F.col("doc_id").alias(i), F.struct("n", "bits").alias(x))
-    links = None
+
+    def true_links(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs ``(rep, other)``."""
+        pairs = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).where("a < b").distinct()
+        pairs = pairs.join(seen("a", "x"), "a").join(seen("b", "y"), "b").where(plausible("x", "y", least)).select("a", "b").distinct()
+        return cut(_verified(pairs, texts, words, least))
+
+    # of equally many partners the smallest id
+    rank = lambda i: F.struct("partners", F.bitwise_not(i).alias("last"))
+    sides = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degrees = sides.groupBy(F.col("a").alias("b")).agg(F.count(F.lit(1)).alias("partners"))
+    hubs = sides.join(degrees, "b").groupBy(F.col("a").alias("rep")).agg(F.max(rank("b")).alias("hub"))
+    links = true_links(hubs.select("rep", F.bitwise_not("hub.last").alias("other")))
     for turn in range(HUB_ROUNDS + 1):
+        found = components(links)
         if turn == 0:
             partners = bands.groupBy("rep").agg(F.sum("met").alias("partners"))
-            # of equally many partners the smallest id
-            ranked = bands.select("key", "rep").join(partners, "rep").select("key", "rep", F.struct("partners", F.bitwise_not("rep").alias("last")).alias("rank"))
+            ranked = bands.select("key", "rep").join(partners, "rep").select("key", "rep", rank("rep").alias("rank"))
             hubs = ranked.groupBy("key").agg(F.max("rank").alias("hub"))
             pairs = ranked.join(hubs, "key").groupBy("rep").agg(F.max("hub").alias("hub")).select("rep", F.bitwise_not("hub.last").alias("other"))
+            pairs = pairs.unionByName(near.select(F.col("a").alias("rep"), F.col("b").alias("other")))
+            of = lambda i: found.select(F.col("node").alias(i), F.col("component").alias(f"c_{i}"))
+            pairs = pairs.join(of("rep"), "rep", "left").join(of("other"), "other", "left").where("coalesce(c_rep, rep) <> coalesce(c_other, other)")
         else:
-            found = components(links)
             now = bands.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "met", F.coalesce("component", "rep").alias("c"))
             # a band's components: how many texts each has, and one of them, another one in each band
             order = F.struct(F.xxhash64("rep", "key").alias("h"), "rep")
             per = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.min(order).alias("hub"))
             main = per.groupBy("key").agg(F.count(F.lit(1)).alias("apart"), F.max(F.struct("m", "c", "hub")).alias("main")).where("apart > 1").select("key", F.col("main.c").alias("mc"), F.col("main.hub.rep").alias("other"))
             now = now.join(main, "key")
-            if turn < HUB_ROUNDS:
-                pairs = now.where("c <> mc").select("rep", "other")
-            else:
-                sketches = rows.select(F.col("doc_id").alias("rep"), "n", "sketch")
-                apart = now.select("key", "met", "rep", "c", (F.col("c") != F.col("mc")).alias("outside"))
-                more = cut(_across(apart.join(sketches, "rep"), texts, words, least).where("a < b").distinct())
+            pairs = now.where("c <> mc").select("rep", "other")
         if turn < HUB_ROUNDS:
-            pairs = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).where("a < b").distinct()
-            pairs = pairs.join(seen("a", "x"), "a").join(seen("b", "y"), "b").where(plausible("x", "y", least)).select("a", "b").distinct()
-            more = cut(_verified(pairs, texts, words, least))
-        links = more if links is None else links.unionByName(more)
+            more = true_links(pairs)
+        else:
+            apart = now.select("key", "met", "rep", "c", (F.col("c") != F.col("mc")).alias("outside"))
+            sets = rows.select(F.col("doc_id").alias("rep"), "n", "bits")
+            more = cut(_across(apart.join(sets, "rep"), texts, words, least).where("a < b").distinct())
+        links = links.unionByName(more)
     # repeated ids tie their texts together, so the links run over ids: equal sets point to their smallest one
     same = rows.select("doc_id", "digest").join(rows.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     whole = components(links.unionByName(same))

@@ -84,3 +84,48 @@ def test_group_of_near_copies(spark, make_docs, monkeypatch, block):
 def test_which_row_of_an_id_stays(make_docs):
     docs = make_docs(["b one two three four five", "a one two three four six", None, "other words here and there now"], ids=[4, 4, 5, 5])
     assert {(r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()} == {(4, "a one two three four six"), (5, None)}
+
+
+def test_pivots_link_fingerprints_of_sets(spark, make_docs, monkeypatch):
+    """Without any band, texts within reach of the pivots are linked, and only those whose shingles are near."""
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(8):
+        base = rnd.choices(words, k=900)
+        texts.append(" ".join(base))
+        for _ in range(5):
+            copy = list(base)
+            for i in rnd.sample(range(900), rnd.randint(1, 3)):
+                copy[i] = rnd.choice(words)
+            texts.append(" ".join(copy))
+    docs = make_docs(texts)
+    sets = [simhash.shingle_set(t) for t in texts]
+    fps = [simhash.fingerprint(t, words=5) for t in texts]
+    assert [int(simhash.wide_fingerprint(s)[0]) for s in sets] == fps  # no shingle repeats
+    within = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= simhash.REACH}
+    first = {}
+    for i, x in enumerate(fps):
+        first.setdefault(x, i)
+    real = simhash._sets
+    pairs = {tuple(r) for r in simhash.pivot_pairs(real(docs, 5)).collect()}
+    assert pairs == {(i, j) for i, j in within if (first[fps[i]], first[fps[j]]) in ((i, j), (i, i))}
+    linked = len({j for _, j in within})
+    assert linked > 20
+    monkeypatch.setattr(simhash, "_sets", lambda d, w: real(d, w).selectExpr("doc_id", "digest", "n", "cast(array() as array<long>) as keys", "bits"))
+    kept = {r["doc_id"] for r in simhash.keep_one_similar(docs).collect()}
+    root = brute(dict(enumerate(texts)))
+    assert root <= kept and len(kept) <= len(texts) - linked
+
+
+def test_near_sets_pass_their_bits():
+    rnd = random.Random(5)
+    for common, more in ((4, (0, 1)), (8, (1, 1)), (12, (0, 3)), (40, (5, 5)), (200, (25, 25)), (400, (0, 100))):
+        for _ in range(40):
+            a, b = ([rnd.getrandbits(64) for _ in range(k)] for k in more)
+            both = [rnd.getrandbits(64) for _ in range(common)]
+            x, y = (simhash.np.array(both + z, simhash.np.uint64) for z in (a, b))
+            apart = sum((int(i) ^ int(j)).bit_count() for i, j in zip(simhash.wide_fingerprint(x), simhash.wide_fingerprint(y)))
+            assert apart <= simhash.most_apart(min(len(x), len(y)), 0.8)
+    unrelated = [simhash.wide_fingerprint(simhash.np.array([rnd.getrandbits(64) for _ in range(100)], simhash.np.uint64)) for _ in range(2)]
+    assert sum((int(i) ^ int(j)).bit_count() for i, j in zip(*unrelated)) > simhash.most_apart(100, 0.8) + 150
