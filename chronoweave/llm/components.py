@@ -27,15 +27,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return least.select("a", F.col("m").alias("b")).unionByName(moved).distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """``(node, component)`` of every node that has a link; component is the smallest node reachable.
 
-    Links are undirected; repeated links and loops change nothing and null ends are ignored.  Every round is one
+    Links are undirected, about ``rows`` if that is known; repeated links and loops change nothing and null ends are ignored.  Every round is one
     checkpoint, so a lost executor costs one round at most; its tasks are as many as its links need.  The number of rounds grows with the logarithm of the longest
     shortest path.
     """
     now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
-    now = cut(now)
+    now = cut(now if rows is None else sized(now, rows))
     before = _signature(now)
     now = sized(now, before[0])
     for _ in range(most_rounds):

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import cut, map_frames, partitions, sized
+from chronoweave.llm.common import TEXT_ROWS, cut, map_frames, partitions, sized
 from chronoweave.llm.components import components
 
 BITS = 64
@@ -228,7 +228,7 @@ SLACK = 5.5
 #: Texts of a band that are compared with the others' texts in one task; a larger band is dealt out in blocks.
 BAND_BLOCK = 1_000
 #: Bytes of shingle sets that a worker remembers while it verifies pairs.
-REMEMBERED = 64 << 20
+REMEMBERED = 16 << 20
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -309,13 +309,13 @@ def plausible(i: str, j: str, least: float) -> Column:
     return (small >= F.lit(least) * large - 1e-6) & (differing <= most_apart(small, least, F.sqrt))
 
 
-def pivot_pairs(rows: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b: texts whose fingerprints are within ``REACH`` bits by the pivot table; ``rows`` is that of ``_sets``.
+def pivot_pairs(rows: DataFrame, n: int) -> DataFrame:
+    """``(a, b)``, a < b: texts whose fingerprints are within ``REACH`` bits by the pivot table; ``rows`` are the ``n`` of ``_sets``.
 
     Texts of one fingerprint are paired with the smallest of them, which is paired with those of other fingerprints.
     """
-    fps = cut(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first(F.get("bits", F.lit(0))).alias("fp")).select("rep", "fp"))
-    one = cut(fps.groupBy("fp").agg(F.min("rep").alias("a")))
+    fps = cut(sized(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first(F.get("bits", F.lit(0))).alias("fp")).select("rep", "fp"), n))
+    one = cut(sized(fps.groupBy("fp").agg(F.min("rep").alias("a")), n))
     same = fps.join(one, "fp").select("a", F.col("rep").alias("b"))
     found = near_links(one.select("fp", F.col("a").alias("rep")), REACH)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same).where("a < b").distinct()
@@ -426,22 +426,24 @@ def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8) -> D
     """
     docs = docs.where("doc_id is not null")
     rows = cut(_sets(docs, words))
-    near = cut(pivot_pairs(rows))
+    n = rows.count()
+    # steps have as many partitions as they need, since each is a file or two of its checkpoint
+    near = cut(sized(pivot_pairs(rows, n), BANDS * n))
     distinct = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     keyed = distinct.select(F.explode("keys").alias("key"), "rep")
     met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
-    bands = cut(keyed.join(met, "key").select("key", "rep", "met"))
+    bands = cut(sized(keyed.join(met, "key").select("key", "rep", "met"), BANDS * n))
     bands = sized(bands, bands.count())
     # only texts that meet another one move
     meeting = bands.select("rep").unionByName(near.select(F.col("a").alias("rep"))).unionByName(near.select(F.col("b").alias("rep")))
-    texts = cut(docs.select(F.col("doc_id").alias("rep"), "text").join(meeting.distinct(), "rep", "left_semi"))
+    texts = cut(sized(docs.select(F.col("doc_id").alias("rep"), "text").join(meeting.distinct(), "rep", "left_semi"), n, TEXT_ROWS))
     seen = lambda i, x: rows.select(F.col("doc_id").alias(i), F.struct("n", "bits").alias(x))
 
     def true_links(pairs: DataFrame) -> DataFrame:
         """Those of the pairs ``(rep, other)``."""
         pairs = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).where("a < b").distinct()
         pairs = pairs.join(seen("a", "x"), "a").join(seen("b", "y"), "b").where(plausible("x", "y", least)).select("a", "b").distinct()
-        return cut(_verified(pairs, texts, words, least))
+        return cut(sized(_verified(pairs, texts, words, least), n, TEXT_ROWS))
 
     # of equally many partners the smallest id
     rank = lambda i: F.struct("partners", F.bitwise_not(i).alias("last"))
@@ -450,7 +452,7 @@ def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8) -> D
     hubs = sides.join(degrees, "b").groupBy(F.col("a").alias("rep")).agg(F.max(rank("b")).alias("hub"))
     links = true_links(hubs.select("rep", F.bitwise_not("hub.last").alias("other")))
     for turn in range(HUB_ROUNDS + 1):
-        found = components(links)
+        found = components(links, rows=n)
         if turn == 0:
             partners = bands.groupBy("rep").agg(F.sum("met").alias("partners"))
             ranked = bands.select("key", "rep").join(partners, "rep").select("key", "rep", rank("rep").alias("rank"))
@@ -472,11 +474,11 @@ def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8) -> D
         else:
             apart = now.select("key", "met", "rep", "c", (F.col("c") != F.col("mc")).alias("outside"))
             sets = rows.select(F.col("doc_id").alias("rep"), "n", "bits")
-            more = cut(_across(apart.join(sets, "rep"), texts, words, least).where("a < b").distinct())
+            more = cut(sized(_across(apart.join(sets, "rep"), texts, words, least).where("a < b").distinct(), n))
         links = links.unionByName(more)
     # repeated ids tie their texts together, so the links run over ids: equal sets point to their smallest one
     same = rows.select("doc_id", "digest").join(rows.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    whole = components(links.unionByName(same))
+    whole = components(links.unionByName(same), rows=2 * n)
     return docs.select("doc_id").join(whole, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 

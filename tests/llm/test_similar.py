@@ -108,7 +108,7 @@ def test_pivots_link_fingerprints_of_sets(spark, make_docs, monkeypatch):
     for i, x in enumerate(fps):
         first.setdefault(x, i)
     real = simhash._sets
-    pairs = {tuple(r) for r in simhash.pivot_pairs(real(docs, 5)).collect()}
+    pairs = {tuple(r) for r in simhash.pivot_pairs(real(docs, 5), len(texts)).collect()}
     assert pairs == {(i, j) for i, j in within if (first[fps[i]], first[fps[j]]) in ((i, j), (i, i))}
     linked = len({j for _, j in within})
     assert linked > 20
@@ -129,3 +129,23 @@ def test_near_sets_pass_their_bits():
             assert apart <= simhash.most_apart(min(len(x), len(y)), 0.8)
     unrelated = [simhash.wide_fingerprint(simhash.np.array([rnd.getrandbits(64) for _ in range(100)], simhash.np.uint64)) for _ in range(2)]
     assert sum((int(i) ^ int(j)).bit_count() for i, j in zip(*unrelated)) > simhash.most_apart(100, 0.8) + 150
+
+
+def test_steps_write_few_files(spark, make_docs, monkeypatch):
+    """A small table's checkpoints have few partitions, whatever the session's number."""
+    real, counts = simhash.cut, []
+
+    def counted(df):
+        counts.append(df.rdd.getNumPartitions())
+        return real(df)
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        simhash.similar_components(make_docs(["a b c d e f g h", "a b c d e f g h i", "x y z"] * 3)).collect()
+    finally:
+        for name, value in zip(("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"), before):
+            spark.conf.set(name, value)
+    assert len(counts) > 8 and all(x == 1 for x in counts[1:])
