@@ -8,6 +8,7 @@ to the mixing, which counts all of those as one.  Of rows that repeat an id near
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,21 @@ from chronoweave.llm import bpe, langid, mixing, secrets, simhash
 from chronoweave.llm.common import new_folder, remove_folder, table, through_parquet
 
 
+#: Texts in a batch that an executor and a Python worker pass each other; both keep the memory that their largest batch took.
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with the session's batches set to ``BATCH_ROWS``, which holds on, since its result is read later."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that have no letter or that no mixture of the known languages explains."""
     return langid.keep_identified(docs)
@@ -43,11 +59,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language ID", identify_language),
-    ("SimHash near-dedup", drop_near_duplicates),
-    ("secret scans", redact_secrets),
-    ("mixing sources to target weights", mix_domains),
-    ("BPE encoding and decoding", encode),
+    ("language ID", in_small_batches(identify_language)),
+    ("SimHash near-dedup", in_small_batches(drop_near_duplicates)),
+    ("secret scans", in_small_batches(redact_secrets)),
+    ("mixing sources to target weights", in_small_batches(mix_domains)),
+    ("BPE encoding and decoding", in_small_batches(encode)),
 ]
 
 #: Fingerprints, models and token ids are beyond SQL; tests hold each stage against a brute-force version.

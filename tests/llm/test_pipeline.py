@@ -87,3 +87,15 @@ def test_stages_on_odd_rows_and_empty_tables(spark, odd_docs, sf):
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_pass_small_batches(spark, sf):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        docs = spark.range(3_000).coalesce(1).selectExpr("id as doc_id", "'some words' as text")
+        dict(corpus_pipeline.STAGES)["secret scans"](spark, docs, sf)
+        sizes = docs.mapInPandas(lambda batches: (b.head(1).assign(n=len(b))[["n"]] for b in batches), "n long").collect()
+        assert [r["n"] for r in sizes] == [corpus_pipeline.BATCH_ROWS] * 3
+    finally:
+        spark.conf.set(name, before)
