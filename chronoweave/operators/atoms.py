@@ -16,10 +16,12 @@ SCALARS = ("type_a", "type_b", "sdist", "torder", "bucket_a", "bucket_b")
 SETS = ("roles_a", "roles_b")
 
 
-def pair_features(pairs: DataFrame, roles: DataFrame) -> DataFrame:
-    """Features of event pairs that no label enters; ``roles`` is ``(doc, ev, roles)`` with a sorted array."""
-    r = lambda end, key: roles.select("doc", F.col("ev").alias(key), F.col("roles").alias(f"roles_{end}"))
-    rows = pairs.join(r("a", "s"), ["doc", "s"], "left").join(r("b", "t"), ["doc", "t"], "left")
+def pair_features(pairs: DataFrame, roles: DataFrame | None = None) -> DataFrame:
+    """Features of event pairs that no label enters; ``roles`` is ``(doc, ev, roles)`` with a sorted array, none where pairs carry them."""
+    rows = pairs
+    if roles is not None:
+        r = lambda end, key: roles.select("doc", F.col("ev").alias(key), F.col("roles").alias(f"roles_{end}"))
+        rows = pairs.join(r("a", "s"), ["doc", "s"], "left").join(r("b", "t"), ["doc", "t"], "left")
     at_a, at_b = F.struct("sent_a", "tok_a"), F.struct("sent_b", "tok_b")
     empty = F.array().cast("array<string>")
     return rows.select(
@@ -206,7 +208,7 @@ def views(features: DataFrame) -> DataFrame:
 
 
 def base_rates(viewed: DataFrame, least_n: int = 25, least_k: int = 8) -> DataFrame:
-    """``(view, sig, rel, n, k, p0)`` of the classes large enough to mine."""
-    counts = viewed.groupBy("view", "sig", "rel").agg(F.count(F.lit(1)).alias("k"))
+    """``(view, sig, rel, n, k, p0)`` of the classes large enough to mine; rows with ``c`` count that often."""
+    counts = viewed.groupBy("view", "sig", "rel").agg((F.sum("c") if "c" in viewed.columns else F.count(F.lit(1))).alias("k"))
     n = F.sum("k").over(W.partitionBy("view", "sig"))
     return counts.withColumn("n", n).where((F.col("n") >= least_n) & (F.col("k") >= least_k)).withColumn("p0", F.col("k") / F.col("n"))

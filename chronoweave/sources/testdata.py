@@ -61,9 +61,13 @@ def label(s1, e1, s2, e2):
     )
 
 
-def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc, s, t, rel, <a: and b: columns of the events>)``: labelled pairs, the earlier start first, then the smaller id."""
+def event_pairs(spark: SparkSession, sf_dir: str, more: DataFrame | None = None) -> DataFrame:
+    """``(doc, s, t, rel, <a: and b: columns of the events>)``: labelled pairs, the earlier start first, then the smaller id.
+
+    Columns of ``more``, ``(doc, ev, ...)``, join the events before they are paired.
+    """
     ev = events(spark, sf_dir)
+    ev = ev if more is None else ev.join(more, ["doc", "ev"], "left")
     a = ev.select("doc", *[F.col(c).alias(f"{c}_a") for c in ev.columns if c != "doc"])
     b = ev.select("doc", *[F.col(c).alias(f"{c}_b") for c in ev.columns if c != "doc"])
     first = (F.col("s_a") < F.col("s_b")) | ((F.col("s_a") == F.col("s_b")) & (F.col("ev_a") < F.col("ev_b")))
