@@ -84,37 +84,47 @@ def nearest(nodes: DataFrame, others: DataFrame, key: str, other: str) -> DataFr
     return rows.groupBy("doc", key).agg(F.min(d).alias("d")).select("doc", key, F.col("d.other").alias(other), "d.dsent", "d.dtok")
 
 
-def event_timex_atoms(rows: DataFrame, events: DataFrame, timexes: DataFrame) -> DataFrame:
-    """Atoms of event and time expression pairs ``(doc, ev, tx, type, n_mentions, sent_e, tok_e, timex_type, text, sent_x, tok_x)``."""
+def event_timex_atoms(events: DataFrame, timexes: DataFrame) -> DataFrame:
+    """``(doc, ev, tx, atom)`` of all pairs of a document's ``(doc, ev, type, sent, tok)`` and ``(doc, tx, timex_type, text, sent, tok)``.
+
+    What one end decides, its nearest partner, shape and granularity, is found before the ends are paired.
+    """
     near_tx = nearest(events, timexes, "ev", "tx").select("doc", "ev", F.col("tx").alias("near_tx"))
     near_ev = nearest(timexes, events, "tx", "ev").select("doc", "tx", F.col("ev").alias("near_ev"))
     first = timexes.groupBy("doc").agg(F.min(F.struct("sent", "tok", "tx")).alias("f")).select("doc", F.col("f.tx").alias("first_tx"))
-    rows = rows.join(near_tx, ["doc", "ev"], "left").join(near_ev, ["doc", "tx"], "left").join(first, "doc", "left")
+    ev = events.join(near_tx, ["doc", "ev"], "left").select("doc", "ev", "type", F.col("sent").alias("sent_e"), F.col("tok").alias("tok_e"), "near_tx")
+    own = {"gran": S.granularity(S.parse_date(F.col("text"))), "shape": S.surface_shape(F.col("text")), "first_date": F.col("first_tx") == F.col("tx")}
+    tx = timexes.join(near_ev, ["doc", "tx"], "left").join(first, "doc", "left").withColumns(own)
+    tx = tx.select("doc", "tx", "timex_type", F.col("sent").alias("sent_x"), F.col("tok").alias("tok_x"), "near_ev", *own)
+    rows = ev.join(tx, "doc")
     atoms = {
         "etype": F.col("type"),
         "ttype": F.col("timex_type"),
         "anch": F.col("timex_type").isin(*V.ANCHORABLE),
-        "gran": S.granularity(S.parse_date(F.col("text"))),
-        "shape": S.surface_shape(F.col("text")),
+        "gran": F.col("gran"),
+        "shape": F.col("shape"),
         "sdist": S.short_bucket(F.abs(F.col("sent_e") - F.col("sent_x"))),
         "tdist": S.token_bucket(F.abs(F.col("tok_e") - F.col("tok_x"))),
         "order": F.when(F.struct("sent_e", "tok_e") < F.struct("sent_x", "tok_x"), "ev_first").otherwise("tx_first"),
         "nearest_tx": F.col("near_tx") == F.col("tx"),
         "nearest_ev": F.col("near_ev") == F.col("ev"),
-        "first_date": F.col("first_tx") == F.col("tx"),
+        "first_date": F.col("first_date"),
     }
     return rows.select("doc", "ev", "tx", F.explode(F.array_compact(F.array(*[scalar_atom("EQ", k, v) for k, v in atoms.items()]))).alias("atom"))
 
 
-def timex_pair_atoms(rows: DataFrame) -> DataFrame:
-    """Atoms of pairs of time expressions ``(doc, a, b, timex_type_a, text_a, sent_a, tok_a, ..._b)``."""
-    da, db = S.parse_date(F.col("text_a")), S.parse_date(F.col("text_b"))
+def timex_pair_atoms(timexes: DataFrame) -> DataFrame:
+    """``(doc, a, b, atom)`` of pairs a < b of a document's time expressions ``(doc, tx, timex_type, text, sent, tok)``; a text is read once."""
+    read = timexes.select("doc", "tx", "timex_type", "sent", "tok", S.parse_date(F.col("text")).alias("date"))
+    read = read.withColumn("gran", S.granularity(F.col("date")))
+    side = lambda end: read.select("doc", F.col("tx").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("timex_type", "sent", "tok", "date", "gran")])
+    rows = side("a").join(side("b"), "doc").where("a < b")
     atoms = {
         "ta": F.col("timex_type_a"),
         "tb": F.col("timex_type_b"),
-        "ga": S.granularity(da),
-        "gb": S.granularity(db),
-        "cal": S.compare_dates(da, db),
+        "ga": F.col("gran_a"),
+        "gb": F.col("gran_b"),
+        "cal": S.compare_dates(F.col("date_a"), F.col("date_b")),
         "order": F.when(F.struct("sent_a", "tok_a") < F.struct("sent_b", "tok_b"), "fwd").otherwise("rev"),
         "sdist": S.short_bucket(F.abs(F.col("sent_a") - F.col("sent_b"))),
     }
