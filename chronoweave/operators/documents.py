@@ -431,3 +431,27 @@ def edge_states(edges: DataFrame, bad: list[tuple[str, str, str]], *more: str) -
     names_ = ["doc", "s", "t", "kind", "rel", *more]
     types = dict(edges.dtypes) | {"kind": "string"}
     return run(edges, kernel, ", ".join([*(f"{c} {types[c]}" for c in names_), "bad long"]), *more)
+
+
+def labels_of_pairs(edges: DataFrame) -> DataFrame:
+    """``(doc, s, t, n)``: ordered pairs and how many different labels they have."""
+
+    def kernel(g: Graph) -> Iterator[pa.RecordBatch]:
+        pair = g.s * g.nodes + g.t
+        _, first, pair = np.unique(pair, return_index=True, return_inverse=True)
+        known = g.label < len(g.names) - 1
+        once = np.unique(pair[known] * len(g.names) + g.label[known])
+        many = np.bincount(once // len(g.names), minlength=len(first))
+        yield pa.RecordBatch.from_arrays([*(g.rows[c].combine_chunks().take(pa.array(first)) for c in ("doc", "s", "t")), pa.array(many.astype(np.int64))], names=["doc", "s", "t", "n"])
+
+    return run(edges, kernel, f"{key_types(edges)}, n long")
+
+
+def with_opposite(edges: DataFrame) -> DataFrame:
+    """``(doc, s, t, rel, opposite)``: edges and whether their document has one from t to s."""
+
+    def kernel(g: Graph) -> Iterator[pa.RecordBatch]:
+        opposite = np.isin(g.t * g.nodes + g.s, g.s * g.nodes + g.t)
+        yield pa.RecordBatch.from_arrays([*(g.rows[c].combine_chunks() for c in ("doc", "s", "t", "rel")), pa.array(opposite)], names=["doc", "s", "t", "rel", "opposite"])
+
+    return run(edges, kernel, f"{key_types(edges)}, rel string, opposite boolean")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import scalar as S
 from chronoweave.functions import vocabulary as V
+from chronoweave.operators import documents as D
 
 
 def _violations(df: DataFrame, check: str, *columns: str) -> DataFrame:
@@ -45,15 +46,13 @@ def symmetric_order(edges: DataFrame) -> DataFrame:
 
 
 def two_labels(edges: DataFrame) -> DataFrame:
-    """Ordered pairs with more than one label."""
-    many = edges.groupBy("doc", "s", "t").agg(F.count_distinct("rel").alias("n")).where("n > 1")
-    return _violations(many, "two_labels", "s", "t", "n")
+    """Ordered pairs with more than one label; a document's pairs are compared in its task."""
+    return _violations(D.labels_of_pairs(edges).where("n > 1"), "two_labels", "s", "t", "n")
 
 
 def opposite_labels(edges: DataFrame) -> DataFrame:
-    """Pairs labelled in both directions."""
-    back = edges.select("doc", F.col("t").alias("s"), F.col("s").alias("t"))
-    return _violations(edges.join(back.distinct(), ["doc", "s", "t"], "left_semi").where("s < t"), "opposite_labels", "s", "t", "rel")
+    """Pairs labelled in both directions; a document's pairs are compared in its task."""
+    return _violations(D.with_opposite(edges).where("s < t and opposite"), "opposite_labels", "s", "t", "rel")
 
 
 def self_loops(edges: DataFrame, kind: str = "rel") -> DataFrame:
