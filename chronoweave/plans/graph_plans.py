@@ -140,11 +140,15 @@ def snk_rule_listing(spark, sf):
     from m a join m b on a.doc = b.doc and a.ev < b.ev) select doc, a, b, sa, ta, sb, tb from p where r = 1""")
 def snk_closest_mentions(spark, sf):
     """The mention pair by which an instance is shown."""
-    m = T.mentions(spark, sf).select("doc", "ev", "sent", "tok").distinct()
-    a = m.select("doc", F.col("ev").alias("a"), F.col("sent").alias("sa"), F.col("tok").alias("ta"))
-    b = m.select("doc", F.col("ev").alias("b"), F.col("sent").alias("sb"), F.col("tok").alias("tb"))
-    order = F.struct(F.abs(F.col("sa") - F.col("sb")), F.abs(F.col("ta") - F.col("tb")), "sa", "ta", "sb", "tb")
-    return a.join(b, "doc").where("a < b").groupBy("doc", "a", "b").agg(F.min_by(F.struct("sa", "ta", "sb", "tb"), order).alias("m")).select("doc", "a", "b", "m.*")
+    m = T.mentions(spark, sf).groupBy("doc", "ev").agg(F.collect_set(F.struct("sent", "tok")).alias("m"))
+    a, b = (m.select("doc", F.col("ev").alias(x), F.col("m").alias(f"m{x}")) for x in "ab")
+
+    def way(x, y):
+        return F.struct(F.abs(x["sent"] - y["sent"]).alias("dsent"), F.abs(x["tok"] - y["tok"]).alias("dtok"), x["sent"].alias("sa"), x["tok"].alias("ta"), y["sent"].alias("sb"), y["tok"].alias("tb"))
+
+    # the ways from one event's mentions to another's are compared inside the pair's row
+    least = F.array_min(F.transform("ma", lambda x: F.array_min(F.transform("mb", lambda y: way(x, y)))))
+    return a.join(b, "doc").where("a < b").withColumn("w", least).select("doc", "a", "b", "w.sa", "w.ta", "w.sb", "w.tb")
 
 
 # ------------------------------------------------------------------ building
